@@ -90,39 +90,35 @@ def window_stats(
     )
 
 
-# Alert rows share this layout; ``rank`` and ``sub`` give the order within a frame.
-ALERT_COLUMNS = ["feed_id", "frame_id", "ts", "rank", "sub", "alert_type", "severity", "description", "details"]
+def window_alert_list() -> Column:
+    """Array of the sudden-appearance and crowd-buildup alerts of a frame."""
+    def alert(kind, description, details):
+        return F.struct(
+            F.lit(kind).alias("alert_type"), F.lit("HIGH").alias("severity"),
+            description.alias("description"), F.to_json(details).alias("details"),
+        )
+
+    sudden = alert(
+        "sudden_appearance", text.sudden_text("increase", "prev_avg", "detection_count"),
+        F.struct(F.round("prev_avg", 1).alias("previous_avg"), F.col("detection_count").alias("current_count"),
+                 F.round("increase", 1).alias("increase")),
+    )
+    buildup = alert(
+        "crowd_buildup", text.buildup_text("buildup_rate", "persons"),
+        F.struct(F.round("buildup_rate", 4).alias("buildup_rate"), F.col("persons").alias("current_persons"),
+                 "window_start_persons"),
+    )
+    return F.array_compact(F.array(
+        F.when(F.col("is_sudden"), sudden), F.when(F.col("is_buildup"), buildup)
+    ))
 
 
 def window_alerts(stats: DataFrame) -> DataFrame:
-    """Sudden-appearance and crowd-buildup alerts."""
-    sudden = F.when(F.col("is_sudden"), F.struct(
-        F.lit(1).alias("rank"),
-        F.lit("sudden_appearance").alias("alert_type"),
-        text.sudden_text("increase", "prev_avg", "detection_count").alias("description"),
-        F.to_json(F.struct(
-            F.round("prev_avg", 1).alias("previous_avg"),
-            F.col("detection_count").alias("current_count"),
-            F.round("increase", 1).alias("increase"),
-        )).alias("details"),
-    ))
-    buildup = F.when(F.col("is_buildup"), F.struct(
-        F.lit(2).alias("rank"),
-        F.lit("crowd_buildup").alias("alert_type"),
-        text.buildup_text("buildup_rate", "persons").alias("description"),
-        F.to_json(F.struct(
-            F.round("buildup_rate", 4).alias("buildup_rate"),
-            F.col("persons").alias("current_persons"),
-            "window_start_persons",
-        )).alias("details"),
-    ))
+    """Sudden-appearance and crowd-buildup alerts as rows."""
     return (
         stats.filter("is_sudden OR is_buildup")
-        .select("feed_id", "frame_id", "ts", F.explode(F.array_compact(F.array(sudden, buildup))).alias("a"))
-        .select(
-            "feed_id", "frame_id", "ts", "a.rank", F.lit(0).cast("bigint").alias("sub"), "a.alert_type",
-            F.lit("HIGH").alias("severity"), "a.description", "a.details",
-        )
+        .select("feed_id", "frame_id", "ts", F.explode(window_alert_list()).alias("a"))
+        .select("feed_id", "frame_id", "ts", "a.*")
     )
 
 

@@ -15,8 +15,6 @@ counts) is windows and group-bys.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -24,14 +22,14 @@ from pyspark.sql import functions as F
 
 from scenespark import constants as C
 from scenespark.functions import text
+from scenespark.operators.chained import CHUNK, run_chained
 from scenespark.operators.checkpoints import cut
 from scenespark.operators.frames import KEY
 from scenespark.operators.ordering import (
     BLOCK_ROWS, block_window, frame_bucket, own_rows, with_blocks, with_position,
 )
-from scenespark.operators.temporal import FEED, with_frame_position
+from scenespark.operators.temporal import FEED, temporal_risk, window_alert_list, with_frame_position
 
-CHUNK = ["feed_id", "block", "part"]
 BOX = ["x1", "y1", "x2", "y2"]
 TRACK = ["feed_id", "root_frame", "root_det"]
 
@@ -189,51 +187,10 @@ def _match_clean(chunked: DataFrame) -> DataFrame:
 
 
 def _match_chained(chunked: DataFrame) -> DataFrame:
-    """Chunks that continue their predecessor: rerun those with a wrong start state."""
-    chunked = cut(chunked)
-    heads = chunked.filter("part = 0").select("feed_id", "block").distinct()
-    tails = chunked.groupBy("feed_id", "block").agg(F.max("part").alias("part"))
-    state_cols = ["feed_id", "block", "idx", *BOX, "last_frame"]
-
-    def run(todo: DataFrame, start: DataFrame) -> DataFrame:
-        keyed = start.withColumn("part", F.lit(0).cast("bigint"))
-        return cut(
-            todo.groupBy(*CHUNK)
-            .cogroup(keyed.groupBy(*CHUNK))
-            .applyInPandas(
-                lambda l, r: _run_chunk(l, r) if len(l) else pd.DataFrame(
-                    columns=[f.split()[0] for f in _MATCH_SCHEMA.split(", ")]),
-                _MATCH_SCHEMA,
-            )
-        )
-
-    def start_of(result: DataFrame) -> DataFrame:
-        left = result.filter("kind = 'out'").join(tails, CHUNK).withColumn("block", F.col("block") + 1)
-        return left.join(heads, ["feed_id", "block"], "left_semi")
-
-    def signature(start: DataFrame, strict: bool) -> DataFrame:
-        # exact ties are the only place where track order matters
-        entry = F.struct(*(["idx"] if strict else []), *BOX, "last_frame")
-        return start.groupBy("feed_id", "block").agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("sig"))
-
-    used = chunked.sparkSession.createDataFrame(
-        [], "feed_id long, block long, idx long, x1 double, y1 double, x2 double, y2 double, last_frame long"
+    """Chunks may continue their predecessor; exact ties make track order matter."""
+    result, tails = run_chained(
+        chunked, _run_chunk, _MATCH_SCHEMA, ["idx", *BOX, "last_frame"], order_col="idx"
     )
-    result = run(chunked, used)
-    while True:
-        start = cut(start_of(result).select(*state_cols))
-        strict = bool(result.filter("kind = 'end' AND tie").head(1))
-        wrong = cut(
-            signature(start, strict).withColumnRenamed("sig", "now")
-            .join(signature(used, strict).withColumnRenamed("sig", "was"), ["feed_id", "block"], "full")
-            .filter(~F.col("now").eqNullSafe(F.col("was")))
-            .select("feed_id", "block", F.lit(0).cast("bigint").alias("part"))
-        )
-        if not wrong.head(1):
-            break
-        again = run(chunked.join(wrong, CHUNK, "left_semi"), start)
-        result = cut(result.join(wrong, CHUNK, "left_anti").unionByName(again))
-        used = start
     return _resolve_names(result, tails)
 
 
@@ -409,8 +366,6 @@ def temporal_frames(stats: DataFrame, tracks: DataFrame) -> DataFrame:
     ``alerts`` lists all alerts of the frame in order; ``temporal_reasons`` are
     their descriptions and ``temporal_risk`` the composite risk.
     """
-    from scenespark.operators.temporal import temporal_risk
-
     j = stats.join(tracks, KEY, "left")
     zero = ["tracked_objects", "approaching_count", "loitering_count", "approach_n", "active_tracks",
             "moving_count", "coordinated_count"]
@@ -430,16 +385,7 @@ def temporal_frames(stats: DataFrame, tracks: DataFrame) -> DataFrame:
         "array<struct<alert_type:string,severity:string,description:string,details:string>>"
     )
     classes = F.transform("approachers", lambda a: a["class_name"])
-    window_part = F.array_compact(F.array(
-        F.when(F.col("is_sudden"), alert(
-            "sudden_appearance", high, text.sudden_text("increase", "prev_avg", "detection_count"),
-            F.struct(F.round("prev_avg", 1).alias("previous_avg"), F.col("detection_count").alias("current_count"),
-                     F.round("increase", 1).alias("increase")))),
-        F.when(F.col("is_buildup"), alert(
-            "crowd_buildup", high, text.buildup_text("buildup_rate", "persons"),
-            F.struct(F.round("buildup_rate", 4).alias("buildup_rate"), F.col("persons").alias("current_persons"),
-                     "window_start_persons"))),
-    ))
+    window_part = window_alert_list()
     loiter_part = F.when(ready & (F.col("loitering_count") > 0), F.transform("loiterers", lambda l: F.struct(
         F.lit("loitering").alias("alert_type"), F.lit("MEDIUM").alias("severity"),
         l["description"].alias("description"), l["details"].alias("details"),
