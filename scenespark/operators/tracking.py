@@ -245,12 +245,18 @@ def match_tracks(detections: DataFrame, frames: DataFrame, block_rows: int = BLO
 # --- after matching ------------------------------------------------------------
 
 def observations(
-    detections: DataFrame, frames: DataFrame, block_rows: int = BLOCK_ROWS
+    detections: DataFrame, frames: DataFrame, block_rows: int = BLOCK_ROWS, materialise: bool = True
 ) -> DataFrame:
-    """One row per tracked detection with the state of its track after it."""
+    """One row per tracked detection with the state of its track after it.
+
+    The matched rows feed three branches (numbers, positions, windows), so they
+    are materialised instead of matching three times.
+    """
     matched = match_tracks(detections, frames, block_rows)
     dets = detections.select(*KEY, "det_id", "class_name", "center_x", "center_y")
     rows = dets.join(matched, [*KEY, "det_id"])
+    if materialise:
+        rows = cut(rows)
     created = rows.filter("frame_id = root_frame AND det_id = root_det").select(
         *TRACK, F.col("class_name").alias("track_class")
     )
