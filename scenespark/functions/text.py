@@ -12,52 +12,58 @@ def _c(v) -> Column:
     return F.col(v) if isinstance(v, str) else v
 
 
+def fixed(x, decimals: int) -> Column:
+    """Number text rounded half-even on the exact value, as C and Python print it."""
+    pattern = "0" + ("." + "0" * decimals if decimals else "")
+    return F.call_function("format_number", _c(x), F.lit(pattern))
+
+
 def violation_reason(class_name, confidence, label, high_threat) -> Column:
     # Wording.
     return F.concat(
-        _c(class_name), F.lit(" ("), F.format_string("%.0f%%", _c(confidence) * 100),
-        F.lit(") detected in "), _c(label),
+        _c(class_name), F.lit(" ("), fixed(_c(confidence) * 100, 0), F.lit("%) detected in "), _c(label),
         F.when(_c(high_threat), " [HIGH THREAT]").otherwise(""),
     )
 
 
 def sudden_text(increase, prev_avg, count) -> Column:
     # Wording.
-    return F.format_string(
-        "Sudden appearance: %d new objects detected (was %.0f, now %d)",
-        _c(increase).cast("bigint"), F.bround(_c(prev_avg), 0), _c(count),
+    return F.concat(
+        F.lit("Sudden appearance: "), _c(increase).cast("bigint"), F.lit(" new objects detected (was "),
+        fixed(prev_avg, 0), F.lit(", now "), _c(count), F.lit(")"),
     )
 
 
 def buildup_text(slope, persons) -> Column:
     # Wording.
-    return F.format_string(
-        "Crowd buildup detected: person count rising at %.2f/frame (now %d persons)",
-        _c(slope), _c(persons),
+    return F.concat(
+        F.lit("Crowd buildup detected: person count rising at "), fixed(slope, 2),
+        F.lit("/frame (now "), _c(persons), F.lit(" persons)"),
     )
 
 
 def loitering_text(class_name, track_id, frame_count, cx, cy) -> Column:
     # Wording.
-    return F.format_string(
-        "Loitering detected: %s (track #%d) stationary for %d frames at (%.2f, %.2f)",
-        _c(class_name), _c(track_id), _c(frame_count), _c(cx), _c(cy),
+    return F.concat(
+        F.lit("Loitering detected: "), _c(class_name), F.lit(" (track #"), _c(track_id),
+        F.lit(") stationary for "), _c(frame_count), F.lit(" frames at ("),
+        fixed(cx, 2), F.lit(", "), fixed(cy, 2), F.lit(")"),
     )
 
 
 def approach_text(count, class_names) -> Column:
     """``class_names`` is an array; it is shown distinct and sorted."""
     # Wording.
-    return F.format_string(
-        "Border approach detected: %d object(s) moving toward border zone — %s",
-        _c(count), F.array_join(F.array_sort(F.array_distinct(_c(class_names))), ", "),
+    return F.concat(
+        F.lit("Border approach detected: "), _c(count), F.lit(" object(s) moving toward border zone — "),
+        F.array_join(F.array_sort(F.array_distinct(_c(class_names))), ", "),
     )
 
 
 def coordinated_text(count) -> Column:
     # Wording.
-    return F.format_string(
-        "Coordinated movement: %d objects moving in the same direction", _c(count)
+    return F.concat(
+        F.lit("Coordinated movement: "), _c(count), F.lit(" objects moving in the same direction")
     )
 
 
@@ -82,13 +88,13 @@ def anomaly_reasons(level, count, classes, motion, score) -> Column:
     listed = F.concat(
         boost_reasons(classes, motion),
         F.array_compact(F.array(
-            F.when(count > 10, F.format_string("unusually high detection count (%d)", count)),
-            F.when(motion > 10.0, F.format_string("high motion activity (score=%.1f)", motion)),
+            F.when(count > 10, F.concat(F.lit("unusually high detection count ("), count, F.lit(")"))),
+            F.when(motion > 10.0, F.concat(F.lit("high motion activity (score="), fixed(motion, 1), F.lit(")"))),
             F.when(F.array_contains(classes, "crowd"), "crowd gathering detected"),
             F.when(F.array_contains(classes, "aircraft"), "aircraft in surveillance zone"),
         )),
     )
-    fallback = F.array(F.format_string("statistical anomaly (IF score=%.3f)", score))
+    fallback = F.array(F.concat(F.lit("statistical anomaly (IF score="), fixed(score, 3), F.lit(")")))
     return (
         F.when(level == "normal", F.array().cast("array<string>"))
         .when(F.size(listed) > 0, listed)
@@ -106,6 +112,4 @@ def cooldown_keys(reasons) -> Column:
 
 
 def label_line(class_id, cx, cy, w, h) -> Column:
-    return F.format_string(
-        "%d %.6f %.6f %.6f %.6f", *[_c(v) for v in (class_id, cx, cy, w, h)]
-    )
+    return F.concat_ws(" ", _c(class_id), *[fixed(v, 6) for v in (cx, cy, w, h)])

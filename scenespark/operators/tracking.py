@@ -261,21 +261,33 @@ def observations(
         *TRACK, F.col("class_name").alias("track_class")
     )
     numbered = with_position(created, FEED, ["root_frame", "root_det"], frame_bucket("root_frame", 512), "track_no")
-    placed = with_position(
-        rows.drop("class_name"), TRACK, ["frame_id"], frame_bucket("frame_id"), "frame_count"
+    return (
+        track_motion(rows.drop("class_name"), TRACK, block_rows)
+        .join(numbered, TRACK)
+        .withColumn("track_id", F.col("track_no") - 1)
+        .drop("track_no", "root_frame", "root_det")
+        .withColumnRenamed("track_class", "class_name")
     )
+
+
+def track_motion(rows: DataFrame, track: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """State of a track after each of its observations.
+
+    ``rows`` needs the ``track`` columns, ``frame_id, det_id, center_x, center_y``.
+    Positions older than the retained number do not count. Long tracks are cut
+    into blocks like long feeds.
+    """
     cap = C.TRACK_POSITIONS
-    run = block_window(TRACK, "frame_count")
+    placed = with_position(rows, track, ["frame_id", "det_id"], frame_bucket("frame_id"), "frame_count")
+    run = block_window(track, "frame_count")
     kept = run.rowsBetween(-(cap - 1), 0)
-    dx = F.col("center_x") - F.lag("center_x", 2).over(run)
-    dy = F.col("center_y") - F.lag("center_y", 2).over(run)
     state = with_blocks(placed, "frame_count", cap - 1, block_rows, ahead=1).withColumns({
         "next_frame": F.lead("frame_id").over(run),
         "y_displacement": F.col("center_y") - F.first("center_y").over(kept),
         "x_range": F.max("center_x").over(kept) - F.min("center_x").over(kept),
         "y_range": F.max("center_y").over(kept) - F.min("center_y").over(kept),
-        "_dx": dx,
-        "_dy": dy,
+        "_dx": F.col("center_x") - F.lag("center_x", 2).over(run),
+        "_dy": F.col("center_y") - F.lag("center_y", 2).over(run),
     })
     mag = F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))
     moving = mag > C.MOVING_MIN
@@ -289,10 +301,6 @@ def observations(
             "dir_y": F.when(moving, F.col("_dy") / mag),
         })
         .drop("_dx", "_dy")
-        .join(numbered, TRACK)
-        .withColumn("track_id", F.col("track_no") - 1)
-        .drop("track_no", "root_frame", "root_det")
-        .withColumnRenamed("track_class", "class_name")
     )
 
 

@@ -96,7 +96,8 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count(F.lit(1)).alias("n"),
         )
         .filter("frame_id > 1")
-        .select("feed_id", "frame_id", F.round(F.expr("cents / (600D * n)"), 4).alias("motion_score"))
+        # mean value / 6 with four decimals, rounded in whole numbers
+        .select("feed_id", "frame_id", F.expr("cast((100 * cents + 3 * n) div (6 * n) as double) / 10000").alias("motion_score"))
     )
     return grid.join(motion, ["feed_id", "frame_id"], "left").select(
         "feed_id",
