@@ -74,8 +74,8 @@ def is_night(ts) -> Column:
 
 
 def night_boost(risk, ts) -> Column:
-    r = _c(risk)
-    return F.when(is_night(ts), F.least(F.lit(1.0), r * C.NIGHT_FACTOR)).otherwise(r)
+    factor = F.when(is_night(ts), F.lit(C.NIGHT_FACTOR)).otherwise(F.lit(1.0))
+    return F.least(F.lit(1.0), _c(risk) * factor)
 
 
 def same_direction(ax, ay, bx, by) -> Column:

@@ -6,18 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scenespark import constants as C
+from scenespark.functions.numbers import fixed
 
 
 def _c(v) -> Column:
     return F.col(v) if isinstance(v, str) else v
 
 
-def fixed(x, decimals: int) -> Column:
-    """Number text rounded half-even on the exact value, as C and Python print it."""
-    pattern = "0" + ("." + "0" * decimals if decimals else "")
-    return F.call_function("format_number", _c(x), F.lit(pattern))
-
-
 def violation_reason(class_name, confidence, label, high_threat) -> Column:
     # Wording.
     return F.concat(

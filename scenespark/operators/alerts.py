@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenespark import constants as C
+from scenespark.functions.numbers import exact_round
 from scenespark.functions import scores, text
 from scenespark.operators.ordering import first_rows
 
@@ -46,11 +47,11 @@ def create_alerts(fused: DataFrame) -> DataFrame:
             alert_id().alias("alert_id"),
             "feed_id", "frame_id", "ts",
             scores.priority("final_level", "motion_score").alias("priority"),
-            F.round("anomaly_score", 4).alias("anomaly_score"),
-            F.round("anomaly_prob", 4).alias("anomaly_prob"),
+            exact_round("anomaly_score", 4).alias("anomaly_score"),
+            exact_round("anomaly_prob", 4).alias("anomaly_prob"),
             F.col("final_level").alias("alert_level"),
             "reasons", "detection_count",
-            F.round("motion_score", 4).alias("motion_score"),
+            exact_round("motion_score", 4).alias("motion_score"),
             F.lit(False).alias("notified"),
         )
     )
@@ -132,7 +133,7 @@ def priority_share(alerts: DataFrame) -> DataFrame:
         F.struct(
             F.lit(p).alias("priority"),
             F.col(f"{p.lower()}_count").alias("alerts"),
-            F.round(F.col(f"{p.lower()}_count") / total * 100, 1).alias("share_pct"),
+            exact_round(F.col(f"{p.lower()}_count") / total * 100, 1).alias("share_pct"),
         )
         for p in C.PRIORITIES
     ])

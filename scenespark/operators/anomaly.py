@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenespark import constants as C
+from scenespark.functions.numbers import exact_round
 from scenespark.functions import scores, text
 from scenespark.operators.frames import KEY
 
@@ -27,14 +28,14 @@ def rule_score(classes: Column, count: Column, motion: Column) -> Column:
 
 def class_boost(score: Column, classes: Column, motion: Column) -> Column:
     """Hard upper bounds for dangerous classes; no model can score above them."""
-    # Bounds, in this order.
-    s = score
-    s = F.when(F.array_contains(classes, "military_vehicle"),
-               F.least(s, F.lit(C.SCORE_CRITICAL - 0.05))).otherwise(s)
-    s = F.when(F.array_contains(classes, "suspicious_object"),
-               F.least(s, F.lit(C.SCORE_CRITICAL - 0.02))).otherwise(s)
-    s = F.when(F.array_contains(classes, "crowd") & (motion > 12.0),
-               F.least(s, F.lit(C.SCORE_HIGH - 0.05))).otherwise(s)
+    # Bounds. ``least`` skips the nulls of conditions not met, and the
+    # score appears once, so filters on it stay small when they are pushed down.
+    s = F.least(
+        score,
+        F.when(F.array_contains(classes, "military_vehicle"), F.lit(C.SCORE_CRITICAL - 0.05)),
+        F.when(F.array_contains(classes, "suspicious_object"), F.lit(C.SCORE_CRITICAL - 0.02)),
+        F.when(F.array_contains(classes, "crowd") & (motion > 12.0), F.lit(C.SCORE_HIGH - 0.05)),
+    )
     threats = F.size(F.array_intersect(classes, F.lit(C.THREAT_CLASSES)))
     return s - F.when(threats >= 2, F.lit(0.05)).otherwise(F.lit(0.0))
 
@@ -78,10 +79,10 @@ def anomaly_summary(scored: DataFrame) -> DataFrame:
         F.count_if(level == "normal").alias("normal_frames"),
         F.count_if(level == "high").alias("high_alert_frames"),
         F.count_if(level == "critical").alias("critical_frames"),
-        F.round(flagged / F.count(F.lit(1)), 4).alias("alert_rate"),
-        F.round(F.avg("anomaly_score"), 4).alias("avg_anomaly_score"),
-        F.round(F.min("anomaly_score"), 4).alias("min_anomaly_score"),
-        F.round(F.avg("anomaly_prob"), 4).alias("avg_anomaly_prob"),
+        exact_round(flagged / F.count(F.lit(1)), 4).alias("alert_rate"),
+        exact_round(F.avg("anomaly_score"), 4).alias("avg_anomaly_score"),
+        exact_round(F.min("anomaly_score"), 4).alias("min_anomaly_score"),
+        exact_round(F.avg("anomaly_prob"), 4).alias("avg_anomaly_prob"),
         *[c.alias(n) for n, c in labels.items()],
     )
     firsts = (

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from scenespark import constants as C
 from scenespark.operators.alerts import notifiable
 from scenespark.operators.chained import CHUNK, run_chained
+from scenespark.operators.checkpoints import cut
 from scenespark.operators.ordering import BLOCK_ROWS, block_window, with_blocks, with_position
 
 _SCHEMA = (
@@ -37,7 +38,7 @@ def cooldown_step(times: list[int], keys: list[list[str]], last: dict[str, int],
 
 def chunk_alerts(alerts: DataFrame, wait_us: int, block_rows: int) -> DataFrame:
     """Notifiable alerts with their chunk, in event-time order."""
-    rows = notifiable(alerts).select(
+    rows = alerts.select(
         "feed_id", "frame_id", "alert_id", F.unix_micros("ts").alias("at"), "cooldown_keys"
     )
     order = ["at", "frame_id", "alert_id"]
@@ -61,7 +62,9 @@ def notifications(
     Alerts themselves are never dropped; the cooldown only mutes messages.
     """
     wait = int(cooldown_seconds * 1_000_000)
-    chunked = chunk_alerts(alerts, wait, block_rows)
+    # one small row per notifiable alert, used by several branches
+    base = cut(notifiable(alerts))
+    chunked = chunk_alerts(base, wait, block_rows)
 
     def decide(rows: pd.DataFrame, start: pd.DataFrame | None):
         rows = rows.sort_values("pos")
@@ -93,4 +96,4 @@ def notifications(
 
         result, _ = run_chained(chunked, step, _SCHEMA, ["cool_key", "last_us"])
         decided = result.filter("kind = 'obs'").select("alert_id", "notify")
-    return notifiable(alerts).join(decided, "alert_id")
+    return base.join(decided, "alert_id")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenespark import constants as C
+from scenespark.functions.numbers import exact_round
 from scenespark.functions import geometry as G
 from scenespark.operators.checkpoints import cut
 from scenespark.operators.ordering import with_hash_position, with_sorted_position
@@ -89,7 +90,7 @@ def small_image_gate(labels: DataFrame) -> DataFrame:
 
 # Boxes are stored with six decimals, and later steps see the stored values.
 def _stored(labels: DataFrame) -> DataFrame:
-    out = labels.select("stem", "source", "class_id", *[F.round(c, 6).alias(c) for c in BOX])
+    out = labels.select("stem", "source", "class_id", *[exact_round(c, 6).alias(c) for c in BOX])
     return out.filter(G.label_is_valid("class_id", *BOX))
 
 
@@ -148,7 +149,7 @@ def class_distribution(labels: DataFrame) -> DataFrame:
     return per_image.groupBy("class_id").agg(
         F.count(F.lit(1)).alias("images"), F.sum("n").alias("annotations")
     ).withColumn(
-        "image_pct", F.round(F.col("images") / F.greatest(total.scalar(), F.lit(1)) * 100, 1)
+        "image_pct", exact_round(F.col("images") / F.greatest(total.scalar(), F.lit(1)) * 100, 1)
     )
 
 
@@ -281,9 +282,9 @@ def split_statistics(labels: DataFrame) -> DataFrame:
     ])
     return wide.select(
         "split", "total",
-        F.round(F.array_max(present) / F.greatest(F.lit(1), F.array_min(present)), 1).alias("imbalance"),
+        exact_round(F.array_max(present) / F.greatest(F.lit(1), F.array_min(present)), 1).alias("imbalance"),
         F.inline(rows),
-    ).withColumn("pct", F.round(F.col("annotations") / F.greatest(F.lit(1), F.col("total")) * 100, 1))
+    ).withColumn("pct", exact_round(F.col("annotations") / F.greatest(F.lit(1), F.col("total")) * 100, 1))
 
 
 def class_balance(labels: DataFrame) -> DataFrame:
@@ -299,7 +300,7 @@ def class_balance(labels: DataFrame) -> DataFrame:
     # Limits of the verdicts.
     return one.select("total", F.inline(rows)).select(
         "class_id", "class_name", "annotations",
-        F.round(pct, 1).alias("pct"),
+        exact_round(pct, 1).alias("pct"),
         F.when(n == 0, "NO DATA").when(pct > 70, "HEAVILY IMBALANCED").when(pct < 1, "TOO RARE")
         .otherwise("OK").alias("verdict"),
         (n == 0).alias("is_missing"),
@@ -317,8 +318,8 @@ def compare_versions(before: DataFrame, after: DataFrame) -> DataFrame:
     bp, ap = F.col("before_n") / bt * 100, F.col("after_n") / at * 100
     return joined.select(
         "class_id", "class_name", "before_n", "after_n",
-        F.round(bp, 1).alias("before_pct"), F.round(ap, 1).alias("after_pct"),
-        F.round(ap - bp, 1).alias("change"),
+        exact_round(bp, 1).alias("before_pct"), exact_round(ap, 1).alias("after_pct"),
+        exact_round(ap - bp, 1).alias("change"),
         F.when(ap > bp, "up").when(ap < bp, "down").otherwise("same").alias("direction"),
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenespark import constants as C
+from scenespark.functions.numbers import exact_round
 from scenespark.functions.scores import lookup
 
 
@@ -50,7 +51,7 @@ DECIMALS = {
 def rounded(df: DataFrame) -> DataFrame:
     """Round every known measure to its serialised precision."""
     return df.withColumns(
-        {c: F.round(c, d) for c, d in DECIMALS.items() if c in df.columns}
+        {c: exact_round(c, d) for c, d in DECIMALS.items() if c in df.columns}
     )
 
 
@@ -151,13 +152,13 @@ def detection_stats(facts: DataFrame, by: list[str] | None = None) -> DataFrame:
     return facts.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_frames"),
         dets.alias("total_detections"),
-        F.round(dets / F.count(F.lit(1)), 2).alias("detections_per_frame"),
+        exact_round(dets / F.count(F.lit(1)), 2).alias("detections_per_frame"),
         F.count_if("has_critical").alias("critical_frames"),
         F.count_if("has_high").alias("high_frames"),
-        F.round(
+        exact_round(
             F.coalesce(F.try_divide(F.sum(F.col("avg_confidence") * F.col("detection_count")), dets), F.lit(0.0)), 4
         ).alias("avg_confidence"),
-        F.round(F.avg("inference_ms"), 2).alias("avg_inference_ms"),
+        exact_round(F.avg("inference_ms"), 2).alias("avg_inference_ms"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenespark import constants as C
+from scenespark.functions.numbers import exact_round
 from scenespark.functions import text
 from scenespark.operators.ordering import (
     BLOCK_ROWS, block_window, first_rows, frame_bucket, own_rows, with_blocks, with_position,
@@ -20,8 +21,13 @@ def with_frame_position(frames: DataFrame) -> DataFrame:
 
 
 def _slope(y: Column, x: Column, w) -> Column:
-    """Least-squares slope of whole-number counts, from exact integer sums."""
-    n = F.count(F.lit(1)).over(w)
+    """Least-squares slope of whole numbers from exact integer sums.
+
+    Exact sums make the result independent of how rows are cut into blocks. Rows
+    with a null ``y`` do not count.
+    """
+    x = F.when(y.isNotNull(), x)
+    n = F.count(y).over(w)
     sx, sy = F.sum(x).over(w), F.sum(y).over(w)
     sxx, sxy = F.sum(x * x).over(w), F.sum(x * y).over(w)
     return F.try_divide((n * sxy - sx * sy).cast("double"), (n * sxx - sx * sx).cast("double"))
@@ -63,7 +69,8 @@ def window_stats(
             "_prev_avg": F.avg(n).over(run.rowsBetween(-4, -1)),
             "_person_slope": _slope(persons, F.col("_x"), recent),
             "_count_slope": _slope(n, F.col("_x"), recent),
-            "_motion_slope": F.regr_slope(F.col("motion_score"), F.col("_mx").cast("double")).over(recent),
+            # motion is serialised with four decimals
+            "_motion_slope": _slope(F.rint(F.col("motion_score") * 10000).cast("bigint"), F.col("_mx"), recent) / 10000.0,
             "_motions": F.count("motion_score").over(recent),
             "window_start_persons": F.first("persons").over(recent),
         })
@@ -100,12 +107,12 @@ def window_alert_list() -> Column:
 
     sudden = alert(
         "sudden_appearance", text.sudden_text("increase", "prev_avg", "detection_count"),
-        F.struct(F.round("prev_avg", 1).alias("previous_avg"), F.col("detection_count").alias("current_count"),
-                 F.round("increase", 1).alias("increase")),
+        F.struct(exact_round("prev_avg", 1).alias("previous_avg"), F.col("detection_count").alias("current_count"),
+                 exact_round("increase", 1).alias("increase")),
     )
     buildup = alert(
         "crowd_buildup", text.buildup_text("buildup_rate", "persons"),
-        F.struct(F.round("buildup_rate", 4).alias("buildup_rate"), F.col("persons").alias("current_persons"),
+        F.struct(exact_round("buildup_rate", 4).alias("buildup_rate"), F.col("persons").alias("current_persons"),
                  "window_start_persons"),
     )
     return F.array_compact(F.array(

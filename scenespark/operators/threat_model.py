@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenespark import constants as C
+from scenespark.functions.numbers import exact_round
 from scenespark.functions.scores import threat_label
 
 
@@ -93,7 +94,7 @@ def classify(features: DataFrame, model: ThreatModel | None) -> DataFrame:
     return (
         scored.withColumn("threat_label", F.get(F.lit(labels), F.col("prediction").cast("int")))
         .withColumn("threat_proba", F.map_from_arrays(
-            F.lit(labels), F.transform(share, lambda p: F.round(p, 4))))
+            F.lit(labels), F.transform(share, lambda p: exact_round(p, 4))))
         .drop("vector", "rawPrediction", "probability", "prediction")
     )
 

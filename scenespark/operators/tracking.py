@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenespark import constants as C
+from scenespark.functions.numbers import exact_round
 from scenespark.functions import text
 from scenespark.operators.chained import CHUNK, run_chained
 from scenespark.operators.checkpoints import cut
@@ -73,6 +74,23 @@ def _iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
 
 
+def match_frame(boxes: np.ndarray, live_box: np.ndarray) -> tuple[list[int], bool]:
+    """Live track taken by each detection in order, -1 for none; and whether an
+    exact tie went to the older track."""
+    if not len(live_box):
+        return [-1] * len(boxes), False
+    overlap, taken, tie = _iou_matrix(boxes, live_box), [], False
+    for row in overlap:
+        best = int(row.argmax())
+        if row[best] >= C.IOU_MATCH:
+            tie = tie or int((row == row[best]).sum()) > 1
+            overlap[:, best] = -1.0
+            taken.append(best)
+        else:
+            taken.append(-1)
+    return taken, tie
+
+
 def match_chunk(
     frame: np.ndarray, prev: np.ndarray, boxes: np.ndarray, start_boxes: np.ndarray, start_last: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
@@ -91,26 +109,21 @@ def match_chunk(
         keep = prev[lo] - live_last <= C.TRACK_MAX_GAP
         if not keep.all():
             live, live_box, live_last = live[keep], live_box[keep], live_last[keep]
+        taken, tied = match_frame(boxes[lo:hi], live_box)
+        tie = tie or tied
         fresh = []
-        overlap = _iou_matrix(boxes[lo:hi], live_box) if len(live) else None
-        for i in range(lo, hi):
-            if overlap is not None:
-                row = overlap[i - lo]
-                best = int(row.argmax())
-                if row[best] >= C.IOU_MATCH:
-                    tie = tie or int((row == row[best]).sum()) > 1
-                    number[i] = live[best]
-                    live_box[best], live_last[best] = boxes[i], frame[i]
-                    overlap[:, best] = -1.0
-                    continue
-            fresh.append(i)
+        for i, t in zip(range(lo, hi), taken):
+            if t < 0:
+                fresh.append(i)
+            else:
+                number[i] = live[t]
+                live_box[t], live_last[t] = boxes[i], frame[i]
         if fresh:
-            new = np.arange(created, created + len(fresh))
-            number[fresh] = new
-            created += len(fresh)
-            live = np.concatenate([live, new])
+            number[fresh] = np.arange(created, created + len(fresh))
+            live = np.concatenate([live, number[fresh]])
             live_box = np.concatenate([live_box, boxes[fresh]])
             live_last = np.concatenate([live_last, frame[fresh]])
+            created += len(fresh)
     return number, live, live_box, live_last, tie
 
 
@@ -322,13 +335,13 @@ def live_tracks(obs: DataFrame, frames: DataFrame) -> DataFrame:
 def track_listing(obs: DataFrame, frames: DataFrame, keep: int = 10) -> DataFrame:
     """Live tracks per frame with their latest positions, rounded."""
     run = Window.partitionBy("feed_id", "track_id", "_block").orderBy("frame_count").rowsBetween(-(keep - 1), 0)
-    point = F.struct(F.round("center_x", 4).alias("x"), F.round("center_y", 4).alias("y"))
+    point = F.struct(exact_round("center_x", 4).alias("x"), exact_round("center_y", 4).alias("y"))
     with_points = own_rows(
         with_blocks(obs, "frame_count", keep - 1).withColumn("positions", F.collect_list(point).over(run))
     )
     return live_tracks(with_points, frames).select(
         *KEY, "track_id", "class_name",
-        F.round("center_x", 4).alias("center_x"), F.round("center_y", 4).alias("center_y"),
+        exact_round("center_x", 4).alias("center_x"), exact_round("center_y", 4).alias("center_y"),
         "frame_count", "is_approaching", "is_loitering", "positions",
     )
 
@@ -349,10 +362,10 @@ def track_facts(live: DataFrame) -> DataFrame:
         text.loitering_text("class_name", "track_id", "frame_count", "center_x", "center_y").alias("description"),
         F.to_json(F.struct(
             "track_id", "class_name", "frame_count",
-            F.round("center_x", 4).alias("center_x"), F.round("center_y", 4).alias("center_y"),
+            exact_round("center_x", 4).alias("center_x"), exact_round("center_y", 4).alias("center_y"),
         )).alias("details"),
     )
-    approach = F.struct("track_id", "class_name", F.round("y_displacement", 4).alias("y_displacement"))
+    approach = F.struct("track_id", "class_name", exact_round("y_displacement", 4).alias("y_displacement"))
     return (
         live.withColumn("_lead", lead)
         .withColumn("_lead_id", F.min(F.when(moving, F.col("track_id"))).over(frame))
@@ -380,7 +393,11 @@ def temporal_frames(stats: DataFrame, tracks: DataFrame) -> DataFrame:
     ``alerts`` lists all alerts of the frame in order; ``temporal_reasons`` are
     their descriptions and ``temporal_risk`` the composite risk.
     """
-    j = stats.join(tracks, KEY, "left")
+    return temporal_columns(stats.join(tracks, KEY, "left"))
+
+
+def temporal_columns(j: DataFrame) -> DataFrame:
+    """Alerts, reasons and risk from columns of window statistics and track facts."""
     zero = ["tracked_objects", "approaching_count", "loitering_count", "approach_n", "active_tracks",
             "moving_count", "coordinated_count"]
     j = j.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in zero})

@@ -157,11 +157,13 @@ FROM (
     SELECT *,
       avg(detection_count) OVER (PARTITION BY feed_id ORDER BY frame_id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS avg4,
       {slope('persons')} AS person_slope, {slope('detection_count')} AS count_slope,
-      regr_slope(motion_score, mx) OVER {w} AS motion_slope,
+      CAST(count(m4) OVER {w} * sum(m4 * mx) OVER {w} - sum(mx) OVER {w} * sum(m4) OVER {w} AS DOUBLE)
+        / nullif(CAST(count(m4) OVER {w} * sum(mx * mx) OVER {w} - sum(mx) OVER {w} * sum(mx) OVER {w} AS DOUBLE), 0) / 10000 AS motion_slope,
       count(motion_score) OVER {w} AS motions,
       first_value(persons) OVER {w} AS window_start_persons,
       lag(frame_id) OVER (PARTITION BY feed_id ORDER BY frame_id) AS prev_frame
-    FROM (SELECT *, count(motion_score) OVER (PARTITION BY feed_id ORDER BY frame_id) AS mx FROM {source})))
+    FROM (SELECT *, CAST(round(motion_score * 10000) AS BIGINT) AS m4,
+      CASE WHEN motion_score IS NOT NULL THEN count(motion_score) OVER (PARTITION BY feed_id ORDER BY frame_id) END AS mx FROM {source})))
 """)
 
 

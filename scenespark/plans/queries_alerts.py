@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scenespark import constants as C
+from scenespark.functions.numbers import exact_round
 from scenespark.functions import scores
 from scenespark.operators import alerts as A, anomaly, cooldown, frames as FR, iforest, temporal as T, threat_model as TM
 from scenespark.operators.frames import KEY
@@ -27,7 +28,7 @@ SELECT feed_id, frame_id, round(base_score, 4) AS base_score, round(anomaly_scor
   round(anomaly_prob, 4) AS anomaly_prob, alert_level FROM c_scored""")
 def rule_scores(spark, sf):
     return anomaly.score_frames(facts(spark, sf)).select(
-        *KEY, *[F.round(c, 4).alias(c) for c in ("base_score", "anomaly_score", "anomaly_prob")], "alert_level")
+        *KEY, *[exact_round(c, 4).alias(c) for c in ("base_score", "anomaly_score", "anomaly_prob")], "alert_level")
 
 
 @query("boost_reasons", """
@@ -97,7 +98,7 @@ def forest_nodes(spark, sf):
 @query("forest_scores")
 def forest_scores(spark, sf):
     feats, model = _forest(spark, sf)
-    return iforest.score(feats, model).select(*KEY, F.round("model_score", 4).alias("model_score"))
+    return iforest.score(feats, model).select(*KEY, exact_round("model_score", 4).alias("model_score"))
 
 
 @query("forest_session_levels")
@@ -117,7 +118,7 @@ def threat_labels(spark, sf):
     fitted = TM.fit(rows, trees=40, folds=0)
     c = TM.classify(feats, fitted)
     top = F.array_max(F.map_values("threat_proba"))
-    return c.select(*KEY, "threat_label", F.round(top, 4).alias("top_share"))
+    return c.select(*KEY, "threat_label", exact_round(top, 4).alias("top_share"))
 
 
 # --- fusion and alerts ----------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenespark import constants as C
+from scenespark.functions.numbers import exact_round
 from scenespark.functions import geometry as G, scores, sql as sql_functions
 from scenespark.operators import alerts as A, anomaly, frames as FR, temporal as T, tracking as K, zones as Z
 from scenespark.operators.frames import KEY
@@ -60,8 +61,8 @@ SELECT det_id, round(((x1 + x2) / 2) / 1280, 6) AS center_x, round(((y1 + y2) /
   round(((x2 - x1) / 1280) * ((y2 - y1) / 720), 8) AS area_norm FROM c_raw""")
 def box_geometry(spark, sf):
     d = FR.normalise_boxes(D.raw_detections(spark, sf), 1280, 720)
-    return d.select("det_id", *[F.round(c, 6).alias(c) for c in ("center_x", "center_y", "width_norm", "height_norm")],
-                    F.round("area_norm", 8).alias("area_norm"))
+    return d.select("det_id", *[exact_round(c, 6).alias(c) for c in ("center_x", "center_y", "width_norm", "height_norm")],
+                    exact_round("area_norm", 8).alias("area_norm"))
 
 
 @query("class_lookup", """
@@ -103,7 +104,7 @@ SELECT feed_id, frame_id, CAST(detection_count AS DOUBLE) AS detection_count, CA
 FROM c_facts""")
 def frame_features(spark, sf):
     f = FR.features(facts(spark, sf))
-    return f.select(*KEY, *[F.round(F.col(c).cast("double"), 4).alias(c) for c in C.FEATURES])
+    return f.select(*KEY, *[exact_round(F.col(c).cast("double"), 4).alias(c) for c in C.FEATURES])
 
 
 @query("standardised_features", """
@@ -114,7 +115,7 @@ SELECT feed_id, frame_id, round((a - avg(a) OVER p) / stddev_pop(a) OVER p, 3) A
 FROM f WINDOW p AS (PARTITION BY feed_id)""")
 def standardised_features(spark, sf):
     z = anomaly.standardise(FR.features(facts(spark, sf)), ["feed_id"])
-    return z.select(*KEY, *[F.round(c, 3).alias(c) for c in ("detection_count", "avg_center_y", "motion")])
+    return z.select(*KEY, *[exact_round(c, 3).alias(c) for c in ("detection_count", "avg_center_y", "motion")])
 
 
 @query("nested_frames", """
@@ -159,7 +160,7 @@ def feed_catalogue(spark, sf):
     """Some feeds report no frame rate and get a zero duration."""
     feeds = D.frames(spark, sf).groupBy("feed_id").agg(F.count(F.lit(1)).alias("total_frames")).withColumns({
         "fps": ((F.col("feed_id") % 4) * 10).cast("double"), "width": F.lit(640), "height": F.lit(640)})
-    return records.feed_catalogue(feeds).withColumn("duration", F.round("duration", 4))
+    return records.feed_catalogue(feeds).withColumn("duration", exact_round("duration", 4))
 
 
 @query("valid_emails", """
@@ -191,7 +192,7 @@ SELECT count(*) AS total_frames, CAST(sum(detection_count) AS BIGINT) AS total_d
 def overall_totals(spark, sf):
     return FR.detection_stats(facts(spark, sf), []).select(
         "total_frames", "total_detections",
-        F.round(F.col("total_detections") / F.greatest(F.col("total_frames"), F.lit(1)), 1).alias("average"))
+        exact_round(F.col("total_detections") / F.greatest(F.col("total_frames"), F.lit(1)), 1).alias("average"))
 
 
 @query("class_counts", "SELECT feed_id, class_name, count(*) AS detections FROM c_det GROUP BY 1, 2")
@@ -275,14 +276,14 @@ def zone_frame_risk(spark, sf):
     z = F.col("zone_scores")
     return risk(spark, sf).select(
         *KEY, "violation_count", "max_severity", *[z[n["name"]].alias(n["name"]) for n in C.DEFAULT_ZONES],
-        F.round("zone_risk", 4).alias("zone_risk"), F.size("zone_reasons").cast("bigint").alias("reasons"))
+        exact_round("zone_risk", 4).alias("zone_risk"), F.size("zone_reasons").cast("bigint").alias("reasons"))
 
 
 @query("zone_risk_by_day", "SELECT feed_id, frame_id, round(base_risk, 4) AS zone_risk FROM c_zrisk")
 def zone_risk_by_day(spark, sf):
     """Risk without the night boost."""
     f = FR.frame_facts(D.frames(spark, sf), zoned(spark, sf), Z.zone_aggregates(reasons=False))
-    return Z.zone_risk(f, night=False).select(*KEY, F.round("zone_risk", 4).alias("zone_risk"))
+    return Z.zone_risk(f, night=False).select(*KEY, exact_round("zone_risk", 4).alias("zone_risk"))
 
 
 @query("night_frames", "SELECT feed_id, count(*) FILTER (hour(ts) >= 21 OR hour(ts) < 5) AS night, count(*) AS total FROM c_frm GROUP BY 1")
@@ -325,14 +326,14 @@ def zone_listing(spark, sf):
 def _window_sql(block):
     return f"""
 SELECT feed_id, frame_id, window_size, round(prev_avg, 4) AS prev_avg, round(increase, 4) AS increase, is_sudden, is_buildup,
-  round(detection_trend, 6) AS detection_trend, round(motion_trend, 6) AS motion_trend, prev_frame,
+  round(detection_trend, 6) AS detection_trend, round(motion_trend, 4) AS motion_trend, prev_frame,
   CAST(window_start_persons AS BIGINT) AS window_start_persons FROM {block}"""
 
 
 def _window_rows(s):
-    return s.select(*KEY, "window_size", F.round("prev_avg", 4).alias("prev_avg"), F.round("increase", 4).alias("increase"),
-                    "is_sudden", "is_buildup", F.round("detection_trend", 6).alias("detection_trend"),
-                    F.round("motion_trend", 6).alias("motion_trend"), "prev_frame", "window_start_persons")
+    return s.select(*KEY, "window_size", exact_round("prev_avg", 4).alias("prev_avg"), exact_round("increase", 4).alias("increase"),
+                    "is_sudden", "is_buildup", exact_round("detection_trend", 6).alias("detection_trend"),
+                    exact_round("motion_trend", 4).alias("motion_trend"), "prev_frame", "window_start_persons")
 
 
 @query("window_statistics", _window_sql("c_stats"))
@@ -391,7 +392,7 @@ def baseline_selection(spark, sf):
 SELECT feed_id, count(*) AS frames, CAST(epoch(max(ts)) - epoch(min(ts)) AS DOUBLE) AS elapsed_seconds,
   round(count(*) / greatest(epoch(max(ts)) - epoch(min(ts)), 0.001), 8) AS effective_fps FROM c_frm GROUP BY 1""")
 def effective_rate(spark, sf):
-    return T.effective_fps(D.frames(spark, sf)).withColumn("effective_fps", F.round("effective_fps", 8))
+    return T.effective_fps(D.frames(spark, sf)).withColumn("effective_fps", exact_round("effective_fps", 8))
 
 
 @query("adjacent_overlaps", """
@@ -403,7 +404,7 @@ p AS (SELECT d.feed_id, d.frame_id, f.prev_frame, d.det_id, q.det_id AS prev_det
 SELECT feed_id, frame_id, prev_frame, det_id, prev_det_id, round(inter / (aa + bb - inter), 6) AS iou FROM p WHERE inter / (aa + bb - inter) >= 0.3""")
 def adjacent_overlaps(spark, sf):
     p = T.pairwise_iou(detections(spark, sf), D.frames(spark, sf))
-    return p.withColumn("iou", F.round("iou", 6))
+    return p.withColumn("iou", exact_round("iou", 6))
 
 
 @query("box_overlap", """
@@ -414,8 +415,8 @@ def box_overlap(spark, sf):
     sql_functions.register(spark)
     d = detections(spark, sf)
     other = (F.col("x1") + 10, F.col("y1") + 40, F.col("x2") + 20, F.col("y2") + 40)
-    d = d.withColumn("iou", F.round(G.iou(("x1", "y1", "x2", "y2"), other), 6))
-    check = F.round(F.call_function("iou", F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), *other), 6)
+    d = d.withColumn("iou", exact_round(G.iou(("x1", "y1", "x2", "y2"), other), 6))
+    check = exact_round(F.call_function("iou", F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), *other), 6)
     return d.select("det_id", F.when(check == F.col("iou"), F.col("iou")).alias("iou"))
 
 
@@ -441,8 +442,8 @@ SELECT feed_id, lane, frame_id, det_id, frame_count, next_frame, round(dy, 4) AS
 def track_motion(spark, sf):
     """Displacement, loitering and direction over the retained positions of a track."""
     m = K.track_motion(_lanes(spark, sf), ["feed_id", "lane"])
-    return m.select("feed_id", "lane", "frame_id", "det_id", "frame_count", "next_frame", F.round("y_displacement", 4).alias("y_displacement"),
-                    "is_approaching", "is_loitering", F.round("dir_x", 4).alias("dir_x"), F.round("dir_y", 4).alias("dir_y"))
+    return m.select("feed_id", "lane", "frame_id", "det_id", "frame_count", "next_frame", exact_round("y_displacement", 4).alias("y_displacement"),
+                    "is_approaching", "is_loitering", exact_round("dir_x", 4).alias("dir_x"), exact_round("dir_y", 4).alias("dir_y"))
 
 
 def _observed(spark, sf):
@@ -458,7 +459,7 @@ def _temporal(spark, sf):
 @query("track_observations")
 def track_observations(spark, sf):
     obs, _ = _observed(spark, sf)
-    return obs.select(*KEY, "det_id", "track_id", "class_name", "frame_count", F.round("y_displacement", 4).alias("y_displacement"),
+    return obs.select(*KEY, "det_id", "track_id", "class_name", "frame_count", exact_round("y_displacement", 4).alias("y_displacement"),
                       "is_approaching", "is_loitering")
 
 
@@ -493,7 +494,7 @@ def coordinated_movement(spark, sf):
 @query("temporal_risk")
 def temporal_risk(spark, sf):
     return _temporal(spark, sf).select(
-        *KEY, "window_size", F.size("alerts").alias("alerts"), F.round("temporal_risk", 4).alias("temporal_risk"),
+        *KEY, "window_size", F.size("alerts").alias("alerts"), exact_round("temporal_risk", 4).alias("temporal_risk"),
         "tracked_objects", "approaching_count", "loitering_count")
 
 
@@ -511,4 +512,4 @@ def window_risk(spark, sf):
     s = stats(spark, sf)
     n = {"CRITICAL": F.lit(0), "MEDIUM": F.lit(0), "HIGH": F.col("is_sudden").cast("int") + F.col("is_buildup").cast("int")}
     r = T.temporal_risk(n, F.col("detection_trend"), F.col("motion_trend"), F.lit(0), F.lit(0))
-    return s.select(*KEY, F.round(r, 4).alias("temporal_risk"))
+    return s.select(*KEY, exact_round(r, 4).alias("temporal_risk"))

@@ -27,6 +27,27 @@ def block(name: str, sql: str) -> None:
     CTES[name] = sql
 
 
+def _exact_rounds(sql: str) -> str:
+    """``round(x, n)`` by text, so that both engines round the exact value."""
+    out, at = "", 0
+    for m in re.finditer(r"\bround\(", sql):
+        if m.start() < at:
+            continue
+        depth, comma, end = 1, None, m.end()
+        while depth:
+            ch = sql[end]
+            depth += (ch == "(") + (ch == "[") - (ch == ")") - (ch == "]")
+            if ch == "," and depth == 1:
+                comma = end
+            end += 1
+        digits = sql[comma + 1:end - 1].strip() if comma else ""
+        if digits.isdigit():
+            inner = _exact_rounds(sql[m.end():comma])
+            out += sql[at:m.start()] + f"CAST(printf('%.{digits}f', CAST({inner} AS DOUBLE)) AS DOUBLE)"
+            at = end
+    return out + sql[at:]
+
+
 def expanded(sql: str) -> str:
     """The statement with every building block it needs, in dependency order."""
     order: list[str] = []
@@ -40,9 +61,9 @@ def expanded(sql: str) -> str:
 
     need(sql)
     if not order:
-        return sql
+        return _exact_rounds(sql)
     head = "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order)
     body = sql.strip()
     if body.upper().startswith("WITH "):
-        return head + ",\n" + body[5:]
-    return head + "\n" + body
+        return _exact_rounds(head + ",\n" + body[5:])
+    return _exact_rounds(head + "\n" + body)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenespark import constants as C
+from scenespark.functions.numbers import exact_round
 from scenespark.functions.scores import chart_band
 
 
@@ -25,7 +26,7 @@ def kpis(alerts: DataFrame, sessions: DataFrame) -> DataFrame:
     return a.withColumn("_s", s.select(pick.alias("s")).scalar()).select(
         "total_alerts", "critical", "high",
         F.col("_s.total_detections").alias("total_detections"),
-        F.round(F.col("_s.flagged") / F.greatest(F.col("_s.scored"), F.lit(1)), 4).alias("alert_rate"),
+        exact_round(F.col("_s.flagged") / F.greatest(F.col("_s.scored"), F.lit(1)), 4).alias("alert_rate"),
     )
 
 
@@ -54,7 +55,7 @@ def anomaly_timeline(frames: DataFrame) -> DataFrame:
     Output order is per feed: range partitioning by (feed, frame), no single task.
     """
     return frames.select(
-        "feed_id", "frame_id", F.round("anomaly_score", 4).alias("anomaly_score"),
+        "feed_id", "frame_id", exact_round("anomaly_score", 4).alias("anomaly_score"),
         chart_band("anomaly_score").alias("band"),
     ).orderBy("feed_id", "frame_id")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenespark import constants as C
+from scenespark.functions.numbers import exact_round
 from scenespark.operators import alerts as A
 from scenespark.operators import anomaly, frames as FR, iforest, temporal, threat_model, tracking, zones as Z
 from scenespark.operators.checkpoints import cut
@@ -95,11 +96,11 @@ def frame_report(table: DataFrame, n: int = 500) -> DataFrame:
     picked = first_rows(scored_frames(table), ["feed_id"], ["frame_id"], n)
     return picked.select(
         *KEY, "detection_count",
-        F.round("anomaly_score", 4).alias("anomaly_score"), "alert_level",
-        F.round("zone_risk", 4).alias("zone_risk"), F.col("max_severity").alias("zone_severity"),
+        exact_round("anomaly_score", 4).alias("anomaly_score"), "alert_level",
+        exact_round("zone_risk", 4).alias("zone_risk"), F.col("max_severity").alias("zone_severity"),
         F.col("violation_count").alias("zone_violations"),
-        F.round("temporal_risk", 4).alias("temporal_risk"), F.size("alerts").alias("temporal_alerts"),
-        "tracked_objects", F.round("detection_trend", 4).alias("detection_trend"),
+        exact_round("temporal_risk", 4).alias("temporal_risk"), F.size("alerts").alias("temporal_alerts"),
+        "tracked_objects", exact_round("detection_trend", 4).alias("detection_trend"),
     )
 
 
@@ -128,17 +129,17 @@ def session_summary(table: DataFrame, timings: list[str] | None = None) -> DataF
         F.count_if(scored & (level == "high")).alias("high_alert_frames"),
         F.count_if(scored & (level == "critical")).alias("critical_frames"),
         F.count_if(scored & (F.col("final_level") != "normal")).alias("alerts_raised"),
-        F.round(flagged / F.greatest(n_scored, F.lit(1)), 4).alias("alert_rate"),
+        exact_round(flagged / F.greatest(n_scored, F.lit(1)), 4).alias("alert_rate"),
         F.sum("violation_count").alias("total_zone_violations"),
         F.count_if(has_violation & restricted).alias("zone_critical_count"),
         F.count_if(has_violation & ~restricted).alias("zone_buffer_count"),
         F.sum(F.size("alerts")).alias("total_temporal_alerts"),
         F.coalesce(F.sum(F.when(has_alert, F.col("approaching_count"))), F.lit(0)).alias("temporal_approach_count"),
         F.coalesce(F.sum(F.when(has_alert, F.col("loitering_count"))), F.lit(0)).alias("temporal_loiter_count"),
-        F.round(F.avg("inference_ms"), 2).alias("avg_inference_ms"),
-        F.round(seconds, 2).alias("elapsed_seconds"),
-        F.round(total / F.greatest(seconds, F.lit(0.001)), 2).alias("effective_fps"),
-        *[F.round(F.sum(F.when(scored, F.col(t))) / F.greatest(n_scored, F.lit(1)), 2).alias(f"avg_{t}")
+        exact_round(F.avg("inference_ms"), 2).alias("avg_inference_ms"),
+        exact_round(seconds, 2).alias("elapsed_seconds"),
+        exact_round(total / F.greatest(seconds, F.lit(0.001)), 2).alias("effective_fps"),
+        *[exact_round(F.sum(F.when(scored, F.col(t))) / F.greatest(n_scored, F.lit(1)), 2).alias(f"avg_{t}")
           for t in timings or []],
     )
 
