@@ -23,3 +23,9 @@ def exact_round(x, decimals: int) -> Column:
     scaled = x * float(10**decimals)
     near_tie = F.abs(F.abs(scaled - F.floor(scaled)) - 0.5) < 1e-6
     return F.when(near_tie, fixed(x, decimals).cast("double")).otherwise(F.rint(scaled) / float(10**decimals))
+
+
+def stored(x, decimals: int) -> Column:
+    """The same value by way of its text. Names its input once, so it suits long
+    expressions, which ``exact_round`` would repeat."""
+    return fixed(x, decimals).cast("double")

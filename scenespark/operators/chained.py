@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scenespark.operators.checkpoints import cut
+from scenespark.operators.ordering import spread
 
 CHUNK = ["feed_id", "block", "part"]
 
@@ -48,7 +49,8 @@ def run_chained(
             return step(rows, state) if len(rows) else pd.DataFrame(columns=names)
 
         keyed = start.withColumn("part", F.lit(0).cast("bigint"))
-        return cut(todo.groupBy(*CHUNK).cogroup(keyed.groupBy(*CHUNK)).applyInPandas(one, schema))
+        pairs = spread(todo, *CHUNK).groupBy(*CHUNK).cogroup(spread(keyed, *CHUNK).groupBy(*CHUNK))
+        return cut(pairs.applyInPandas(one, schema))
 
     def left_behind(result: DataFrame) -> DataFrame:
         outs = result.filter("kind = 'out'").join(tails, CHUNK).withColumn("block", F.col("block") + 1)
@@ -59,8 +61,8 @@ def run_chained(
         packed = F.array_sort(F.collect_list(entry))
         return start.groupBy("feed_id", "block").agg(F.to_json(packed).alias(name))
 
-    result = run(chunked, left_behind_empty(spark, schema, state_cols))
-    used = left_behind_empty(spark, schema, state_cols)
+    result = run(chunked, _no_state(spark, schema, state_cols))
+    used = _no_state(spark, schema, state_cols)
     while True:
         start = cut(left_behind(result))
         strict = order_col is None or bool(result.filter("kind = 'end' AND tie").head(1))
@@ -77,6 +79,6 @@ def run_chained(
         used = start
 
 
-def left_behind_empty(spark, schema: str, state_cols: list[str]) -> DataFrame:
+def _no_state(spark, schema: str, state_cols: list[str]) -> DataFrame:
     fields = {f.name: f for f in T._parse_datatype_string(schema).fields}
     return spark.createDataFrame([], T.StructType([fields[c] for c in ["feed_id", "block", *state_cols]]))

@@ -17,7 +17,7 @@ from scenespark import constants as C
 from scenespark.operators.alerts import notifiable
 from scenespark.operators.chained import CHUNK, run_chained
 from scenespark.operators.checkpoints import cut
-from scenespark.operators.ordering import BLOCK_ROWS, block_window, with_blocks, with_position
+from scenespark.operators.ordering import BLOCK_ROWS, block_window, spread, with_blocks, with_position
 
 _SCHEMA = (
     "feed_id long, block long, part long, kind string, alert_id string, notify boolean, "
@@ -78,7 +78,7 @@ def notifications(
             rows, notify, _ = decide(rows, None)
             return pd.DataFrame({"alert_id": rows["alert_id"].to_numpy(), "notify": notify})
 
-        decided = chunked.groupBy(*CHUNK).applyInPandas(plain, "alert_id string, notify boolean")
+        decided = spread(chunked, *CHUNK).groupBy(*CHUNK).applyInPandas(plain, "alert_id string, notify boolean")
     else:
         names = [f.split()[0] for f in _SCHEMA.split(", ")]
 

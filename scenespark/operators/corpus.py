@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenespark import constants as C
-from scenespark.functions.numbers import exact_round
+from scenespark.functions.numbers import exact_round, stored
 from scenespark.functions import geometry as G
 from scenespark.operators.checkpoints import cut
 from scenespark.operators.ordering import with_hash_position, with_sorted_position
@@ -26,21 +26,59 @@ def to_shares(pixel: DataFrame) -> DataFrame:
     return pixel.withColumns(share).drop("xmin", "ymin", "xmax", "ymax")
 
 
+def computed(df: DataFrame, *columns) -> DataFrame:
+    """Select columns as finished values.
+
+    Filters on the result are not pushed into the expressions again, which would
+    evaluate long box arithmetic once per mention.
+    """
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
+def _fitted(df: DataFrame, keep: list[str]) -> DataFrame:
+    """Boxes ``_px, _py, _pw, _ph`` (shares of the target square) fitted into it;
+    boxes under 3 px drop out."""
+    step = df.withColumns({"cx": G.clamp("_px", 0.001, 0.999), "cy": G.clamp("_py", 0.001, 0.999)})
+    step = step.withColumns({
+        "w": F.least(F.col("_pw"), 2 * F.least(F.col("cx"), 1 - F.col("cx"))),
+        "h": F.least(F.col("_ph"), 2 * F.least(F.col("cy"), 1 - F.col("cy"))),
+    })
+    return computed(step, *keep, *BOX).filter(G.at_least_px("w", "h"))
+
+
+def _with_letterbox(df: DataFrame, size: int = C.IMG_SIZE) -> DataFrame:
+    """Scale and padding of the letterbox as columns, each computed once."""
+    scaled = df.withColumn("_scale", F.least(F.lit(size) / F.col("img_w"), F.lit(size) / F.col("img_h")))
+    return scaled.withColumns({
+        "_pad_x": F.floor((F.lit(size) - F.floor(F.col("img_w") * F.col("_scale"))) / 2),
+        "_pad_y": F.floor((F.lit(size) - F.floor(F.col("img_h") * F.col("_scale"))) / 2),
+    })
+
+
+def _letterboxed(size: int = C.IMG_SIZE) -> dict:
+    w, h, s = F.col("img_w"), F.col("img_h"), F.col("_scale")
+    return {
+        "_px": (F.col("cx") * w * s + F.col("_pad_x")) / size, "_py": (F.col("cy") * h * s + F.col("_pad_y")) / size,
+        "_pw": F.col("w") * w * s / size, "_ph": F.col("h") * h * s / size,
+    }
+
+
 def letterbox_labels(labels: DataFrame) -> DataFrame:
     """Share boxes moved into the letterboxed square; boxes under 3 px drop out."""
-    moved = G.letterbox_box("cx", "cy", "w", "h", "img_w", "img_h")
-    out = labels.select(*[c for c in labels.columns if c not in BOX], *[c.alias(n) for n, c in moved.items()])
-    return out.filter(G.at_least_px("w", "h"))
+    keep = [c for c in labels.columns if c not in BOX]
+    return _fitted(_with_letterbox(labels).withColumns(_letterboxed()), keep)
 
 
 def needs_tiles():
     return (F.col("img_w") > C.TILE_TRIGGER) | (F.col("img_h") > C.TILE_TRIGGER)
 
 
-def shrink_oversized(pixel: DataFrame) -> DataFrame:
+def shrink_oversized(pixel: DataFrame, where=None) -> DataFrame:
     """Scale images whose longer side exceeds the limit, boxes along with them."""
     limit = C.TILE_MAX_SIDE
     big = (F.col("img_w") > limit) | (F.col("img_h") > limit)
+    if where is not None:
+        big = big & where
     scale = F.when(big, F.least(F.lit(limit) / F.col("img_w"), F.lit(limit) / F.col("img_h"))).otherwise(F.lit(1.0))
     s = pixel.withColumn("_s", scale)
     return s.withColumns({
@@ -57,26 +95,27 @@ def tile_grid(images: DataFrame) -> DataFrame:
     )
 
 
+def _in_tile(x, y, size: int = C.IMG_SIZE) -> dict:
+    return {
+        "_px": (x - F.col("tile_x")) / size, "_py": (y - F.col("tile_y")) / size,
+        "_pw": (F.col("xmax") - F.col("xmin")) / size, "_ph": (F.col("ymax") - F.col("ymin")) / size,
+    }
+
+
 def tile_labels(pixel: DataFrame) -> DataFrame:
     """Annotations cut into the tiles that hold their centre.
 
     Tiles come from the centre itself (at most three per axis), so there is no
     join with a tile table and no shuffle.
     """
-    size = C.IMG_SIZE
+    keep = [c for c in pixel.columns if c not in ("xmin", "ymin", "xmax", "ymax")] + ["tile_x", "tile_y"]
     mid = pixel.withColumn("_x", (F.col("xmin") + F.col("xmax")) / 2).withColumn(
         "_y", (F.col("ymin") + F.col("ymax")) / 2
     )
     placed = mid.withColumn("tile_x", F.explode(G.tiles_holding("_x", "img_w"))).withColumn(
         "tile_y", F.explode(G.tiles_holding("_y", "img_h"))
     )
-    local = G.fit_inside(
-        (F.col("_x") - F.col("tile_x")) / size, (F.col("_y") - F.col("tile_y")) / size,
-        (F.col("xmax") - F.col("xmin")) / size, (F.col("ymax") - F.col("ymin")) / size,
-    )
-    drop = {"_x", "_y", "xmin", "ymin", "xmax", "ymax"}
-    out = placed.select(*[c for c in placed.columns if c not in drop], *[c.alias(n) for n, c in local.items()])
-    return out.filter(G.at_least_px("w", "h"))
+    return _fitted(placed.withColumns(_in_tile(F.col("_x"), F.col("_y"))), keep)
 
 
 def within_limits(images: DataFrame, size_col: str = "bytes") -> DataFrame:
@@ -90,33 +129,50 @@ def small_image_gate(labels: DataFrame) -> DataFrame:
 
 # Boxes are stored with six decimals, and later steps see the stored values.
 def _stored(labels: DataFrame) -> DataFrame:
-    out = labels.select("stem", "source", "class_id", *[exact_round(c, 6).alias(c) for c in BOX])
+    out = computed(labels, "stem", "source", "class_id", *[stored(c, 6).alias(c) for c in BOX])
     return out.filter(G.label_is_valid("class_id", *BOX))
 
 
 def stage(pixel: DataFrame) -> DataFrame:
     """Mapped pixel annotations of all sources -> one staged label table.
 
-    Needs ``stem, source, img_w, img_h, class_id`` and corner boxes. All branches
-    are narrow; the union reads each source once.
+    Needs ``stem, source, img_w, img_h, class_id`` and corner boxes. One narrow
+    pass: each row takes the way of its source (letterboxed as it is, clamped
+    first, or cut into tiles) inside the projection, so sources are neither
+    scanned again nor united.
     """
-    named = pixel.withColumn("stem", source_stem())
-    dota, rest = named.filter("source = 'dota'"), named.filter("source <> 'dota'")
-    visdrone = to_shares(rest.filter("source = 'visdrone'"))
-    clamped = visdrone.withColumns({c: G.clamp(c, 0.001, 0.999) for c in BOX}).filter(
-        (F.col("w") * F.col("img_w") >= C.MIN_BOX_PX) & (F.col("h") * F.col("img_h") >= C.MIN_BOX_PX)
+    dota, visdrone = F.col("source") == "dota", F.col("source") == "visdrone"
+    tiled = dota & ((F.col("_w0") > C.TILE_TRIGGER) | (F.col("_h0") > C.TILE_TRIGGER))
+    rows = pixel.withColumn("stem", source_stem()).withColumns({"_w0": F.col("img_w"), "_h0": F.col("img_h")})
+    rows = rows.withColumn("_tiled", tiled)
+    rows = shrink_oversized(rows, F.col("_tiled"))
+    share = G.corners_to_center("xmin", "ymin", "xmax", "ymax", "img_w", "img_h")
+    rows = rows.withColumns(share).withColumns(
+        {c: F.when(visdrone, G.clamp(c, 0.001, 0.999)).otherwise(F.col(c)) for c in BOX}
+    ).withColumns({"_x": (F.col("xmin") + F.col("xmax")) / 2, "_y": (F.col("ymin") + F.col("ymax")) / 2})
+    rows = computed(
+        rows, "stem", "source", "class_id", "img_w", "img_h", "_tiled", *BOX, "_x", "_y", "xmin", "ymin", "xmax", "ymax"
     )
-    other = to_shares(rest.filter("source <> 'visdrone'"))
-    other = other.filter(G.label_is_valid("class_id", *BOX))
-    small = small_image_gate(to_shares(dota.filter(~needs_tiles())))
-    tiled = tile_labels(shrink_oversized(dota.filter(needs_tiles()))).withColumn(
-        "stem", F.concat("stem", F.lit("_t"), F.col("tile_x"), F.lit("_"), F.col("tile_y"))
+    usable = (
+        F.when(F.col("_tiled"), F.lit(True))
+        .when(dota, (F.col("cx") > 0) & (F.col("cx") < 1) & (F.col("cy") > 0) & (F.col("cy") < 1)
+              & (F.col("w") > 0.003) & (F.col("h") > 0.003))
+        .when(visdrone, (F.col("w") * F.col("img_w") >= C.MIN_BOX_PX) & (F.col("h") * F.col("img_h") >= C.MIN_BOX_PX))
+        .otherwise(G.label_is_valid("class_id", *BOX))
     )
-    parts = [letterbox_labels(p) for p in (other, clamped, small)]
-    out = _stored(parts[0])
-    for p in (*parts[1:], tiled):
-        out = out.unionByName(_stored(p))
-    return out
+    whole = F.array(F.lit(-1))
+    placed = (
+        _with_letterbox(rows.filter(usable))
+        .withColumn("tile_x", F.explode(F.when(F.col("_tiled"), G.tiles_holding("_x", "img_w")).otherwise(whole)))
+        .withColumn("tile_y", F.explode(F.when(F.col("_tiled"), G.tiles_holding("_y", "img_h")).otherwise(whole)))
+    )
+    in_tile, in_square = _in_tile(F.col("_x"), F.col("_y")), _letterboxed()
+    boxed = placed.withColumns({
+        **{c: F.when(F.col("_tiled"), in_tile[c]).otherwise(in_square[c]) for c in in_tile},
+        "stem": F.when(F.col("_tiled"), F.concat("stem", F.lit("_t"), F.col("tile_x"), F.lit("_"), F.col("tile_y")))
+        .otherwise(F.col("stem")),
+    })
+    return _stored(_fitted(boxed, ["stem", "source", "class_id"]))
 
 
 def image_index(labels: DataFrame) -> DataFrame:
@@ -153,11 +209,6 @@ def class_distribution(labels: DataFrame) -> DataFrame:
     )
 
 
-def _with_group_size(df: DataFrame, by: list[str], name: str = "_n") -> DataFrame:
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
-    return df.join(sizes, by)
-
-
 def downsample(categories: DataFrame, seed: int = C.SEED) -> DataFrame:
     """Keep a fixed share of the over-represented categories, all of the others.
 
@@ -167,7 +218,7 @@ def downsample(categories: DataFrame, seed: int = C.SEED) -> DataFrame:
     thinned = categories.filter(F.col("category").isin(list(C.KEEP_RATIO)))
     whole = categories.filter(~F.col("category").isin(list(C.KEEP_RATIO)))
     ratio = F.create_map(*[F.lit(x) for kv in C.KEEP_RATIO.items() for x in kv])[F.col("category")]
-    ranked = with_hash_position(_with_group_size(thinned, ["category"]), ["category"], "stem", seed)
+    ranked = with_hash_position(thinned, ["category"], "stem", seed, total="_n")
     kept = ranked.filter(F.col("pos") <= F.floor(F.col("_n") * ratio)).drop("_n", "pos")
     return whole.unionByName(kept)
 
@@ -193,12 +244,25 @@ def flip_labels(labels: DataFrame) -> DataFrame:
     return labels.withColumn("stem", F.concat("stem", F.lit("_hflip"))).withColumn("cx", G.flip_horizontal("cx"))
 
 
-def augment(selected: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Selection and labels with flipped copies of scarce rare images appended."""
-    scarce = to_augment(selected)
-    copies = scarce.withColumn("stem", F.concat("stem", F.lit("_hflip"))).withColumn("category", F.lit("rare_aug"))
-    flipped = flip_labels(labels.join(scarce.select("stem"), "stem", "left_semi"))
-    return selected.unionByName(copies), labels.unionByName(flipped.select(*labels.columns))
+def augment(selected: DataFrame) -> DataFrame:
+    """Selection with flipped copies of scarce rare images appended.
+
+    ``base_stem`` and ``flipped`` tell where the labels of an image come from.
+    """
+    own = selected.withColumn("base_stem", F.col("stem")).withColumn("flipped", F.lit(False))
+    copies = to_augment(selected).withColumns({
+        "base_stem": F.col("stem"), "flipped": F.lit(True),
+        "stem": F.concat("stem", F.lit("_hflip")), "category": F.lit("rare_aug"),
+    })
+    return own.unionByName(copies.select(*own.columns))
+
+
+def labels_of(images: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels of the selected images; copies get mirrored boxes. One pass over labels."""
+    base = labels.withColumnRenamed("stem", "base_stem")
+    out = base.join(images.select("stem", "base_stem", "flipped", *(["split"] if "split" in images.columns else [])), "base_stem")
+    return out.withColumn("cx", F.when(F.col("flipped"), G.flip_horizontal("cx")).otherwise(F.col("cx"))).drop(
+        "base_stem", "flipped")
 
 
 def stratified_split(selected: DataFrame, seed: int = C.SEED + 1) -> DataFrame:
@@ -206,7 +270,7 @@ def stratified_split(selected: DataFrame, seed: int = C.SEED + 1) -> DataFrame:
     n = F.col("_n")
     val = F.greatest(F.lit(1), F.floor(n * 0.10))
     train = n - 2 * val
-    ranked = with_hash_position(_with_group_size(selected, ["category"]), ["category"], "stem", seed)
+    ranked = with_hash_position(selected, ["category"], "stem", seed, total="_n")
     return ranked.withColumn(
         "split",
         F.when((n < 3) | (F.col("pos") <= train), "train")
@@ -219,7 +283,7 @@ def random_split(images: DataFrame, seed: int = C.SEED) -> DataFrame:
     n = F.col("_n")
     train_end = F.floor(n * 0.8)
     val_end = train_end + F.floor(n * 0.1)
-    ranked = with_hash_position(_with_group_size(images, ["source"]), ["source"], "stem", seed)
+    ranked = with_hash_position(images, ["source"], "stem", seed, total="_n")
     return ranked.withColumn(
         "split",
         F.when(F.col("pos") <= train_end, "train").when(F.col("pos") <= val_end, "val").otherwise("test"),
@@ -232,7 +296,7 @@ def source_split(images: DataFrame) -> DataFrame:
     Needs ``source, given_split, stem``.
     """
     train = images.filter("given_split = 'train'")
-    ranked = with_sorted_position(_with_group_size(train, ["source"]), ["source"], "stem")
+    ranked = with_sorted_position(train, ["source"], "stem", total="_n")
     carved = ranked.withColumn(
         "split", F.when(F.col("pos") <= F.floor(F.col("_n") * 0.90), "train").otherwise("test")
     ).drop("_n", "pos")
@@ -256,7 +320,7 @@ def cap_vehicle_boxes(labels: DataFrame, limit: int = C.MAX_VEHICLE_BOXES, seed:
 def drop_vehicle_only(index: DataFrame, ratio: float = C.VEHICLE_ONLY_REMOVE, seed: int = C.SEED) -> DataFrame:
     """Remove a share of the images whose only class is vehicle, within each split."""
     only = F.col("classes") == F.array(F.lit(1))
-    ranked = with_hash_position(_with_group_size(index.filter(only), ["split"]), ["split"], "stem", seed)
+    ranked = with_hash_position(index.filter(only), ["split"], "stem", seed, total="_n")
     kept = ranked.filter(F.col("pos") > F.floor(F.col("_n") * ratio)).drop("_n", "pos")
     return index.filter(~only).unionByName(kept)
 
@@ -403,9 +467,7 @@ def build_corpus(pixel: DataFrame, seed: int = C.SEED, materialise: bool = True)
     selected = downsample(index, seed)
     if materialise:
         selected = cut(selected)
-    chosen, all_labels = augment(selected, labels)
-    images = stratified_split(chosen, seed + 1)
+    images = stratified_split(augment(selected), seed + 1)
     if materialise:
         images = cut(images)
-    final = all_labels.join(images.select("stem", "split"), "stem")
-    return Corpus(images, final)
+    return Corpus(images, labels_of(images, labels))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenespark import constants as C
-from scenespark.operators.ordering import BLOCK_ROWS, first_rows, hash_key
+from scenespark.operators.ordering import BLOCK_ROWS, first_rows, hash_key, spread
 
 EULER = 0.5772156649015329
 NODE_SCHEMA = (
@@ -128,7 +128,7 @@ def fit(
         pdf = pdf.sort_values("frame_id")
         return _fit_one(pdf[C.FEATURES].to_numpy(float), int(key[0]), trees, contamination, seed)
 
-    return rows.groupBy("feed_id").applyInPandas(run, NODE_SCHEMA)
+    return spread(rows, "feed_id").groupBy("feed_id").applyInPandas(run, NODE_SCHEMA)
 
 
 def score(features: DataFrame, model: DataFrame, scope: str = "feed", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -155,7 +155,7 @@ def score(features: DataFrame, model: DataFrame, scope: str = "feed", block_rows
         s = score_samples(frames[C.FEATURES].to_numpy(float), trees) - float(trees["offset"].iloc[0])
         return pd.DataFrame({"feed_id": frames["feed_id"], "frame_id": frames["frame_id"], "model_score": s})
 
-    return rows.groupBy(*group).cogroup(nodes.groupBy(*model_group)).applyInPandas(
+    return spread(rows, *group).groupBy(*group).cogroup(spread(nodes, *model_group).groupBy(*model_group)).applyInPandas(
         run, "feed_id long, frame_id long, model_score double"
     )
 

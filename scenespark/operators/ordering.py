@@ -24,12 +24,14 @@ def with_position(
     order: Sequence[Column | str],
     bucket: Column,
     name: str = "pos",
+    total: str | None = None,
 ) -> DataFrame:
     """Exact 1-based position of each row within ``group`` by ``order``.
 
     ``bucket`` must be non-decreasing along ``order`` and hold few rows each.
     Buckets are counted with map-side combine; only the counts (one row per
-    bucket) are ordered per group.
+    bucket) are ordered per group. ``total`` also adds the size of the group,
+    which the bucket counts know already.
     """
     group = list(group)
     tagged = df.withColumn("_bucket", bucket)
@@ -38,8 +40,10 @@ def with_position(
         tagged.groupBy(*group, "_bucket")
         .agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .drop("_rows")
     )
+    if total:
+        offsets = offsets.withColumn(total, F.sum("_rows").over(Window.partitionBy(*group)))
+    offsets = offsets.drop("_rows")
     local = Window.partitionBy(*group, "_bucket").orderBy(*order)
     return (
         tagged.withColumn("_local", F.row_number().over(local))
@@ -60,18 +64,18 @@ def hash_key(key: Column | str, seed: int) -> Column:
 
 
 def with_hash_position(
-    df: DataFrame, group: Sequence[str], key: str, seed: int, name: str = "pos",
-    extra_order: Sequence[str] = (),
+    df: DataFrame, group: Sequence[str], key: str, seed: int, name: str = "pos", total: str | None = None
 ) -> DataFrame:
     """Position in hash order. The hash prefix is an even bucket by construction."""
     keyed = df.withColumn("_hash", hash_key(key, seed))
     return with_position(
-        keyed, group, ["_hash", key, *extra_order], F.substring("_hash", 1, 3), name
+        keyed, group, ["_hash", key], F.substring("_hash", 1, 3), name, total
     ).drop("_hash")
 
 
 def with_sorted_position(
-    df: DataFrame, group: Sequence[str], key: str, name: str = "pos", boundaries: int = 256
+    df: DataFrame, group: Sequence[str], key: str, name: str = "pos", boundaries: int = 256,
+    total: str | None = None,
 ) -> DataFrame:
     """Position by an arbitrary sort key (for example a name).
 
@@ -91,7 +95,7 @@ def with_sorted_position(
     tagged = df.join(bounds, group).withColumn(
         "_range", F.size(F.filter("_bounds", lambda b: b <= F.col(key)))
     ).drop("_bounds")
-    return with_position(tagged, group, [key], F.col("_range"), name).drop("_range")
+    return with_position(tagged, group, [key], F.col("_range"), name, total).drop("_range")
 
 
 def with_blocks(
@@ -132,3 +136,13 @@ def first_rows(df: DataFrame, group: Sequence[str], order: Sequence, n: int) ->
     """First ``n`` rows per group. Spark trims each task to ``n`` before the shuffle."""
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitions by ``keys`` that adaptive execution does not merge.
+
+    Merging goes by bytes; groups that are small but costly in Python would end up
+    in one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

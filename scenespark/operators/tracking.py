@@ -27,7 +27,7 @@ from scenespark.operators.chained import CHUNK, run_chained
 from scenespark.operators.checkpoints import cut
 from scenespark.operators.frames import KEY
 from scenespark.operators.ordering import (
-    BLOCK_ROWS, block_window, frame_bucket, own_rows, with_blocks, with_position,
+    BLOCK_ROWS, block_window, frame_bucket, own_rows, spread, with_blocks, with_position,
 )
 from scenespark.operators.temporal import FEED, temporal_risk, window_alert_list, with_frame_position
 
@@ -194,7 +194,7 @@ def _match_clean(chunked: DataFrame) -> DataFrame:
             "root_frame": frame[at], "root_det": det[at],
         })
 
-    return chunked.groupBy(*CHUNK).applyInPandas(
+    return spread(chunked, *CHUNK).groupBy(*CHUNK).applyInPandas(
         run, "feed_id long, frame_id long, det_id long, root_frame long, root_det long"
     )
 

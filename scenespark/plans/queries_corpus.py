@@ -8,6 +8,7 @@ from scenespark import constants as C
 from scenespark.functions.numbers import exact_round
 from scenespark.functions import geometry as G
 from scenespark.operators import corpus as K
+from scenespark.operators.checkpoints import cut
 from scenespark.plans.registry import block, query
 from scenespark.sinks import tables
 from scenespark.sources import derived as D, labels as L
@@ -407,12 +408,12 @@ def categories(spark, sf):
 
 
 def _selected(spark, sf):
-    return K.downsample(categories(spark, sf))
+    # one narrow row per image, used several times by the ranks
+    return K.downsample(cut(categories(spark, sf)))
 
 
 def _augmented(spark, sf):
-    lab = labels_only(spark, sf).withColumn("cx", F.lit(0.25))
-    return K.augment(_selected(spark, sf), lab)
+    return K.augment(cut(_selected(spark, sf)))
 
 
 @query("image_categories", "SELECT stem, category, array_to_string(classes, ',') AS classes, boxes FROM c_cat")
@@ -440,19 +441,21 @@ def projected_distribution(spark, sf):
 
 @query("augmented_images", "SELECT stem, category FROM c_aug")
 def augmented_images(spark, sf):
-    return _augmented(spark, sf)[0].select("stem", "category")
+    return _augmented(spark, sf).select("stem", "category")
 
 
 @query("augmented_labels", """
-SELECT stem, class_id, count(*) AS boxes FROM (SELECT stem, class_id FROM c_lab UNION ALL
-  SELECT a.stem, l.class_id FROM c_aug a JOIN c_lab l ON a.stem = l.stem || '_hflip' WHERE a.category = 'rare_aug') GROUP BY 1, 2""")
+SELECT a.stem, l.class_id, count(*) AS boxes, max(CASE WHEN a.category = 'rare_aug' THEN 0.75::DOUBLE ELSE 0.25 END) AS cx
+FROM c_aug a JOIN c_lab l ON l.stem = CASE WHEN a.category = 'rare_aug' THEN left(a.stem, len(a.stem) - 6) ELSE a.stem END GROUP BY 1, 2""")
 def augmented_labels(spark, sf):
-    return _augmented(spark, sf)[1].groupBy("stem", "class_id").agg(F.count(F.lit(1)).alias("boxes"))
+    lab = labels_only(spark, sf).withColumn("cx", F.lit(0.25))
+    return K.labels_of(_augmented(spark, sf), lab).groupBy("stem", "class_id").agg(
+        F.count(F.lit(1)).alias("boxes"), F.max("cx").alias("cx"))
 
 
 @query("stratified_split", "SELECT stem, category, split FROM c_split")
 def stratified_split(spark, sf):
-    return K.stratified_split(_augmented(spark, sf)[0]).select("stem", "category", "split")
+    return K.stratified_split(_augmented(spark, sf)).select("stem", "category", "split")
 
 
 block("c_rsplit", """
