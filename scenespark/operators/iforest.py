@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenespark import constants as C
-from scenespark.operators.ordering import BLOCK_ROWS, first_rows, hash_key, spread
+from scenespark.operators.ordering import first_rows, hash_key, spread
 
 EULER = 0.5772156649015329
 NODE_SCHEMA = (
@@ -35,51 +35,62 @@ def average_path(n) -> np.ndarray:
     return out
 
 
-def grow_tree(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
-    """Nodes ``(feature, threshold, left, right, depth)``; leaves have feature -1
-    and the depth corrected for the points left in them."""
-    nodes: list[tuple] = []
-    stack = [(np.arange(len(x)), 0, -1, False)]
-    while stack:
-        rows, depth, parent, is_right = stack.pop()
-        at = len(nodes)
-        if parent >= 0:
-            f, t, left, right, d = nodes[parent]
-            nodes[parent] = (f, t, left, at, d) if is_right else (f, t, at, right, d)
-        sub = x[rows]
-        low, high = (sub.min(axis=0), sub.max(axis=0)) if len(rows) else (0, 0)
-        spread = np.flatnonzero(high > low) if len(rows) > 1 else np.array([], dtype=int)
-        if depth >= limit or len(spread) == 0:
-            nodes.append((-1, 0.0, -1, -1, depth + float(average_path([len(rows)])[0])))
-            continue
-        feature = int(rng.choice(spread))
-        threshold = float(rng.uniform(low[feature], high[feature]))
-        nodes.append((feature, threshold, -1, -1, float(depth)))
-        goes_left = sub[:, feature] <= threshold
-        stack.append((rows[~goes_left], depth + 1, at, True))
-        stack.append((rows[goes_left], depth + 1, at, False))
-    return nodes
+def grow_forest(x: np.ndarray, trees: int, size: int, rng: np.random.Generator) -> pd.DataFrame:
+    """Nodes of all trees, grown level by level for all trees at once.
+
+    ``node`` counts through the whole forest; the roots are ``0 .. trees - 1``.
+    Leaves have feature -1 and hold their depth plus the expected rest depth of
+    the points left in them.
+    """
+    limit = int(np.ceil(np.log2(max(size, 2))))
+    picks = np.argsort(rng.random((trees, len(x))), axis=1)[:, :size]
+    points, node = x[picks.ravel()], np.repeat(np.arange(trees), size)
+    tree_of, columns, made = np.arange(trees), [], trees
+    for depth in range(limit + 1):
+        order = np.argsort(node, kind="stable")
+        points, node = points[order], node[order]
+        ids, starts, counts = np.unique(node, return_index=True, return_counts=True)
+        low, high = np.minimum.reduceat(points, starts, axis=0), np.maximum.reduceat(points, starts, axis=0)
+        open_features = high > low
+        splits = open_features.any(axis=1) & (depth < limit)
+        feature = np.where(splits, np.where(open_features, rng.random(low.shape), -1.0).argmax(axis=1), -1)
+        at = np.arange(len(ids))
+        lo, hi = low[at, feature], high[at, feature]
+        cut_at = lo + (hi - lo) * rng.random(len(ids))
+        cut_at = np.where(cut_at < hi, cut_at, lo)
+        left = np.full(len(ids), -1)
+        left[splits] = made + 2 * np.arange(int(splits.sum()))
+        columns.append(pd.DataFrame({
+            "tree": tree_of, "node": ids, "feature": feature, "threshold": np.where(splits, cut_at, 0.0),
+            "left": left, "right": np.where(splits, left + 1, -1),
+            "depth": np.where(splits, depth, depth + average_path(counts)),
+        }))
+        if not splits.any():
+            break
+        owner = np.repeat(at, counts)
+        stay = splits[owner]
+        points, owner = points[stay], owner[stay]
+        goes_right = points[np.arange(len(points)), feature[owner]] > cut_at[owner]
+        node = left[owner] + goes_right
+        made += 2 * int(splits.sum())
+        tree_of = np.repeat(tree_of[splits], 2)
+    return pd.concat(columns, ignore_index=True)
 
 
 def mean_depth(x: np.ndarray, nodes: pd.DataFrame) -> np.ndarray:
-    """Mean corrected depth of each row over all trees, one level per step."""
-    total = np.zeros(len(x))
-    count = 0
-    for _, tree in nodes.groupby("tree", sort=False):
-        tree = tree.sort_values("node")
-        feature, threshold = tree["feature"].to_numpy(), tree["threshold"].to_numpy()
-        left, right, depth = tree["left"].to_numpy(), tree["right"].to_numpy(), tree["depth"].to_numpy()
-        at = np.zeros(len(x), dtype=np.int64)
-        while True:
-            f = feature[at]
-            inner = np.flatnonzero(f >= 0)
-            if not len(inner):
-                break
-            go_left = x[inner, f[inner]] <= threshold[at[inner]]
-            at[inner] = np.where(go_left, left[at[inner]], right[at[inner]])
-        total += depth[at]
-        count += 1
-    return total / max(count, 1)
+    """Mean corrected depth of each row over all trees, all trees one level per step."""
+    nodes = nodes.sort_values("node")
+    feature, threshold = nodes["feature"].to_numpy(), nodes["threshold"].to_numpy()
+    left, depth = nodes["left"].to_numpy(), nodes["depth"].to_numpy()
+    trees = int(nodes["tree"].max()) + 1
+    row = np.repeat(np.arange(len(x)), trees)
+    at = np.tile(np.arange(trees), len(x))
+    inner = np.flatnonzero(feature[at] >= 0)
+    while len(inner):
+        here = at[inner]
+        at[inner] = left[here] + (x[row[inner], feature[here]] > threshold[here])
+        inner = inner[feature[at[inner]] >= 0]
+    return depth[at].reshape(len(x), trees).mean(axis=1)
 
 
 def score_samples(x: np.ndarray, nodes: pd.DataFrame) -> np.ndarray:
@@ -89,16 +100,8 @@ def score_samples(x: np.ndarray, nodes: pd.DataFrame) -> np.ndarray:
 
 def _fit_one(x: np.ndarray, feed: int, trees: int, contamination: float, seed: int) -> pd.DataFrame:
     size = min(C.FOREST_SAMPLE, len(x))
-    limit = int(np.ceil(np.log2(max(size, 2))))
     rng = np.random.default_rng([seed, zlib.crc32(str(feed).encode())])
-    parts = []
-    for t in range(trees):
-        pick = rng.permutation(len(x))[:size]
-        nodes = pd.DataFrame(grow_tree(x[pick], rng, limit), columns=["feature", "threshold", "left", "right", "depth"])
-        nodes.insert(0, "node", np.arange(len(nodes)))
-        nodes.insert(0, "tree", t)
-        parts.append(nodes)
-    model = pd.concat(parts, ignore_index=True).assign(feed_id=feed, sample_size=size, n_train=len(x))
+    model = grow_forest(x, trees, size, rng).assign(feed_id=feed, sample_size=size, n_train=len(x))
     model["offset"] = np.quantile(score_samples(x, model), contamination)
     return model[[f.split()[0] for f in NODE_SCHEMA.split(", ")]]
 
@@ -131,7 +134,7 @@ def fit(
     return spread(rows, "feed_id").groupBy("feed_id").applyInPandas(run, NODE_SCHEMA)
 
 
-def score(features: DataFrame, model: DataFrame, scope: str = "feed", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def score(features: DataFrame, model: DataFrame, scope: str = "feed", block_rows: int = 4096) -> DataFrame:
     """``model_score`` (0 at the contamination quantile, lower is more anomalous).
 
     The forest of a feed is copied to each block of its frames and meets them in

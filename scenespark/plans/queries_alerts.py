@@ -84,7 +84,7 @@ def threat_classes_present(spark, sf):
 
 # --- models -----------------------------------------------------------------------
 
-def _forest(spark, sf, trees=60):
+def _forest(spark, sf, trees=C.FOREST_TREES):
     feats = FR.features(facts(spark, sf))
     return feats, iforest.fit(T.baseline_frames(feats), trees)
 

@@ -9,6 +9,7 @@ from scenespark import constants as C
 from scenespark.functions.numbers import exact_round
 from scenespark.functions import geometry as G, scores, sql as sql_functions
 from scenespark.operators import alerts as A, anomaly, frames as FR, temporal as T, tracking as K, zones as Z
+from scenespark.operators.checkpoints import cut
 from scenespark.operators.frames import KEY
 from scenespark.plans import reports as R
 from scenespark.plans.registry import query
@@ -447,13 +448,14 @@ def track_motion(spark, sf):
 
 
 def _observed(spark, sf):
-    f = facts(spark, sf)
-    return K.observations(detections(spark, sf), f.select(*KEY, "detection_count")), f
+    # frame facts feed the windows, the chunks and the tracks
+    f = cut(T.with_frame_position(facts(spark, sf)))
+    return K.observations(detections(spark, sf), f), f
 
 
 def _temporal(spark, sf):
     obs, f = _observed(spark, sf)
-    return K.temporal_frames(T.window_stats(f), K.track_facts(K.live_tracks(obs, D.frames(spark, sf))))
+    return K.temporal_frames(T.window_stats(f), K.track_facts(K.live_tracks(obs, f)))
 
 
 @query("track_observations")

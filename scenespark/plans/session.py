@@ -70,7 +70,7 @@ def frame_table(frames: DataFrame, detections: DataFrame, opts: Options | None =
         if model is None:
             first = facts.filter(F.col("pos") <= opts.baseline).select(*KEY)
             model = cut(iforest.fit(feats.join(first, KEY), opts.trees, opts.contamination))
-        scores = iforest.score(feats, model, block_rows=opts.block_rows)
+        scores = iforest.score(feats, model)
     scored = anomaly.score_frames(found, scores)
     if opts.threat is not None:
         labels = threat_model.classify(FR.features(facts), opts.threat).select(*KEY, "threat_label")
