@@ -95,6 +95,8 @@ def detection_aggregates() -> dict:
         "classes": F.array_sort(F.collect_set("class_name")),
         "avg_confidence": F.avg("confidence"),
         "max_confidence": F.max("confidence"),
+        # whole ten-thousandths: sums of them are exact in any order
+        "confidence_units": F.sum(F.rint(F.col("confidence") * 10000).cast("bigint")),
         "critical_count": F.count_if(name.isin(C.THREAT_CLASSES)),
         "avg_center_x": F.avg("center_x"),
         "avg_center_y": F.avg("center_y"),
@@ -107,7 +109,7 @@ def detection_aggregates() -> dict:
 
 # What an empty frame looks like to every consumer.
 EMPTY_FRAME = {
-    "detection_count": 0, "persons": 0, "avg_confidence": 0.0, "max_confidence": 0.0,
+    "detection_count": 0, "persons": 0, "confidence_units": 0, "avg_confidence": 0.0, "max_confidence": 0.0,
     "critical_count": 0,    "avg_center_x": 0.5, "avg_center_y": 0.5, "avg_width_norm": 0.0,
     "suspicious": False, "has_critical": False, "has_high": False,
 }
@@ -145,7 +147,7 @@ def features(facts: DataFrame) -> DataFrame:
 def detection_stats(facts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Session statistics from frame facts: no second pass over detections.
 
-    Mean confidence is over detections, so frame means are weighted back.
+    Mean confidence is over detections, from exact sums per frame.
     """
     by = ["feed_id"] if by is None else by
     dets = F.sum("detection_count")
@@ -156,7 +158,7 @@ def detection_stats(facts: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.count_if("has_critical").alias("critical_frames"),
         F.count_if("has_high").alias("high_frames"),
         exact_round(
-            F.coalesce(F.try_divide(F.sum(F.col("avg_confidence") * F.col("detection_count")), dets), F.lit(0.0)), 4
+            F.coalesce(F.try_divide(F.sum("confidence_units") / 10000.0, dets.cast("double")), F.lit(0.0)), 4
         ).alias("avg_confidence"),
         exact_round(F.avg("inference_ms"), 2).alias("avg_inference_ms"),
     )

@@ -61,7 +61,7 @@ def fit(
     try:
         model = _stages(trees, depth, seed).fit(rows)
         judge = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
-        accuracy = round(judge.evaluate(model.transform(rows)), 4)
+        accuracy = round(float(judge.evaluate(model.transform(rows))), 4)
         cv = None
         if folds and n >= 10 and min(counts.values()) >= folds:
             indexed = model.stages[1].transform(model.stages[0].transform(rows))
@@ -73,7 +73,7 @@ def fit(
                 estimator=forest, estimatorParamMaps=ParamGridBuilder().build(), evaluator=judge,
                 numFolds=folds, seed=seed,
             ).fit(indexed)
-            cv = round(fitted.avgMetrics[0], 4)
+            cv = round(float(fitted.avgMetrics[0]), 4)
         return ThreatModel(model, labels, n, accuracy, cv)
     finally:
         rows.unpersist()

@@ -294,7 +294,7 @@ def track_motion(rows: DataFrame, track: list[str], block_rows: int = BLOCK_ROWS
     placed = with_position(rows, track, ["frame_id", "det_id"], frame_bucket("frame_id"), "frame_count")
     run = block_window(track, "frame_count")
     kept = run.rowsBetween(-(cap - 1), 0)
-    state = with_blocks(placed, "frame_count", cap - 1, block_rows, ahead=1).withColumns({
+    state = with_blocks(placed, "frame_count", cap - 1, max(block_rows, 2 * cap), ahead=1).withColumns({
         "next_frame": F.lead("frame_id").over(run),
         "y_displacement": F.col("center_y") - F.first("center_y").over(kept),
         "x_range": F.max("center_x").over(kept) - F.min("center_x").over(kept),

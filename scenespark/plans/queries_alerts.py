@@ -55,7 +55,7 @@ def alert_frames(spark, sf):
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY feed_id, alert_level <> 'normal' ORDER BY frame_id) AS rn FROM c_scored)
 SELECT feed_id, count(*) AS total_frames, count(*) FILTER (alert_level = 'normal') AS normal_frames,
   count(*) FILTER (alert_level = 'high') AS high_alert_frames, count(*) FILTER (alert_level = 'critical') AS critical_frames,
-  round(count(*) FILTER (alert_level <> 'normal') / count(*), 4) AS alert_rate, round(avg(anomaly_score), 4) AS avg_anomaly_score,
+  round(count(*) FILTER (alert_level <> 'normal') / count(*), 4) AS alert_rate, round(CAST(sum(CAST(round(anomaly_score * 1e9) AS BIGINT)) AS DOUBLE) / count(*) / 1e9, 4) AS avg_anomaly_score,
   round(min(anomaly_score), 4) AS min_anomaly_score, round(avg(anomaly_prob), 4) AS avg_anomaly_prob,
   array_to_string(list(frame_id ORDER BY frame_id) FILTER (alert_level <> 'normal' AND rn <= 20), ',') AS alert_frame_ids
 FROM r GROUP BY 1""")

@@ -180,7 +180,7 @@ def valid_emails(spark, sf):
 SELECT f.feed_id, count(*) AS total_frames, CAST(sum(detection_count) AS BIGINT) AS total_detections,
   round(sum(detection_count) / count(*), 2) AS detections_per_frame, count(*) FILTER (has_critical) AS critical_frames,
   count(*) FILTER (has_high) AS high_frames,
-  round(coalesce((SELECT avg(confidence) FROM c_det d WHERE d.feed_id = f.feed_id), 0), 4) AS avg_confidence,
+  round(coalesce((SELECT CAST(sum(CAST(round(confidence * 10000) AS BIGINT)) AS DOUBLE) / 10000 / count(*) FROM c_det d WHERE d.feed_id = f.feed_id), 0), 4) AS avg_confidence,
   round(avg(inference_ms), 2) AS avg_inference_ms
 FROM c_facts f GROUP BY f.feed_id""")
 def detection_stats(spark, sf):
