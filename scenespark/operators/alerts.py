@@ -13,6 +13,10 @@ from scenespark.functions import scores, text
 from scenespark.operators.ordering import first_rows
 
 
+# Fixed value: zone and temporal reasons an alert takes over.
+REASONS_KEPT = 3
+
+
 def _reasons(name: str):
     return F.coalesce(F.col(name), F.array().cast("array<string>"))
 
@@ -29,8 +33,8 @@ def fuse(frames: DataFrame) -> DataFrame:
         "final_level": F.when(F.coalesce(zone_critical, F.lit(False)), "critical").otherwise(F.col("alert_level")),
         "reasons": F.concat(
             _reasons("anomaly_reasons"),
-            F.slice(_reasons("zone_reasons"), 1, 3),
-            F.slice(_reasons("temporal_reasons"), 1, 3),
+            F.slice(_reasons("zone_reasons"), 1, REASONS_KEPT),
+            F.slice(_reasons("temporal_reasons"), 1, REASONS_KEPT),
         ),
     })
 

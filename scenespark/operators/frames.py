@@ -77,10 +77,17 @@ def keep_every(frames: DataFrame, n: int) -> DataFrame:
 
 
 def first_frames(frames: DataFrame, n: int) -> DataFrame:
-    """First n processed frames of each feed; trimmed before the shuffle."""
-    from scenespark.operators.ordering import first_rows
+    """First n processed frames of each feed.
 
-    return first_rows(frames, ["feed_id"], ["frame_id"], n)
+    Small n are trimmed per task before the shuffle; beyond what Spark trims, the
+    two-level position keeps a busy feed spread out.
+    """
+    from scenespark.operators import ordering
+
+    if n <= ordering.TRIMMED_ROWS:
+        return ordering.first_rows(frames, ["feed_id"], ["frame_id"], n)
+    placed = ordering.with_position(frames, ["feed_id"], ["frame_id"], ordering.frame_bucket(), "_pos")
+    return placed.filter(F.col("_pos") <= n).drop("_pos")
 
 
 KEY = ["feed_id", "frame_id"]

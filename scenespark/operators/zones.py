@@ -88,8 +88,8 @@ def join_zones(detections: DataFrame, zones: DataFrame) -> DataFrame:
     """The same from a zone table, optionally one zone set per ``feed_id``.
 
     Each feed's zones travel as one ordered array, so the join is an equi-join on
-    the feed (or a single-row side when all feeds share the zones) and the first
-    hit is found inside the row. Detections are never multiplied by zones.
+    the feed (or a scalar subquery when all feeds share the zones) and the first hit
+    is found inside the row. Detections are never multiplied by zones.
     """
     keys = ["feed_id"] if "feed_id" in zones.columns else []
     packed = zones.groupBy(*keys).agg(
@@ -98,8 +98,7 @@ def join_zones(detections: DataFrame, zones: DataFrame) -> DataFrame:
     if keys:
         joined = detections.join(packed, keys, "left")
     else:
-        # one row by construction (global aggregate)
-        joined = detections.join(F.broadcast(packed))
+        joined = detections.withColumn("_zones", packed.scalar())
     hit = F.filter("_zones", lambda z: in_polygon_array("center_x", "center_y", z["polygon"]))
     first = F.get(hit, F.lit(0))
     return _violation_columns(
@@ -127,17 +126,29 @@ def zone_aggregates(zones: list[dict] | None = None, reasons: bool = True) -> di
     aggs["zone_rank"] = F.max(F.when(viol, scores.severity_rank("zone_level")))
     aggs["restricted_threats"] = F.count_if((F.col("zone_level") == "RESTRICTED") & F.col("is_high_threat"))
     if reasons:
-        entry = F.when(viol, F.struct(
-            "det_id",
-            text.violation_reason("class_name", "confidence", "zone_label", "is_high_threat").alias("reason"),
-        ))
+        # what the text needs, not the text: that is built after the shuffle
+        order = scores.lookup({z["name"]: z["zone_order"] for z in zones}, "zone_name")
+        entry = F.when(viol, F.struct("det_id", "class_name", "confidence", order.alias("zone")))
         # collect_list skips nulls; one entry per violating detection of one frame
         aggs["_zone_reasons"] = F.array_sort(F.collect_list(entry))
     return aggs
 
 
-def zone_risk(facts: DataFrame, zones: list[dict] | None = None, night: bool = True) -> DataFrame:
-    """Severity, per-zone counts and risk from frame facts carrying zone aggregates."""
+def _reason_texts(entries: Column, zones: list[dict], keep: int | None) -> Column:
+    if keep is not None:
+        entries = F.slice(entries, 1, keep)
+    labels = F.array(*[F.lit(z["label"]) for z in zones])
+    return F.transform(entries, lambda e: text.violation_reason(
+        e["class_name"], e["confidence"], F.get(labels, e["zone"]), e["class_name"].isin(C.ZONE_THREAT_CLASSES)))
+
+
+def zone_risk(
+    facts: DataFrame, zones: list[dict] | None = None, night: bool = True, keep_reasons: int | None = None
+) -> DataFrame:
+    """Severity, per-zone counts and risk from frame facts carrying zone aggregates.
+
+    ``keep_reasons`` words only the first reasons of a frame, all when None.
+    """
     zones = zone_defaults(zones)
     n = {z["name"]: F.coalesce(F.col(f"zone_{z['zone_order']}"), F.lit(0)) for z in zones}
     risk = C.ZONE_HIGH_THREAT_RISK * F.coalesce("restricted_threats", F.lit(0))
@@ -156,7 +167,7 @@ def zone_risk(facts: DataFrame, zones: list[dict] | None = None, night: bool = T
     if "_zone_reasons" in facts.columns:
         out = out.withColumn(
             "zone_reasons",
-            F.coalesce(F.transform("_zone_reasons", lambda r: r["reason"]), F.array().cast("array<string>")),
+            F.coalesce(_reason_texts(F.col("_zone_reasons"), zones, keep_reasons), F.array().cast("array<string>")),
         ).drop("_zone_reasons")
     if night:
         out = out.withColumn("zone_risk", scores.night_boost("zone_risk", "ts"))

@@ -56,7 +56,7 @@ def frame_table(frames: DataFrame, detections: DataFrame, opts: Options | None =
         detections = detections.join(chosen.select(*KEY), KEY, "left_semi")
     zoned = Z.assign_zones(detections, opts.zones)
     facts = FR.frame_facts(chosen, zoned, Z.zone_aggregates(opts.zones))
-    facts = Z.zone_risk(facts, opts.zones, opts.night_boost)
+    facts = Z.zone_risk(facts, opts.zones, opts.night_boost, keep_reasons=A.REASONS_KEPT)
     facts = cut(temporal.with_frame_position(facts))
 
     stats = temporal.window_stats(facts, opts.window, opts.block_rows)
