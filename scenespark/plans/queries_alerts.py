@@ -160,7 +160,30 @@ def cooldown_keys(spark, sf):
     return A.notifiable(rule_alerts(spark, sf)).select("alert_id", F.array_join("cooldown_keys", ",").alias("keys"))
 
 
-@query("notifications")
+_KEYS = ["aircraft", "crowd", "military_vehicle", "suspicious_object"]
+
+
+def _cooldown_sql(wait: int) -> str:
+    """The rule as a walk over the alerts of each feed, one step per alert."""
+    flags = ", ".join(f"contains({JOINED}, '{k}') AS k{i + 1}" for i, k in enumerate(_KEYS))
+    any_key = " OR ".join(f"k{i + 1}" for i in range(4))
+    clear = " AND ".join(f"(NOT k{i} OR sec - last[{i}] >= {wait})" for i in range(1, 6))
+    update = ", ".join(f"CASE WHEN k{i} THEN sec ELSE last[{i}] END" for i in range(1, 6))
+    start = ", ".join(["CAST(-1000000000000 AS BIGINT)"] * 5)
+    return f"""
+WITH a AS MATERIALIZED (SELECT *, NOT ({any_key}) AS k5 FROM (
+  SELECT alert_id, feed_id, frame_id, priority, CAST(epoch(ts) AS BIGINT) AS sec, {flags},
+    row_number() OVER (PARTITION BY feed_id ORDER BY ts, frame_id) AS i FROM c_alert WHERE priority IN ('HIGH', 'CRITICAL'))),
+walk AS (
+  SELECT feed_id, CAST(0 AS BIGINT) AS i, [{start}] AS last, CAST(NULL AS VARCHAR) AS alert_id, CAST(0 AS BIGINT) AS frame_id,
+    CAST(NULL AS VARCHAR) AS priority, false AS notify FROM (SELECT DISTINCT feed_id FROM a)
+  UNION ALL
+  SELECT feed_id, i, CASE WHEN ok THEN [{update}] ELSE last END, alert_id, frame_id, priority, ok FROM (
+    SELECT a.*, walk.last, {clear} AS ok FROM walk JOIN a ON a.feed_id = walk.feed_id AND a.i = walk.i + 1))
+SELECT alert_id, feed_id, frame_id, priority, notify FROM walk WHERE i > 0"""
+
+
+@query("notifications", _cooldown_sql(43200))
 def notifications(spark, sf):
     n = cooldown.notifications(rule_alerts(spark, sf), 43200)
     return n.select("alert_id", "feed_id", "frame_id", "priority", "notify")
@@ -376,6 +399,13 @@ def hotspots_by_risk(spark, sf):
 
 # --- the whole session -----------------------------------------------------------------
 
+@query("notifications_chained", _cooldown_sql(43200))
+def notifications_chained(spark, sf):
+    """The same with short blocks that hand their state on."""
+    n = cooldown.notifications(rule_alerts(spark, sf), 43200, block_rows=25)
+    return n.select("alert_id", "feed_id", "frame_id", "priority", "notify")
+
+
 @query("session_alerts")
 def session_alerts(spark, sf):
     """Alerts of the full analysis, tracks included."""

@@ -62,7 +62,8 @@ def expanded(sql: str) -> str:
     need(sql)
     if not order:
         return _exact_rounds(sql)
-    head = "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order)
+    # some comparisons walk their rows with a recursive block
+    head = "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order)
     body = sql.strip()
     if body.upper().startswith("WITH "):
         return _exact_rounds(head + ",\n" + body[5:])
