@@ -267,3 +267,67 @@ block("c_mapped", """
 SELECT p.stem, p.source, p.img_w, p.img_h, p.ann_id, p.raw_code, CAST(m.cls AS INTEGER) AS class_id, p.xmin, p.ymin, p.xmax, p.ymax
 FROM c_px p JOIN c_map2 m USING (source, raw_code)
 """)
+
+# One step per detection and feed. ``l = frame_id`` marks tracks already taken or
+# created in the current frame; tracks out of reach are dropped on the way.
+block("c_walk", """
+SELECT feed_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(id BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, l BIGINT)[]) AS tracks,
+  CAST(0 AS BIGINT) AS next_id, CAST(0 AS BIGINT) AS det_id, CAST(0 AS BIGINT) AS frame_id, CAST(0 AS BIGINT) AS track_id
+FROM (SELECT DISTINCT feed_id FROM c_steps)
+UNION ALL
+SELECT feed_id, i,
+  CASE WHEN hit IS NULL THEN list_append(kept, {'id': next_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'l': frame_id})
+    ELSE list_transform(kept, lambda t: CASE WHEN t.id = hit THEN {'id': t.id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'l': frame_id} ELSE t END) END,
+  CASE WHEN hit IS NULL THEN next_id + 1 ELSE next_id END, det_id, frame_id, coalesce(hit, next_id)
+FROM (
+  SELECT *, -(list_reverse_sort(list_filter(list_transform(list_filter(kept, lambda t: t.l < frame_id), lambda t: {
+      'o': (greatest(0, least(x2, t.x2) - greatest(x1, t.x1)) * greatest(0, least(y2, t.y2) - greatest(y1, t.y1)))
+        / ((x2 - x1) * (y2 - y1) + (t.x2 - t.x1) * (t.y2 - t.y1)
+           - greatest(0, least(x2, t.x2) - greatest(x1, t.x1)) * greatest(0, least(y2, t.y2) - greatest(y1, t.y1))),
+      'm': -t.id}), lambda c: c.o >= 0.3))[1]).m AS hit
+  FROM (
+    SELECT s.*, w.next_id, list_filter(w.tracks, lambda t: t.l = s.frame_id OR coalesce(s.prev_frame - t.l, 99) <= 5) AS kept
+    FROM c_walk w JOIN c_steps s ON s.feed_id = w.feed_id AND s.i = w.i + 1))
+""")
+block("c_steps", """
+SELECT d.feed_id, d.frame_id, d.det_id, d.x1, d.y1, d.x2, d.y2, p.prev_frame,
+  row_number() OVER (PARTITION BY d.feed_id ORDER BY d.frame_id, d.det_id) AS i
+FROM c_det d JOIN (SELECT feed_id, frame_id, lag(frame_id) OVER (PARTITION BY feed_id ORDER BY frame_id) AS prev_frame FROM c_frm) p USING (feed_id, frame_id)
+""")
+block("c_obs", """
+SELECT *, y - y0 < -0.05 AS is_approaching, frame_count >= 10 AND xr < 0.08 AND yr < 0.08 AS is_loitering,
+  sqrt(vx * vx + vy * vy) AS speed
+FROM (
+  SELECT w.feed_id, w.frame_id, w.det_id, w.track_id, d.center_x AS x, d.center_y AS y,
+    first_value(d.class_name) OVER t AS class_name, row_number() OVER t AS frame_count, lead(w.frame_id) OVER t AS next_frame,
+    first_value(d.center_y) OVER k AS y0, max(d.center_x) OVER k - min(d.center_x) OVER k AS xr, max(d.center_y) OVER k - min(d.center_y) OVER k AS yr,
+    d.center_x - lag(d.center_x, 2) OVER t AS vx, d.center_y - lag(d.center_y, 2) OVER t AS vy
+  FROM c_walk w JOIN c_det d USING (feed_id, frame_id, det_id) WHERE w.i > 0
+  WINDOW t AS (PARTITION BY w.feed_id, w.track_id ORDER BY w.frame_id),
+    k AS (PARTITION BY w.feed_id, w.track_id ORDER BY w.frame_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))
+""")
+block("c_live", """
+SELECT f.feed_id, f.frame_id, f.pos, o.* EXCLUDE (feed_id, frame_id), o.frame_id AS seen_frame,
+  min(CASE WHEN frame_count >= 3 AND speed > 0.01 THEN track_id END) OVER (PARTITION BY f.feed_id, f.frame_id) AS lead_id
+FROM c_obs o JOIN c_frm f ON f.feed_id = o.feed_id AND f.frame_id >= o.frame_id AND f.frame_id <= o.frame_id + 5
+  AND f.frame_id < coalesce(o.next_frame, 1000000)
+""")
+block("c_tracks", """
+SELECT l.feed_id, l.frame_id, count(*) AS tracked_objects, count(*) FILTER (l.is_approaching) AS approaching_count,
+  count(*) FILTER (l.is_loitering) AS loitering_count, count(*) FILTER (l.is_approaching AND l.frame_count >= 3) AS approach_n,
+  coalesce(bool_or(l.class_name IN ('person', 'military_vehicle', 'suspicious_object')) FILTER (l.is_approaching AND l.frame_count >= 3), false) AS approach_critical,
+  array_to_string(list(DISTINCT l.class_name ORDER BY l.class_name) FILTER (l.is_approaching AND l.frame_count >= 3), ', ') AS approach_classes,
+  count(*) FILTER (l.frame_count >= 3 AND l.speed > 0.01) AS moving,
+  1 + count(*) FILTER (l.frame_count >= 3 AND l.speed > 0.01 AND l.track_id <> l.lead_id
+    AND (l.vx / l.speed) * (a.vx / a.speed) + (l.vy / l.speed) * (a.vy / a.speed) > 0.5) AS coordinated
+FROM c_live l LEFT JOIN c_live a ON a.feed_id = l.feed_id AND a.frame_id = l.frame_id AND a.track_id = l.lead_id GROUP BY 1, 2
+""")
+block("c_temporal", """
+SELECT *, pos >= 3 AND approach_n > 0 AS is_approach, pos >= 3 AND moving >= 3 AND coordinated >= 3 AS is_coordinated,
+  CASE WHEN pos >= 3 THEN loitering_count ELSE 0 END AS loiter_alerts
+FROM (SELECT s.feed_id, s.frame_id, s.pos, s.window_size, s.is_sudden, s.is_buildup, s.detection_trend, s.motion_trend,
+    coalesce(t.tracked_objects, 0) AS tracked_objects, coalesce(t.approaching_count, 0) AS approaching_count,
+    coalesce(t.loitering_count, 0) AS loitering_count, coalesce(t.approach_n, 0) AS approach_n, coalesce(t.approach_critical, false) AS approach_critical,
+    t.approach_classes, coalesce(t.moving, 0) AS moving, coalesce(t.coordinated, 0) AS coordinated
+  FROM c_stats s LEFT JOIN c_tracks t USING (feed_id, frame_id))
+""")

@@ -458,7 +458,8 @@ def _temporal(spark, sf):
     return K.temporal_frames(T.window_stats(f), K.track_facts(K.live_tracks(obs, f)))
 
 
-@query("track_observations")
+@query("track_observations", """
+SELECT feed_id, frame_id, det_id, track_id, class_name, frame_count, round(y - y0, 4) AS y_displacement, is_approaching, is_loitering FROM c_obs""")
 def track_observations(spark, sf):
     obs, _ = _observed(spark, sf)
     return obs.select(*KEY, "det_id", "track_id", "class_name", "frame_count", exact_round("y_displacement", 4).alias("y_displacement"),
@@ -478,29 +479,47 @@ def temporal_alerts(spark, sf):
     return K.temporal_alerts(_temporal(spark, sf)).withColumn("at", text_time()).drop("ts")
 
 
-@query("loitering_alerts")
+@query("loitering_alerts", """
+SELECT feed_id, frame_id, 'Loitering detected: ' || class_name || ' (track #' || track_id || ') stationary for ' || frame_count || ' frames at ('
+  || printf('%.2f', x) || ', ' || printf('%.2f', y) || ')' AS description FROM c_live WHERE is_loitering AND pos >= 3""")
 def loitering_alerts(spark, sf):
-    return K.temporal_alerts(_temporal(spark, sf)).filter("alert_type = 'loitering'").drop("ts")
+    a = K.temporal_alerts(_temporal(spark, sf)).filter("alert_type = 'loitering'")
+    return a.select(*KEY, "description")
 
 
-@query("approach_alerts")
+@query("approach_alerts", """
+SELECT feed_id, frame_id, CASE WHEN approach_critical THEN 'CRITICAL' ELSE 'HIGH' END AS severity,
+  'Border approach detected: ' || approach_n || ' object(s) moving toward border zone — ' || approach_classes AS description FROM c_temporal WHERE is_approach""")
 def approach_alerts(spark, sf):
-    return K.temporal_alerts(_temporal(spark, sf)).filter("alert_type = 'approach_trajectory'").drop("ts")
+    a = K.temporal_alerts(_temporal(spark, sf)).filter("alert_type = 'approach_trajectory'")
+    return a.select(*KEY, "severity", "description")
 
 
-@query("coordinated_movement")
+@query("coordinated_movement", """
+SELECT feed_id, frame_id, 'Coordinated movement: ' || coordinated || ' objects moving in the same direction' AS description FROM c_temporal WHERE is_coordinated""")
 def coordinated_movement(spark, sf):
-    return K.temporal_alerts(_temporal(spark, sf)).filter("alert_type = 'coordinated_movement'").drop("ts")
+    return K.temporal_alerts(_temporal(spark, sf)).filter("alert_type = 'coordinated_movement'").select(*KEY, "description")
 
 
-@query("temporal_risk")
+@query("temporal_risk", """
+SELECT feed_id, frame_id, window_size, CAST(is_sudden AS INTEGER) + CAST(is_buildup AS INTEGER) + loiter_alerts + CAST(is_approach AS INTEGER) + CAST(is_coordinated AS INTEGER) AS alerts,
+  round(least(1.0::DOUBLE, 0.3::DOUBLE * CAST(is_approach AND approach_critical AS INTEGER)
+    + 0.2::DOUBLE * (CAST(is_sudden AS INTEGER) + CAST(is_buildup AS INTEGER) + CAST(is_approach AND NOT approach_critical AS INTEGER) + CAST(is_coordinated AS INTEGER))
+    + 0.1::DOUBLE * loiter_alerts
+    + CASE WHEN detection_trend > 0 THEN least(0.1::DOUBLE, detection_trend * 0.05::DOUBLE) ELSE 0 END
+    + CASE WHEN motion_trend > 0 THEN least(0.1::DOUBLE, motion_trend * 0.02::DOUBLE) ELSE 0 END
+    + 0.1::DOUBLE * approaching_count + 0.05::DOUBLE * loitering_count), 4) AS temporal_risk, tracked_objects, approaching_count, loitering_count FROM c_temporal""")
 def temporal_risk(spark, sf):
     return _temporal(spark, sf).select(
         *KEY, "window_size", F.size("alerts").alias("alerts"), exact_round("temporal_risk", 4).alias("temporal_risk"),
         "tracked_objects", "approaching_count", "loitering_count")
 
 
-@query("temporal_summary")
+@query("temporal_summary", """
+SELECT feed_id, count(*) AS total_frames, CAST(sum(CAST(is_sudden AS INTEGER) + CAST(is_buildup AS INTEGER) + loiter_alerts + CAST(is_approach AS INTEGER) + CAST(is_coordinated AS INTEGER)) AS BIGINT) AS total_temporal_alerts,
+  count(*) FILTER (is_sudden) AS sudden_appearance, count(*) FILTER (is_buildup) AS crowd_buildup, CAST(sum(loiter_alerts) AS BIGINT) AS loitering,
+  count(*) FILTER (is_approach) AS approach_trajectory, count(*) FILTER (is_coordinated) AS coordinated_movement, max_by(tracked_objects, frame_id) AS active_tracks
+FROM c_temporal GROUP BY 1""")
 def temporal_summary(spark, sf):
     return K.temporal_summary(_temporal(spark, sf))
 

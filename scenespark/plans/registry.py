@@ -51,13 +51,14 @@ def _exact_rounds(sql: str) -> str:
 def expanded(sql: str) -> str:
     """The statement with every building block it needs, in dependency order."""
     order: list[str] = []
+    seen: set[str] = set()
 
     def need(text: str) -> None:
         for word in re.findall(r"\b[a-z_][a-z0-9_]*\b", text):
-            if word in CTES and word not in order:
+            if word in CTES and word not in seen:
+                seen.add(word)
                 need(CTES[word])
-                if word not in order:
-                    order.append(word)
+                order.append(word)
 
     need(sql)
     if not order:
