@@ -331,3 +331,15 @@ FROM (SELECT s.feed_id, s.frame_id, s.pos, s.window_size, s.is_sudden, s.is_buil
     t.approach_classes, coalesce(t.moving, 0) AS moving, coalesce(t.coordinated, 0) AS coordinated
   FROM c_stats s LEFT JOIN c_tracks t USING (feed_id, frame_id))
 """)
+
+block("c_session", """
+SELECT f.*, t.tracked_objects, t.approaching_count, t.loitering_count,
+  CAST(t.is_sudden AS INTEGER) + CAST(t.is_buildup AS INTEGER) + t.loiter_alerts + CAST(t.is_approach AS INTEGER) + CAST(t.is_coordinated AS INTEGER) AS temporal_alerts,
+  least(1.0::DOUBLE, 0.3::DOUBLE * CAST(t.is_approach AND t.approach_critical AS INTEGER)
+    + 0.2::DOUBLE * (CAST(t.is_sudden AS INTEGER) + CAST(t.is_buildup AS INTEGER) + CAST(t.is_approach AND NOT t.approach_critical AS INTEGER) + CAST(t.is_coordinated AS INTEGER))
+    + 0.1::DOUBLE * t.loiter_alerts
+    + CASE WHEN t.detection_trend > 0 THEN least(0.1::DOUBLE, t.detection_trend * 0.05::DOUBLE) ELSE 0 END
+    + CASE WHEN t.motion_trend > 0 THEN least(0.1::DOUBLE, t.motion_trend * 0.02::DOUBLE) ELSE 0 END
+    + 0.1::DOUBLE * t.approaching_count + 0.05::DOUBLE * t.loitering_count) AS temporal_risk
+FROM c_fused f JOIN c_temporal t USING (feed_id, frame_id)
+""")

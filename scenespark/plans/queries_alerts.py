@@ -413,12 +413,26 @@ def session_alerts(spark, sf):
     return S.alert_table(t).withColumn("at", text_time()).drop("ts").withColumn("reasons", _joined())
 
 
-@query("session_counters")
+@query("session_counters", """
+SELECT feed_id, count(*) AS total_frames, count(*) FILTER (pos <= 30) AS baseline_frames, count(*) FILTER (pos > 30) AS frames_scored,
+  count(*) FILTER (pos <= 30) >= 30 AS model_fitted, CAST(sum(detection_count) AS BIGINT) AS total_detections,
+  count(*) FILTER (pos > 30 AND alert_level = 'normal') AS normal_frames, count(*) FILTER (pos > 30 AND alert_level = 'high') AS high_alert_frames,
+  count(*) FILTER (pos > 30 AND alert_level = 'critical') AS critical_frames, count(*) FILTER (pos > 30 AND final_level <> 'normal') AS alerts_raised,
+  round(count(*) FILTER (pos > 30 AND alert_level <> 'normal') / greatest(count(*) FILTER (pos > 30), 1), 4) AS alert_rate,
+  CAST(sum(violation_count) AS BIGINT) AS total_zone_violations, count(*) FILTER (max_severity = 'RESTRICTED') AS zone_critical_count,
+  count(*) FILTER (violation_count > 0 AND max_severity <> 'RESTRICTED') AS zone_buffer_count, CAST(sum(temporal_alerts) AS BIGINT) AS total_temporal_alerts,
+  CAST(coalesce(sum(approaching_count) FILTER (temporal_alerts > 0), 0) AS BIGINT) AS temporal_approach_count,
+  CAST(coalesce(sum(loitering_count) FILTER (temporal_alerts > 0), 0) AS BIGINT) AS temporal_loiter_count,
+  round(avg(inference_ms), 2) AS avg_inference_ms, CAST(epoch(max(ts)) - epoch(min(ts)) AS DOUBLE) AS elapsed_seconds,
+  round(count(*) / greatest(epoch(max(ts)) - epoch(min(ts)), 0.001), 2) AS effective_fps FROM c_session GROUP BY 1""")
 def session_counters(spark, sf):
     return S.session_summary(S.frame_table(D.frames(spark, sf), detections(spark, sf)))
 
 
-@query("session_frame_report")
+@query("session_frame_report", """
+SELECT feed_id, frame_id, detection_count, round(anomaly_score, 4) AS anomaly_score, alert_level, round(zone_risk, 4) AS zone_risk,
+  max_severity AS zone_severity, violation_count AS zone_violations, round(temporal_risk, 4) AS temporal_risk, temporal_alerts, tracked_objects,
+  round(detection_trend, 4) AS detection_trend FROM c_session WHERE pos > 30""")
 def session_frame_report(spark, sf):
     return S.frame_report(S.frame_table(D.frames(spark, sf), detections(spark, sf)))
 
