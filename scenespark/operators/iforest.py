@@ -125,7 +125,7 @@ def fit(
     else:
         rows = first_rows(baseline, ["feed_id"], ["frame_id"], 1000)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < C.BASELINE_FRAMES:
             return pd.DataFrame(columns=[f.split()[0] for f in NODE_SCHEMA.split(", ")])
         pdf = pdf.sort_values("frame_id")

@@ -466,7 +466,10 @@ def track_observations(spark, sf):
                       "is_approaching", "is_loitering")
 
 
-@query("track_listing")
+@query("track_listing", """
+SELECT l.feed_id, l.frame_id, l.track_id, l.class_name, round(l.x, 4) AS center_x, round(l.y, 4) AS center_y, l.frame_count, l.is_approaching, l.is_loitering, p.positions
+FROM c_live l JOIN (SELECT feed_id, track_id, frame_id, string_agg(x || ' ' || y, ';') OVER (PARTITION BY feed_id, track_id ORDER BY frame_id
+  ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS positions FROM c_obs) p ON p.feed_id = l.feed_id AND p.track_id = l.track_id AND p.frame_id = l.seen_frame""")
 def track_listing(spark, sf):
     obs, _ = _observed(spark, sf)
     t = K.track_listing(obs, D.frames(spark, sf))
