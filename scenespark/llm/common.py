@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from scenespark.shipping import ship
 
-# rows of an Arrow batch; texts may be long, so a Python worker never holds many of them
-BATCH_ROWS = "512"
+# an Arrow batch ends at either; texts may be long, so a Python worker never holds many of them
+BATCH_ROWS, BATCH_BYTES = "8192", "8388608"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     ship(spark)
 
 
