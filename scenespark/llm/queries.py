@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from scenespark.llm.decontamination import op4_decontamination
-from scenespark.llm import packing, quality_rules, secret_scan, simhash
+from scenespark.llm import language_id, packing, quality_rules, secret_scan, simhash, suffix_dedup, url_filter
 from scenespark.llm.quality_classifier import op8_quality_classifier
 from scenespark.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_decontamination": op4_decontamination,
+    "op5_language_id": language_id.op5_language_id,
     "op6_simhash": simhash.op6_simhash,
     "op7_packing": packing.op7_packing,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_url_filter": url_filter.op9_url_filter,
     "op10_toxicity": op10_toxicity,
 }
 SQL: dict[str, str] = {
