@@ -195,8 +195,9 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
     found = common.staged(keyed.mapInArrow(_occurrences, OCCURRENCES), "occurrences")
     blocks = found.groupBy("kmer").agg(
         F.count(F.lit(1)).alias("n"), F.min("sig").alias("least"), F.max("sig").alias("most")).where("n > 1")
-    merged = common.staged(
-        found.join(blocks.select("kmer", (F.col("least") == F.col("most")).alias("agree")), "kmer"), "merged")
+    # staged, so that the join deals both sides anew and can split a frequent anchor's rows
+    blocks = common.staged(blocks.select("kmer", (F.col("least") == F.col("most")).alias("agree")), "blocks")
+    merged = common.staged(found.join(blocks, "kmer"), "merged")
     runs_of = [(F.col("at") - F.col("hi")).alias("first"), (F.col("at") - F.col("lo")).alias("last")]
     done = merged.where("agree").select("key", *runs_of)
 
@@ -219,7 +220,8 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
         split = parts.groupBy("kmer", "place", "core").agg(
             F.count(F.lit(1)).alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most"),
             F.count_if(~F.col("single")).alias("many")).where("n > 1")
-        split = split.select("kmer", "place", "core", (F.col("least") == F.col("most")).alias("agree"))
+        split = common.staged(
+            split.select("kmer", "place", "core", (F.col("least") == F.col("most")).alias("agree")), "split")
         told = common.staged(parts.join(split, ["kmer", "place", "core"]).select("kmer", "sig", "single", "place", "agree"), "told")
         answers.append(
             told.where("agree and single").join(singles, ["kmer", "sig"]).select(
