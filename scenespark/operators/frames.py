@@ -84,8 +84,6 @@ def first_frames(frames: DataFrame, n: int) -> DataFrame:
     """
     from scenespark.operators import ordering
 
-    if n <= ordering.TRIMMED_ROWS:
-        return ordering.first_rows(frames, ["feed_id"], ["frame_id"], n)
     placed = ordering.with_position(frames, ["feed_id"], ["frame_id"], ordering.frame_bucket(), "_pos")
     return placed.filter(F.col("_pos") <= n).drop("_pos")
 

@@ -112,18 +112,19 @@ def fit(
     contamination: float = C.CONTAMINATION,
     seed: int = C.SEED,
     scope: str = "feed",
+    sample_rows: int = 10_000,
 ) -> DataFrame:
     """Tree-node table of the fitted forests; feeds with a short baseline get none.
 
     ``baseline`` holds ``feed_id, frame_id`` and the feature columns. ``scope``
     'feed' fits one forest per feed from its first frames; 'global' fits one (key
-    ``feed_id = -1``) from a bounded sample in hash order.
+    ``feed_id = -1``) from ``sample_rows`` frames of all feeds in hash order.
     """
     if scope == "global":
         one = baseline.withColumn("_h", hash_key(F.concat_ws("_", "feed_id", "frame_id"), seed))
-        rows = first_rows(one.withColumn("feed_id", F.lit(-1).cast("bigint")), ["feed_id"], ["_h"], 1000).drop("_h")
+        rows = first_rows(one.withColumn("feed_id", F.lit(-1).cast("bigint")), ["feed_id"], ["_h"], sample_rows).drop("_h")
     else:
-        rows = first_rows(baseline, ["feed_id"], ["frame_id"], 1000)
+        rows = baseline
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < C.BASELINE_FRAMES:

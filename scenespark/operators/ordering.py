@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 FRAME_BUCKET = 4096
 BLOCK_ROWS = 16384
-# default of spark.sql.optimizer.windowGroupLimitThreshold
-TRIMMED_ROWS = 1000
 
 
 def with_position(
@@ -135,10 +133,8 @@ def own_rows(df: DataFrame) -> DataFrame:
 
 
 def first_rows(df: DataFrame, group: Sequence[str], order: Sequence, n: int) -> DataFrame:
-    """First ``n`` rows per group. Spark trims each task to ``n`` before the shuffle,
-    for ``n`` up to ``TRIMMED_ROWS``."""
-    if n > TRIMMED_ROWS:
-        raise ValueError("use with_position for long heads")
+    """First ``n`` rows per group. Spark trims each task before the shuffle while ``n`` is small;
+    for long heads of busy groups ``with_position`` spreads the work better."""
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 

@@ -7,13 +7,16 @@ the Spark operators compute them.
 from scenespark.plans.registry import block
 
 block("c_ev", """
-SELECT user_id // 15 AS feed_id, user_id % 15 AS u,
-       CAST(regexp_extract(props, ':\\s*(\\d+)', 1) AS BIGINT) AS k,
-       CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1000000 / 10800) AS BIGINT) + 1 AS frame_id,
+SELECT feed_id, u, k,
+       CASE WHEN frame_id % 20 >= 8 OR (feed_id % 3 <> 0 AND event_id % 5 = 0) THEN frame_id
+            WHEN frame_id > 8 THEN frame_id - 8 ELSE frame_id + 8 END AS frame_id,
        event_id, value
-FROM events
-WHERE (CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1000000 / 10800) AS BIGINT) + 1) % 20 >= 8
-   OR ((user_id // 15) % 3 <> 0 AND event_id % 5 = 0)
+FROM (
+  SELECT user_id // 15 AS feed_id, user_id % 15 AS u,
+         CAST(regexp_extract(props, ':\\s*(\\d+)', 1) AS BIGINT) AS k,
+         CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1000000 / 10800) AS BIGINT) + 1 AS frame_id,
+         event_id, value
+  FROM events)
 """)
 
 block("c_raw", """
@@ -57,12 +60,12 @@ SELECT g.feed_id, g.frame_id,
        TIMESTAMP '2024-01-01' + to_hours(CAST((g.frame_id - 1) * 3 AS INTEGER)) AS ts,
        m.motion_score, CAST(80 + g.frame_id % 70 AS DOUBLE) AS inference_ms,
        row_number() OVER (PARTITION BY g.feed_id ORDER BY g.frame_id) AS pos
-FROM (SELECT feed_id, CAST(unnest(range(1, 241)) AS BIGINT) AS frame_id
-      FROM (SELECT DISTINCT user_id // 15 AS feed_id FROM events)) g
+FROM (SELECT feed_id, CAST(unnest(range(1, last + 1)) AS BIGINT) AS frame_id
+      FROM (SELECT feed_id, greatest(240, max(frame_id)) AS last FROM c_ev GROUP BY feed_id)) g
 LEFT JOIN (
   SELECT feed_id, frame_id,
          CAST((100 * sum(CAST(round(value * 100) AS BIGINT)) + 3 * count(*)) // (6 * count(*)) AS DOUBLE) / 10000 AS motion_score
-  FROM c_ev WHERE frame_id > 1 GROUP BY 1, 2) m USING (feed_id, frame_id)
+  FROM c_ev GROUP BY 1, 2) m USING (feed_id, frame_id)
 """)
 
 block("c_zone", """
@@ -225,14 +228,14 @@ FROM c_fused WHERE final_level <> 'normal' AND pos > 30
 """)
 
 block("c_img", """
-SELECT 'img_' || o_orderkey AS stem,
+SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'bare_' ELSE 'img_' END || o_orderkey AS stem,
   CASE o_orderkey % 3 WHEN 0 THEN 'xview' WHEN 1 THEN 'visdrone' ELSE 'dota' END AS source,
   CAST(320 + (o_orderkey * 131) % 2400 AS INTEGER) AS img_w, CAST(240 + (o_orderkey * 77) % 1800 AS INTEGER) AS img_h
-FROM orders WHERE o_orderkey % 50 <> 0
+FROM orders
 """)
 
 block("c_ann", """
-SELECT 'img_' || l_orderkey AS stem, l_linenumber AS line_no,
+SELECT CASE WHEN l_orderkey % 40 = 1 THEN 'lost_' ELSE 'img_' END || l_orderkey AS stem, l_linenumber AS line_no,
   CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
     l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS INTEGER) AS ann_id,
   CAST(CASE WHEN l_partkey % 200 = 0 THEN 3 WHEN l_partkey % 100 < 2 THEN 6 WHEN l_partkey % 50 = 3 THEN 4
@@ -240,7 +243,7 @@ SELECT 'img_' || l_orderkey AS stem, l_linenumber AS line_no,
   0.002::DOUBLE + l_quantity / 250.0::DOUBLE AS bw, 0.002::DOUBLE + (l_partkey % 40) / 200.0::DOUBLE AS bh,
   ((l_partkey * 7) % 1000) / 1000.0::DOUBLE AS fx,
   ((l_suppkey * 13 + l_linenumber * 101) % 1000) / 1000.0::DOUBLE AS fy
-FROM lineitem WHERE l_orderkey % 40 <> 1
+FROM lineitem
 """)
 
 block("c_px", """

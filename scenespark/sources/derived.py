@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 FRAMES_PER_FEED = 240
 FRAME_SECONDS = 10800
 EPOCH = "TIMESTAMP_NTZ '2024-01-01 00:00:00'"
+# eight frames of twenty are quiet: their events are placed in the busy frames before (or after) them
+BUSY_FRAME = """CASE WHEN frame_id % 20 >= 8 OR (feed_id % 3 <> 0 AND event_id % 5 = 0) THEN frame_id
+                     WHEN frame_id > 8 THEN frame_id - 8 ELSE frame_id + 8 END"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,9 +33,7 @@ def _events(spark, sf_dir) -> DataFrame:
             "event_id",
             "value",
         )
-        .filter(
-            "frame_id % 20 >= 8 OR (feed_id % 3 <> 0 AND event_id % 5 = 0)"
-        )
+        .withColumn("frame_id", F.expr(BUSY_FRAME))
     )
 
 
@@ -81,21 +82,21 @@ def raw_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All processed frames of all feeds, empty ones included.
+    """All processed frames of all feeds, empty ones included; a feed goes on to its last event.
 
     Motion is built from whole cents so that the sum does not depend on the
     order in which rows arrive.
     """
-    feeds = table(spark, sf_dir, "events").select(F.expr("user_id div 15").alias("feed_id")).distinct()
-    grid = feeds.withColumn("frame_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(FRAMES_PER_FEED).cast("bigint"))))
+    events = _events(spark, sf_dir)
+    feeds = events.groupBy("feed_id").agg(F.greatest(F.lit(FRAMES_PER_FEED).cast("bigint"), F.max("frame_id")).alias("_last"))
+    grid = feeds.select("feed_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_last"))).alias("frame_id"))
     motion = (
-        _events(spark, sf_dir)
+        events
         .groupBy("feed_id", "frame_id")
         .agg(
             F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"),
             F.count(F.lit(1)).alias("n"),
         )
-        .filter("frame_id > 1")
         # mean value / 6 with four decimals, rounded in whole numbers
         .select("feed_id", "frame_id", F.expr("cast((100 * cents + 3 * n) div (6 * n) as double) / 10000").alias("motion_score"))
     )
@@ -111,9 +112,9 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "orders")
-        .filter("o_orderkey % 50 <> 0")
         .select(
-            F.expr("concat('img_', o_orderkey)").alias("stem"),
+            # every fiftieth image has a name no label has
+            F.expr("concat(CASE WHEN o_orderkey % 50 = 0 THEN 'bare_' ELSE 'img_' END, o_orderkey)").alias("stem"),
             F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'xview' WHEN 1 THEN 'visdrone' ELSE 'dota' END").alias("source"),
             F.expr("cast(320 + (o_orderkey * 131) % 2400 as int)").alias("img_w"),
             F.expr("cast(240 + (o_orderkey * 77) % 1800 as int)").alias("img_h"),
@@ -146,9 +147,9 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return (
         table(spark, sf_dir, "lineitem")
-        .filter("l_orderkey % 40 <> 1")
         .select(
-            F.expr("concat('img_', l_orderkey)").alias("stem"),
+            # labels of every fortieth order have a name no image has
+            F.expr("concat(CASE WHEN l_orderkey % 40 = 1 THEN 'lost_' ELSE 'img_' END, l_orderkey)").alias("stem"),
             F.row_number().over(w).alias("ann_id"),
             F.col("l_linenumber").alias("line_no"),
             class_id.cast("int").alias("class_id"),
