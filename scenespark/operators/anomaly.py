@@ -74,6 +74,9 @@ def anomaly_summary(scored: DataFrame) -> DataFrame:
         {f"label_{x.lower()}": F.count_if(F.col("threat_label") == x) for x in [*C.PRIORITIES, "UNKNOWN"]}
         if "threat_label" in scored.columns else {}
     )
+    never = F.lit(False)
+    fitted = F.col("model_score").isNotNull() if "model_score" in scored.columns else never
+    labelled = F.col("threat_label") != "UNKNOWN" if "threat_label" in scored.columns else never
     totals = scored.groupBy("feed_id").agg(
         F.count(F.lit(1)).alias("total_frames"),
         F.count_if(level == "normal").alias("normal_frames"),
@@ -85,6 +88,7 @@ def anomaly_summary(scored: DataFrame) -> DataFrame:
         .alias("avg_anomaly_score"),
         exact_round(F.min("anomaly_score"), 4).alias("min_anomaly_score"),
         exact_round(F.avg("anomaly_prob"), 4).alias("avg_anomaly_prob"),
+        F.bool_or(fitted).alias("model_fitted"), F.bool_or(labelled).alias("rf_fitted"),
         *[c.alias(n) for n, c in labels.items()],
     )
     firsts = (

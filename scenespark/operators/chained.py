@@ -63,6 +63,9 @@ def run_chained(
 
     result = run(chunked, _no_state(spark, schema, state_cols))
     used = _no_state(spark, schema, state_cols)
+    # without a chunk that continues another nothing can differ
+    if not heads.filter("block > 0").head(1):
+        return result, tails
     while True:
         start = cut(left_behind(result))
         strict = order_col is None or bool(result.filter("kind = 'end' AND tie").head(1))

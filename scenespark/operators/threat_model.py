@@ -55,15 +55,14 @@ def fit(
         return ThreatModel(None, [], 0)
     if len(labels) == 1:
         return ThreatModel(None, labels, n, accuracy=1.0)
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    # small baselines train faster on few partitions
-    rows = rows.repartition(max(1, min(cores, n // 20000 + 1)), "feed_id", "frame_id").persist()
+    rows = rows.persist()
     try:
         model = _stages(trees, depth, seed).fit(rows)
         judge = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
         accuracy = round(float(judge.evaluate(model.transform(rows))), 4)
         cv = None
-        if folds and n >= 10 and min(counts.values()) >= folds:
+        # rare labels may be missing from a fold; only if all are rare there is nothing to judge
+        if folds and n >= 10 and max(counts.values()) >= folds:
             indexed = model.stages[1].transform(model.stages[0].transform(rows))
             forest = RandomForestClassifier(
                 featuresCol="vector", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed,

@@ -27,7 +27,7 @@ from scenespark.operators.chained import CHUNK, run_chained
 from scenespark.operators.checkpoints import cut
 from scenespark.operators.frames import KEY
 from scenespark.operators.ordering import (
-    BLOCK_ROWS, block_window, frame_bucket, own_rows, spread, with_blocks, with_position,
+    BLOCK_ROWS, block_window, frame_bucket, own_rows, with_blocks, with_position,
 )
 from scenespark.operators.temporal import FEED, temporal_risk, window_alert_list, with_frame_position
 
@@ -179,26 +179,6 @@ def _run_chunk(rows: pd.DataFrame, start: pd.DataFrame | None) -> pd.DataFrame:
     return both.reindex(columns=order)
 
 
-def _match_clean(chunked: DataFrame) -> DataFrame:
-    """All chunks start clean: one pass, no state."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["frame_id", "det_id"], kind="stable")
-        frame, det = rows["frame_id"].to_numpy(np.int64), rows["det_id"].to_numpy(np.int64)
-        prev = rows["prev_frame"].fillna(-(1 << 40)).to_numpy(np.int64)
-        number, *_ = match_chunk(
-            frame, prev, rows[BOX].to_numpy(float), np.empty((0, 4)), np.empty(0, dtype=np.int64)
-        )
-        at = np.unique(number, return_index=True)[1][number]
-        return pd.DataFrame({
-            "feed_id": rows["feed_id"].to_numpy(), "frame_id": frame, "det_id": det,
-            "root_frame": frame[at], "root_det": det[at],
-        })
-
-    return spread(chunked, *CHUNK).groupBy(*CHUNK).applyInPandas(
-        run, "feed_id long, frame_id long, det_id long, root_frame long, root_det long"
-    )
-
-
 def _match_chained(chunked: DataFrame) -> DataFrame:
     """Chunks may continue their predecessor; exact ties make track order matter."""
     result, tails = run_chained(
@@ -241,17 +221,13 @@ def match_tracks(detections: DataFrame, frames: DataFrame, block_rows: int = BLO
     """First detection of the track every detection belongs to.
 
     ``frames`` needs ``feed_id, frame_id, detection_count`` for all processed
-    frames. A cheap count decides whether any feed is long enough to have chunk
-    borders that are not clean.
+    frames. Feeds of any length take the same way.
     """
     chunks = chunk_frames(frames, block_rows)
     chunked = (
         detections.select(*KEY, "det_id", *BOX)
         .join(chunks.select(*KEY, "prev_frame", "block", "part"), KEY)
     )
-    longest = frames.groupBy("feed_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0] or 0
-    if longest <= block_rows:
-        return _match_clean(chunked)
     return _match_chained(chunked)
 
 

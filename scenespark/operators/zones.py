@@ -11,8 +11,8 @@ from scenespark import constants as C
 from scenespark.functions import scores, text
 from scenespark.functions.geometry import in_polygon, in_polygon_array
 
-# Zones given as code become constants of the plan; larger sets belong in a table.
-MAX_INLINE_ZONES = 64
+# Zones given as code become constants of the plan; more than these join as a table, with the same result.
+INLINE_ZONES = 64
 
 
 def zone_defaults(zones: list[dict] | None) -> list[dict]:
@@ -71,12 +71,12 @@ def _violation_columns(df: DataFrame) -> DataFrame:
 def assign_zones(detections: DataFrame, zones: list[dict] | None = None) -> DataFrame:
     """Zone of each detection from zones known when the plan is built.
 
-    The polygons are constants, so the spatial join is one CASE expression: no
-    join, no shuffle, and branch order is zone order.
+    The polygons of a small set are constants, so the spatial join is one CASE
+    expression: no join, no shuffle, and branch order is zone order.
     """
     zones = zone_defaults(zones)
-    if len(zones) > MAX_INLINE_ZONES:
-        raise ValueError("use join_zones for a large zone set")
+    if len(zones) > INLINE_ZONES:
+        return join_zones(detections, zone_table(detections.sparkSession, zones))
     case = None
     for z in zones:
         hit = in_polygon("center_x", "center_y", z["polygon"])
@@ -87,18 +87,40 @@ def assign_zones(detections: DataFrame, zones: list[dict] | None = None) -> Data
 def join_zones(detections: DataFrame, zones: DataFrame) -> DataFrame:
     """The same from a zone table, optionally one zone set per ``feed_id``.
 
-    Each feed's zones travel as one ordered array, so the join is an equi-join on
-    the feed (or a scalar subquery when all feeds share the zones) and the first hit
-    is found inside the row. Detections are never multiplied by zones.
+    A grid as wide as the mean zone: each zone enters the cells its box touches, a
+    detection looks into its one cell, an equi-join, and the first hit is found
+    inside the row. Detections are never multiplied by zones, and a cell lists only
+    the zones that reach it. No zone misses a cell: the cells of a box are those of
+    its corners and all between.
     """
     keys = ["feed_id"] if "feed_id" in zones.columns else []
-    packed = zones.groupBy(*keys).agg(
+    xs, ys = F.col("polygon.x"), F.col("polygon.y")
+    boxed = zones.filter(F.size("polygon") > 0).withColumns({
+        "_x1": F.array_min(xs), "_x2": F.array_max(xs), "_y1": F.array_min(ys), "_y2": F.array_max(ys),
+    })
+    wide, tall = F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1")
+    # wide enough that all zones together enter a number of cells in proportion to theirs
+    side = boxed.agg(F.coalesce(
+        F.greatest(F.avg(wide), F.avg(tall), F.sqrt(F.avg(wide * tall)), F.lit(1e-6)), F.lit(1.0)).alias("side"))
+
+    def cell(v) -> Column:
+        return F.floor(F.col(v) / F.col("_side"))
+
+    def between(a: str, b: str) -> Column:
+        return F.sequence(cell(a), cell(b))
+
+    placed = (
+        boxed.withColumn("_side", side.scalar())
+        .withColumn("_cx", F.explode(between("_x1", "_x2"))).withColumn("_cy", F.explode(between("_y1", "_y2")))
+    )
+    packed = placed.groupBy(*keys, "_cx", "_cy").agg(
         F.array_sort(F.collect_list(F.struct("zone_order", "name", "level", "label", "polygon"))).alias("_zones")
     )
-    if keys:
-        joined = detections.join(packed, keys, "left")
-    else:
-        joined = detections.withColumn("_zones", packed.scalar())
+    joined = (
+        detections.withColumn("_side", side.scalar())
+        .withColumns({"_cx": cell("center_x"), "_cy": cell("center_y")})
+        .join(packed, [*keys, "_cx", "_cy"], "left").drop("_cx", "_cy", "_side")
+    )
     hit = F.filter("_zones", lambda z: in_polygon_array("center_x", "center_y", z["polygon"]))
     first = F.get(hit, F.lit(0))
     return _violation_columns(
@@ -109,8 +131,13 @@ def join_zones(detections: DataFrame, zones: DataFrame) -> DataFrame:
 
 
 def violations(assigned: DataFrame) -> DataFrame:
-    """One row per violating detection, with its reason."""
-    return assigned.filter("is_violation").select(
+    """One row per violating detection, with its reason.
+
+    The zone is a finished value before the filter, which would otherwise be pushed into
+    the polygon tests and repeat them beyond what one compiled method may hold.
+    """
+    finished = assigned.select(F.inline(F.array(F.struct(*assigned.columns))))
+    return finished.filter("is_violation").select(
         "feed_id", "frame_id", "ts", "det_id", "zone_name", "zone_level", "zone_label", "priority",
         "class_name", "confidence", "center_x", "center_y", "is_high_threat",
         text.violation_reason("class_name", "confidence", "zone_label", "is_high_threat").alias("reason"),

@@ -56,7 +56,7 @@ WITH r AS (SELECT *, row_number() OVER (PARTITION BY feed_id, alert_level <> 'no
 SELECT feed_id, count(*) AS total_frames, count(*) FILTER (alert_level = 'normal') AS normal_frames,
   count(*) FILTER (alert_level = 'high') AS high_alert_frames, count(*) FILTER (alert_level = 'critical') AS critical_frames,
   round(count(*) FILTER (alert_level <> 'normal') / count(*), 4) AS alert_rate, round(CAST(sum(CAST(round(anomaly_score * 1e9) AS BIGINT)) AS DOUBLE) / count(*) / 1e9, 4) AS avg_anomaly_score,
-  round(min(anomaly_score), 4) AS min_anomaly_score, round(avg(anomaly_prob), 4) AS avg_anomaly_prob,
+  round(min(anomaly_score), 4) AS min_anomaly_score, round(avg(anomaly_prob), 4) AS avg_anomaly_prob, false AS model_fitted, false AS rf_fitted,
   array_to_string(list(frame_id ORDER BY frame_id) FILTER (alert_level <> 'normal' AND rn <= 20), ',') AS alert_frame_ids
 FROM r GROUP BY 1""")
 def anomaly_summary(spark, sf):
@@ -115,7 +115,7 @@ def threat_labels(spark, sf):
     feats, model = _forest(spark, sf)
     base = T.baseline_frames(feats)
     rows = cut(TM.training_rows(base, iforest.score(base, model)))
-    fitted = TM.fit(rows, trees=40, folds=0)
+    fitted = TM.fit(rows)
     c = TM.classify(feats, fitted)
     top = F.array_max(F.map_values("threat_proba"))
     return c.select(*KEY, "threat_label", exact_round(top, 4).alias("top_share"))
@@ -329,7 +329,7 @@ def _session_rows(spark, sf):
 
 @query("session_summary", """
 SELECT feed_id, count(*) AS total_frames, count(*) FILTER (pos <= 30) AS baseline_frames, count(*) FILTER (pos > 30) AS frames_scored,
-  count(*) FILTER (pos <= 30) >= 30 AS model_fitted, CAST(sum(detection_count) AS BIGINT) AS total_detections,
+  false AS model_fitted, CAST(sum(detection_count) AS BIGINT) AS total_detections,
   count(*) FILTER (pos > 30 AND alert_level = 'normal') AS normal_frames, count(*) FILTER (pos > 30 AND alert_level = 'high') AS high_alert_frames,
   count(*) FILTER (pos > 30 AND alert_level = 'critical') AS critical_frames, count(*) FILTER (pos > 30 AND final_level <> 'normal') AS alerts_raised,
   round(count(*) FILTER (pos > 30 AND alert_level <> 'normal') / greatest(count(*) FILTER (pos > 30), 1), 4) AS alert_rate,
@@ -406,7 +406,19 @@ def notifications_chained(spark, sf):
     return n.select("alert_id", "feed_id", "frame_id", "priority", "notify")
 
 
-@query("session_alerts")
+@query("session_alerts", f"""
+WITH l AS (SELECT feed_id, frame_id, list('Loitering detected: ' || class_name || ' (track #' || track_id || ') stationary for ' || frame_count || ' frames at ('
+      || printf('%.2f', x) || ', ' || printf('%.2f', y) || ')' ORDER BY track_id) AS loiter
+  FROM c_live WHERE is_loitering GROUP BY 1, 2),
+t AS (SELECT feed_id, frame_id, CASE WHEN is_approach THEN ['Border approach detected: ' || approach_n || ' object(s) moving toward border zone — ' || approach_classes] ELSE [] END AS a,
+    CASE WHEN is_coordinated THEN ['Coordinated movement: ' || coordinated || ' objects moving in the same direction'] ELSE [] END AS c FROM c_temporal)
+SELECT 'alert_' || feed_id || '_' || frame_id AS alert_id, feed_id, frame_id,
+  CASE final_level WHEN 'critical' THEN 'CRITICAL' WHEN 'high' THEN 'HIGH' ELSE 'LOW' END AS priority,
+  round(anomaly_score, 4) AS anomaly_score, round(anomaly_prob, 4) AS anomaly_prob, final_level AS alert_level, detection_count,
+  round(motion_score, 4) AS motion_score, false AS notified, {SQL_TIME} AS at,
+  array_to_string(list_concat(list_concat(anomaly_reasons, zone_reasons[1:3]),
+    list_concat(list_concat(list_concat(temporal_reasons, coalesce(loiter, [])), a), c)[1:3]), '|') AS reasons
+FROM c_session LEFT JOIN l USING (feed_id, frame_id) JOIN t USING (feed_id, frame_id) WHERE final_level <> 'normal' AND pos > 30""")
 def session_alerts(spark, sf):
     """Alerts of the full analysis, tracks included."""
     t = S.frame_table(D.frames(spark, sf), detections(spark, sf))
@@ -415,7 +427,7 @@ def session_alerts(spark, sf):
 
 @query("session_counters", """
 SELECT feed_id, count(*) AS total_frames, count(*) FILTER (pos <= 30) AS baseline_frames, count(*) FILTER (pos > 30) AS frames_scored,
-  count(*) FILTER (pos <= 30) >= 30 AS model_fitted, CAST(sum(detection_count) AS BIGINT) AS total_detections,
+  false AS model_fitted, CAST(sum(detection_count) AS BIGINT) AS total_detections,
   count(*) FILTER (pos > 30 AND alert_level = 'normal') AS normal_frames, count(*) FILTER (pos > 30 AND alert_level = 'high') AS high_alert_frames,
   count(*) FILTER (pos > 30 AND alert_level = 'critical') AS critical_frames, count(*) FILTER (pos > 30 AND final_level <> 'normal') AS alerts_raised,
   round(count(*) FILTER (pos > 30 AND alert_level <> 'normal') / greatest(count(*) FILTER (pos > 30), 1), 4) AS alert_rate,
@@ -444,11 +456,39 @@ def skipped_frames_session(spark, sf):
     return S.session_summary(S.frame_table(D.frames(spark, sf), detections(spark, sf), opts))
 
 
-@query("session_documents")
+@query("session_models", """
+SELECT feed_id, count(*) AS total_frames, count(*) FILTER (pos <= 30) >= 30 AS model_fitted, count(*) AS labelled FROM c_frm GROUP BY 1""")
+def session_models(spark, sf):
+    """A session that fits the forest and the classifier on its baseline."""
+    opts = S.Options(scoring="forest", fit_threat=True)
+    t = S.frame_table(D.frames(spark, sf), detections(spark, sf), opts)
+    return t.groupBy("feed_id").agg(
+        F.count(F.lit(1)).alias("total_frames"), F.bool_or("model_fitted").alias("model_fitted"),
+        F.count_if(F.col("threat_label").isin(C.PRIORITIES)).alias("labelled"))
+
+
+@query("session_documents", """
+WITH s AS (SELECT feed_id, count(*) FILTER (pos > 30 AND final_level <> 'normal') AS alerts_raised,
+    least(50, sum(least(3, temporal_alerts))) AS temporal FROM c_session GROUP BY 1),
+v AS (SELECT feed_id, least(50, sum(least(5, n))) AS violations FROM (
+    SELECT feed_id, frame_id, count(*) AS n FROM c_viol GROUP BY 1, 2) GROUP BY 1)
+SELECT feed_id, 'session' AS kind, '' AS alert_id, CAST(alerts_raised AS BIGINT) AS alerts_raised,
+  CAST(coalesce(violations, 0) AS BIGINT) AS violations, CAST(temporal AS BIGINT) AS temporal FROM s LEFT JOIN v USING (feed_id)
+UNION ALL SELECT feed_id, 'alert', 'alert_' || feed_id || '_' || frame_id, 0, 0, 0 FROM c_session WHERE final_level <> 'normal' AND pos > 30""")
 def session_documents(spark, sf):
     from scenespark.operators import tracking as K, zones as Z
     from scenespark.operators.checkpoints import cut
 
     t = cut(S.frame_table(D.frames(spark, sf), detections(spark, sf)))
     docs = S.session_documents(t, S.alert_table(t), Z.violations(zoned(spark, sf)), K.temporal_alerts(t))
-    return docs.select("feed_id", F.length("document").alias("length"), F.get_json_object("document", "$.alerts_raised").alias("alerts_raised"))
+
+    def field(name):
+        return F.get_json_object("document", f"$.{name}")
+
+    def listed(name):
+        return F.coalesce(F.json_array_length(field(name)), F.lit(0)).cast("bigint")
+
+    return docs.select(
+        "feed_id", "kind", F.coalesce(field("alert_id"), F.lit("")).alias("alert_id"),
+        F.coalesce(field("alerts_raised").cast("bigint"), F.lit(0)).alias("alerts_raised"),
+        listed("zone_violations").alias("violations"), listed("temporal_alerts").alias("temporal"))

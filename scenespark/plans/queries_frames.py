@@ -466,6 +466,13 @@ def track_observations(spark, sf):
                       "is_approaching", "is_loitering")
 
 
+@query("track_observations_chained", """
+SELECT feed_id, frame_id, det_id, track_id, frame_count FROM c_obs""")
+def track_observations_chained(spark, sf):
+    """Short blocks, so that chunks continue one another."""
+    return K.observations(detections(spark, sf), facts(spark, sf), 100).select(*KEY, "det_id", "track_id", "frame_count")
+
+
 @query("track_listing", """
 SELECT l.feed_id, l.frame_id, l.track_id, l.class_name, round(l.x, 4) AS center_x, round(l.y, 4) AS center_y, l.frame_count, l.is_approaching, l.is_loitering, p.positions
 FROM c_live l JOIN (SELECT feed_id, track_id, frame_id, string_agg(x || ' ' || y, ';') OVER (PARTITION BY feed_id, track_id ORDER BY frame_id
@@ -477,9 +484,44 @@ def track_listing(spark, sf):
     return t.withColumn("positions", F.array_join(points, ";"))
 
 
-@query("temporal_alerts")
+_DETAILS = {
+    "sudden_appearance": ("previous_avg", "current_count", "increase"),
+    "crowd_buildup": ("buildup_rate", "current_persons", "window_start_persons"),
+    "loitering": ("track_id", "center_x", "center_y"),
+    "approach_trajectory": ("approaching_count",),
+    "coordinated_movement": ("coordinated_count", "total_moving"),
+}
+
+
+@query("temporal_alerts", f"""
+WITH a AS (
+  SELECT feed_id, frame_id, 1 AS k, 0 AS n, 'sudden_appearance' AS alert_type, 'HIGH' AS severity, temporal_reasons[1] AS description,
+    CAST(printf('%.1f', prev_avg) AS DOUBLE) AS d1, CAST(detection_count AS DOUBLE) AS d2, CAST(printf('%.1f', increase) AS DOUBLE) AS d3
+  FROM c_fused WHERE is_sudden
+  UNION ALL SELECT feed_id, frame_id, 2, 0, 'crowd_buildup', 'HIGH', temporal_reasons[-1],
+    CAST(printf('%.4f', person_slope) AS DOUBLE), CAST(persons AS DOUBLE), CAST(window_start_persons AS DOUBLE) FROM c_fused WHERE is_buildup
+  UNION ALL SELECT feed_id, frame_id, 3, track_id, 'loitering', 'MEDIUM', 'Loitering detected: ' || class_name || ' (track #' || track_id || ') stationary for ' || frame_count || ' frames at ('
+      || printf('%.2f', x) || ', ' || printf('%.2f', y) || ')',
+    CAST(track_id AS DOUBLE), CAST(printf('%.4f', x) AS DOUBLE), CAST(printf('%.4f', y) AS DOUBLE) FROM c_live WHERE is_loitering AND pos >= 3
+  UNION ALL SELECT feed_id, frame_id, 4, 0, 'approach_trajectory', CASE WHEN approach_critical THEN 'CRITICAL' ELSE 'HIGH' END,
+    'Border approach detected: ' || approach_n || ' object(s) moving toward border zone — ' || approach_classes, CAST(approach_n AS DOUBLE), 0.0::DOUBLE, 0.0::DOUBLE FROM c_temporal WHERE is_approach
+  UNION ALL SELECT feed_id, frame_id, 5, 0, 'coordinated_movement', 'HIGH', 'Coordinated movement: ' || coordinated || ' objects moving in the same direction',
+    CAST(coordinated AS DOUBLE), CAST(moving AS DOUBLE), 0.0::DOUBLE FROM c_temporal WHERE is_coordinated)
+SELECT feed_id, frame_id, {SQL_TIME} AS at, row_number() OVER (PARTITION BY feed_id, frame_id ORDER BY k, n) - 1 AS alert_no,
+  alert_type, severity, description, d1, d2, d3 FROM a JOIN c_frm USING (feed_id, frame_id)""")
 def temporal_alerts(spark, sf):
-    return K.temporal_alerts(_temporal(spark, sf)).withColumn("at", text_time()).drop("ts")
+    """All alerts of tracks and windows; the numbers in their details as d1 to d3."""
+    def number(i):
+        paths = {k: v[i] for k, v in _DETAILS.items() if len(v) > i}
+        value = F.lit(None).cast("string")
+        for kind, path in paths.items():
+            value = F.when(F.col("alert_type") == kind, F.get_json_object("details", f"$.{path}")).otherwise(value)
+        return F.coalesce(value.cast("double"), F.lit(0.0))
+
+    a = K.temporal_alerts(_temporal(spark, sf))
+    return a.select(
+        *KEY, text_time().alias("at"), F.col("alert_no").cast("bigint").alias("alert_no"), "alert_type", "severity",
+        "description", *[number(i).alias(f"d{i + 1}") for i in range(3)])
 
 
 @query("loitering_alerts", """

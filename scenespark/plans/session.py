@@ -31,6 +31,7 @@ class Options:
     trees: int = C.FOREST_TREES
     contamination: float = C.CONTAMINATION
     threat: threat_model.ThreatModel | None = None
+    fit_threat: bool = False  # fit the classifier on the baseline's forest scores
     block_rows: int = BLOCK_ROWS
     extra: dict = field(default_factory=dict)
 
@@ -72,8 +73,14 @@ def frame_table(frames: DataFrame, detections: DataFrame, opts: Options | None =
             model = cut(iforest.fit(feats.join(first, KEY), opts.trees, opts.contamination))
         scores = iforest.score(feats, model)
     scored = anomaly.score_frames(found, scores)
-    if opts.threat is not None:
-        labels = threat_model.classify(FR.features(facts), opts.threat).select(*KEY, "threat_label")
+    scored = scored.withColumn(
+        "model_fitted", F.col("model_score").isNotNull() if scores is not None else F.lit(False))
+    threat = opts.threat
+    if threat is None and opts.fit_threat and scores is not None:
+        base = FR.features(facts).join(facts.filter(F.col("pos") <= opts.baseline).select(*KEY), KEY)
+        threat = threat_model.fit(cut(threat_model.training_rows(base, scores)))
+    if threat is not None:
+        labels = threat_model.classify(FR.features(facts), threat).select(*KEY, "threat_label")
         scored = scored.join(labels, KEY, "left")
     else:
         scored = scored.withColumn("threat_label", F.lit("UNKNOWN"))
@@ -123,7 +130,7 @@ def session_summary(table: DataFrame, timings: list[str] | None = None) -> DataF
         total.alias("total_frames"),
         F.count_if(~scored).alias("baseline_frames"),
         n_scored.alias("frames_scored"),
-        (F.count_if(~scored) >= C.BASELINE_FRAMES).alias("model_fitted"),
+        F.bool_or(F.col("model_fitted") if "model_fitted" in table.columns else F.lit(False)).alias("model_fitted"),
         F.sum("detection_count").alias("total_detections"),
         F.count_if(scored & (level == "normal")).alias("normal_frames"),
         F.count_if(scored & (level == "high")).alias("high_alert_frames"),
@@ -163,8 +170,9 @@ def capped_records(
 def session_documents(
     table: DataFrame, alerts: DataFrame, violations: DataFrame, temporal_rows: DataFrame
 ) -> DataFrame:
-    """One JSON document per feed: counters, newest alerts, last violations and
-    temporal alerts. All lists are capped before they are gathered."""
+    """JSON per feed: one ``session`` row with counters, last violations and last temporal
+    alerts, and one ``alert`` row for each alert, however many there are. The lists are
+    capped before they are gathered, by their operators' own limits; alerts never are."""
     def packed(rows, name, order):
         cols = [c for c in rows.columns if c != "feed_id"]
         return rows.groupBy("feed_id").agg(
@@ -173,11 +181,11 @@ def session_documents(
 
     v = capped_records(violations, "det_id", 5, 200, 50)
     t = capped_records(temporal_rows, "alert_no", 3, 200, 50)
-    a = A.rolling_log(alerts)
     summary = session_summary(table)
     doc = (
-        summary.join(packed(a, "alerts", ["ts", "frame_id"]), "feed_id", "left")
-        .join(packed(v, "zone_violations", ["frame_id", "det_id"]), "feed_id", "left")
+        summary.join(packed(v, "zone_violations", ["frame_id", "det_id"]), "feed_id", "left")
         .join(packed(t, "temporal_alerts", ["frame_id", "alert_no"]), "feed_id", "left")
     )
-    return doc.select("feed_id", F.to_json(F.struct(*doc.columns)).alias("document"))
+    whole = doc.select("feed_id", F.lit("session").alias("kind"), F.to_json(F.struct(*doc.columns)).alias("document"))
+    each = alerts.select("feed_id", F.lit("alert").alias("kind"), F.to_json(F.struct(*alerts.columns)).alias("document"))
+    return whole.unionByName(each)
