@@ -1,8 +1,9 @@
 """Benchmark decontamination: a broadcast set of normalised test n-grams against token windows.
 
 Hits are verified on the words themselves; the operator marks documents, lists the spans
-and can cut them out. Test sets above a size bound are broadcast in blocks, one after the
-other, so no worker ever holds more than one block beyond the bound.
+and can cut them out. The set is broadcast only if the benchmark's text is within a bound.
+A larger benchmark never leaves the cluster: its windows and those of the documents meet in
+a join on the words, after a bit filter of fixed size has dropped most document windows.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +24,10 @@ from scenespark.llm import common
 WINDOW = 13
 # a document is contaminated from this share of hit words
 SHARE = 0.05
-# bound of one broadcast block, in bytes of benchmark text
+# up to so many bytes of benchmark text are broadcast
 BLOCK_BYTES = 16 << 20
+# the filter of the join has 64 << FILTER_BITS bits, 16 MB
+FILTER_BITS = 21
 _WORDS = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
@@ -68,18 +73,108 @@ class Grams:
         return mask, names
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, str | None]]]:
-    """The items in blocks of at most ``block_bytes`` (a longer item is a block of its own)."""
-    out, size = [[]], 0
-    rows = benchmark.select(F.col("item_id").cast("string"), "text").where("text is not null and item_id is not null")
-    for name, text in rows.toLocalIterator():
-        more = len(text.encode("utf-8", "surrogatepass"))
-        if out[-1] and size + more > block_bytes:
-            out.append([])
-            size = 0
-        out[-1].append((name, text))
-        size += more
-    return out
+FIELDS = ["n_words", "n_hit", "n_items", "items_sha256", "spans", "contaminated"]
+MARKS = ("n_words long, n_hit long, n_items long, items_sha256 string, "
+         "spans array<struct<first:long,words:long>>, contaminated boolean")
+
+
+def _told(mask: np.ndarray, names: set[str], one_in: int) -> tuple:
+    """The ``FIELDS`` of one document from its hit words and items."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
+    n_hit = int(mask.sum())
+    return (
+        len(mask), n_hit, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(),
+        [(int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2])], n_hit > 0 and one_in * n_hit >= len(mask),
+    )
+
+
+def _by_broadcast(docs: DataFrame, items: DataFrame, window: int, one_in: int, text: str, name: str) -> DataFrame:
+    rows = [(r["item"], r["text"]) for r in items.collect()]  # within the bound
+    shared = docs.sparkSession.sparkContext.broadcast(rows)
+
+    @F.pandas_udf(MARKS)
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        grams = Grams(shared.value, window)
+        for batch in batches:
+            yield pd.DataFrame([_told(*grams.hits(words(t)), one_in) for t in batch], columns=FIELDS)
+
+    return docs.withColumn(name, judged(F.col(f"`{text}`")))
+
+
+def _cell(gram: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(gram) & ((64 << FILTER_BITS) - 1)
+
+
+def _by_join(docs: DataFrame, items: DataFrame, window: int, one_in: int, text: str, name: str) -> DataFrame:
+    """Windows of documents and items meet by their words; texts are told apart by a digest."""
+    spark = docs.sparkSession
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for item, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = words(body)
+                size = min(window, len(found))
+                for gram in {b" ".join(found[i:i + size]) for i in range(len(found) - size + 1)} if found else ():
+                    rows.append((item, size, gram, _cell(gram) >> 6, _cell(gram) & 63))
+            columns = list(zip(*rows)) if rows else [()] * 5
+            yield pa.record_batch(
+                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.binary(), pa.int32(), pa.int32()))],
+                names=["item", "size", "gram", "cell", "bit"])
+
+    grams = common.staged(
+        items.mapInArrow(of_items, "item string, size int, gram binary, cell int, bit int").distinct(), "grams")
+    sizes = [r["size"] for r in grams.select("size").distinct().collect()]  # one row per length, ``window`` at most
+    cells = grams.groupBy("cell").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).collect()  # 1 << FILTER_BITS at most
+    bitmap = np.zeros(1 << FILTER_BITS, np.int64)
+    bitmap[[r["cell"] for r in cells]] = [r["bits"] for r in cells]
+    shared = spark.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            keys, starts, lengths, found_grams = [], [], [], []
+            for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = words(body)
+                for size in sizes:
+                    for i in range(len(found) - size + 1):
+                        gram = b" ".join(found[i:i + size])
+                        at = _cell(gram)
+                        if int(bits[at >> 6]) >> (at & 63) & 1:
+                            keys.append(key)
+                            starts.append(i)
+                            lengths.append(size)
+                            found_grams.append(gram)
+            yield pa.record_batch(
+                [pa.array(keys, pa.binary()), pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()),
+                 pa.array(found_grams, pa.binary())], names=["key", "first", "size", "gram"])
+
+    key = F.unhex(F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")))
+    tagged = docs.withColumn(name, key)
+    windows = tagged.select(F.col(name).alias("key"), F.col(f"`{text}`").cast("string").alias("body")).mapInArrow(
+        of_docs, "key binary, first int, size int, gram binary")
+    hits = common.staged(windows.join(grams.select("size", "gram").distinct(), ["size", "gram"]).distinct(), "hits")
+    places = hits.groupBy("key").agg(F.collect_list(F.struct("first", "size")).alias("_places"))
+    owners = (
+        hits.select("key", "size", "gram").distinct().join(grams.select("size", "gram", "item"), ["size", "gram"])
+        .groupBy("key").agg(F.collect_set("item").alias("_items"))
+    )
+    marks = common.staged(places.join(owners, "key"), "marks")
+    more = [common.tmp(docs, "_hit_places"), common.tmp(docs, "_hit_items")]
+    marks = marks.toDF(name, *more)
+
+    @F.pandas_udf(MARKS)
+    def judged(body: pd.Series, places: pd.Series, names: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, at, got in zip(body, places, names):
+            mask = np.zeros(len(words(t)), bool)
+            for p in at if at is not None else ():
+                mask[p["first"]:p["first"] + p["size"]] = True
+            out.append(_told(mask, set(got) if got is not None else set(), one_in))
+        return pd.DataFrame(out, columns=FIELDS)
+
+    joined = tagged.join(marks, name, "left")
+    return joined.withColumn(name, judged(F.col(f"`{text}`"), *more)).drop(*more)
 
 
 def mark(
@@ -92,42 +187,16 @@ def mark(
     document word inside an occurrence of a window is hit; ``spans`` lists the runs of hit
     words as (first word, words). Null and empty texts have no words and are clean; items
     without words match nothing; an empty benchmark hits nothing. Repeated rows are marked
-    alike; input columns named like a result give way to it.
+    alike; input columns named like a result give way to it. More than ``block_bytes`` of
+    benchmark text and ids are joined instead of broadcast.
     """
-    spark = docs.sparkSession
-    common.prepare(spark)
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, block_bytes)]
-    one_in = round(1 / share)
-
-    @F.pandas_udf("n_words long, n_hit long, n_items long, items_sha256 string, "
-                  "spans array<struct<first:long,words:long>>, contaminated boolean")
-    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        only = Grams(blocks[0].value, window) if len(blocks) == 1 else None
-        for batch in batches:
-            found = [words(t) for t in batch]
-            masks = [np.zeros(len(f), bool) for f in found]
-            names: list[set[str]] = [set() for _ in found]
-            for block in blocks:
-                grams = only or Grams(block.value, window)
-                for i, f in enumerate(found):
-                    mask, got = grams.hits(f)
-                    masks[i] |= mask
-                    names[i] |= got
-            out = []
-            for f, mask, got in zip(found, masks, names):
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
-                n_hit = int(mask.sum())
-                out.append((
-                    len(f), n_hit, len(got), hashlib.sha256(",".join(sorted(got)).encode()).hexdigest(),
-                    [(int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2])],
-                    n_hit > 0 and one_in * n_hit >= len(f),
-                ))
-            yield pd.DataFrame(out, columns=["n_words", "n_hit", "n_items", "items_sha256", "spans", "contaminated"])
-
+    common.prepare(docs.sparkSession)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null and item_id is not null")
+    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
     name = common.tmp(docs, "_marked")
-    fields = ["n_words", "n_hit", "n_items", "items_sha256", "spans", "contaminated"]
-    out = docs.withColumn(name, judged(F.col(f"`{text}`")))
-    return common.replaced(out, {f: F.col(f"{name}.{f}") for f in fields}).drop(name)
+    way = _by_broadcast if size <= block_bytes else _by_join
+    out = way(docs, items, window, round(1 / share), text, name)
+    return common.replaced(out, {f: F.col(f"{name}.{f}") for f in FIELDS}).drop(name)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,6 +152,7 @@ def test_blocks_give_the_same_and_spans_go(spark, sf):
     one = decontamination.mark(docs, bench).drop("spans")
     many = decontamination.mark(docs, bench, block_bytes=500).drop("spans")
     assert one.exceptAll(many).count() == 0
+    assert many.where("contaminated").count() > 0
     cleaned = decontamination.remove_spans(decontamination.mark(docs, bench)).select("doc_id", "text")
     assert decontamination.mark(cleaned, bench).where("contaminated").count() == 0
 
@@ -337,6 +338,7 @@ def operators(spark):
         "rules": lambda d: quality_rules.applied(quality_rules.measured(d)),
         "suffixes": lambda d: suffix_dedup.removed(d),
         "benchmark": lambda d: decontamination.mark(d, bench),
+        "joined benchmark": lambda d: decontamination.mark(d, bench, block_bytes=0),
         "no benchmark": lambda d: decontamination.mark(d, bench.limit(0)),
         "language": lambda d: language_id.predicted(d, language_id.fit(d)),
         "simhash": lambda d: simhash.grouped(d),
@@ -348,7 +350,7 @@ def operators(spark):
 
 
 @pytest.mark.parametrize("name", [
-    "secrets", "rules", "suffixes", "benchmark", "no benchmark", "language", "simhash", "quality", "toxicity", "no labels", "urls"])
+    "secrets", "rules", "suffixes", "benchmark", "joined benchmark", "no benchmark", "language", "simhash", "quality", "toxicity", "no labels", "urls"])
 def test_odd_rows_and_empty_tables(spark, odd_documents, no_documents, name):
     fn = operators(spark)[name]
     rows = fn(odd_documents).collect()
