@@ -93,9 +93,10 @@ def fit(
 
 
 def labelled_sample(labels: DataFrame, docs: DataFrame, grade, max_rows: int, text: str = "text") -> DataFrame:
-    """(grade, text) of at most ``max_rows`` labelled documents, chosen by a hash of the id.
+    """(grade, text) of at most ``max_rows`` labelled ids, chosen by a hash of the id.
 
-    Labels without a grade or id are left out; of several labels of one id the lowest grade counts.
+    Labels without a grade or id are left out; of several labels of one id the lowest grade
+    counts. An id that many rows share brings all of them: callers bound the rows as well.
     """
     picked = (
         labels.select("doc_id", grade.cast("int").alias("grade")).where("doc_id is not null and grade is not null")

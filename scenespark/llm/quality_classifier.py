@@ -90,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column | None = None, max_row
     sample = ordinal.labelled_sample(labels, docs, rating() if grade is None else grade, max_rows)
     got = (
         sample.select("grade", packed("text").alias("x")).select("grade", "x.idx", "x.val")
-        .orderBy("grade", F.xxhash64("idx", "val")).collect()
+        .orderBy(F.xxhash64("idx", "val", "grade"), "grade").limit(max_rows).collect()
     )
     rows = [(np.frombuffer(r.idx, np.int32), np.frombuffer(r.val, np.float32).astype(float)) for r in got]
     return ordinal.fit(rows, [r.grade for r in got], DIMS, epochs=6, alpha=0.5, l1=0.05)

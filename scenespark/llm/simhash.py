@@ -33,6 +33,8 @@ RADIUS = 4
 SEED = 42
 # where all pairs of a cell cost as much as the points around its members
 CELL = 2081
+# shingles of a long text that are counted together
+PART = 1 << 16
 _EVEN = 0x5555555555555555
 
 
@@ -58,11 +60,13 @@ def fingerprint(text: str | None) -> int:
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     starts = np.concatenate(([0], np.cumsum(sizes)))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array(
-        [digest(joined[a:b], SEED) for a, b in zip(starts[:-SHINGLE].tolist(), (starts[SHINGLE:] - 1).tolist())], np.uint64)
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(
-        0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
+    first, last = starts[:-SHINGLE], starts[SHINGLE:] - 1
+    bits = np.zeros(64, np.int64)
+    for at in range(0, len(first), PART):
+        hashes = np.array(
+            [digest(joined[a:b], SEED) for a, b in zip(first[at:at + PART].tolist(), last[at:at + PART].tolist())], "<u8")
+        bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(first), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:

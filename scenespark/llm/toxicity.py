@@ -54,7 +54,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", max_rows: int
 
     common.prepare(docs.sparkSession)
     sample = ordinal.labelled_sample(labels, docs, F.col(grade), max_rows)
-    got = sample.select("grade", packed("text").alias("x")).orderBy("grade", F.xxhash64("x")).collect()
+    got = sample.select("grade", packed("text").alias("x")).orderBy(F.xxhash64("x", "grade"), "grade").limit(max_rows).collect()
     rows = []
     for r in got:
         idx = np.frombuffer(r.x, np.int32)
