@@ -235,3 +235,29 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     marked = mark(docs.select(*columns), common.table(spark, sf_dir, "benchmark"))
     return marked.where("not contaminated").select(*columns)
+
+
+_WORDS_SQL = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL} AS w FROM benchmark),
+grams AS (
+  SELECT DISTINCT item, m, w[i:i + m - 1] AS g
+  FROM (SELECT item, w, least({WINDOW}, len(w)) AS m, unnest(range(1, len(w) - least({WINDOW}, len(w)) + 2)) AS i
+        FROM b WHERE len(w) > 0)),
+wins AS (
+  SELECT doc_id, m, i, w[i:i + m - 1] AS g
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM grams) WHERE len(w) >= m)),
+hits AS (SELECT doc_id, i, wins.m, item FROM wins JOIN grams ON wins.m = grams.m AND wins.g = grams.g),
+hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM hits) GROUP BY doc_id),
+owners AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND {round(1 / SHARE)} * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN owners USING (doc_id)
+"""

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from scenespark.llm.decontamination import op4_decontamination
-from scenespark.llm import language_id, packing, quality_rules, secret_scan, simhash, suffix_dedup, url_filter
+from scenespark.llm import decontamination, language_id, packing, quality_rules, secret_scan, simhash, suffix_dedup, url_filter
 from scenespark.llm.quality_classifier import op8_quality_classifier
 from scenespark.llm.toxicity import op10_toxicity
 
@@ -11,7 +10,7 @@ QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
-    "op4_decontamination": op4_decontamination,
+    "op4_decontamination": decontamination.op4_decontamination,
     "op5_language_id": language_id.op5_language_id,
     "op6_simhash": simhash.op6_simhash,
     "op7_packing": packing.op7_packing,
@@ -22,4 +21,7 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op1_secret_scan": secret_scan.SQL,
     "op2_quality_rules": quality_rules.SQL,
+    "op3_suffix_dedup": suffix_dedup.SQL,
+    "op4_decontamination": decontamination.SQL,
+    "op9_url_filter": url_filter.SQL,
 }

@@ -280,3 +280,33 @@ def removed(docs: DataFrame, text: str = "text") -> DataFrame:
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return removed(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+# hexadecimal digits stand for bytes, two of them each; long texts are cut into overlapping parts of so many windows
+_PART = 256
+SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+cut AS (
+  SELECT doc_id, c, substr(x, {2 * _PART} * c + 1, {2 * (_PART + WINDOW - 1)}) AS x
+  FROM (SELECT doc_id, x, unnest(range(0, (len(x) // 2 - {WINDOW} + {_PART}) // {_PART})) AS c FROM d
+        WHERE len(x) >= {2 * WINDOW})),
+wins AS (
+  SELECT doc_id, c * {_PART} + i AS i, md5(substr(x, 2 * i + 1, {2 * WINDOW})) AS h
+  FROM (SELECT doc_id, c, x, unnest(range(0, len(x) // 2 - {WINDOW - 1})) AS i FROM cut)),
+twice AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before
+  FROM wins WHERE h IN (SELECT h FROM wins GROUP BY h HAVING count(*) > 1)),
+numbered AS (
+  SELECT doc_id, i, count_if(before IS NULL OR i - before > {WINDOW}) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM twice),
+spans AS (SELECT doc_id, span, min(i) AS a, max(i) + {WINDOW} AS b FROM numbered GROUP BY doc_id, span),
+told AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id),
+gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS start, a AS stop FROM spans
+  UNION ALL SELECT doc_id, max(b), NULL FROM spans GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(substr(x, 2 * start + 1, 2 * (coalesce(stop, len(x) // 2) - start)), '' ORDER BY start) AS k
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k, x))) AS kept_sha256
+FROM d LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -147,3 +147,62 @@ def judged(
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(common.table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _host_sql(url: str) -> str:
+    return (
+        f"coalesce(CASE WHEN instr({url}, '://') > 0 THEN translate(regexp_extract(substr({url}, instr({url}, '://') + 3), "
+        "'^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END, '')"
+    )
+
+
+def _rank_sql(name: str, edges: str, verdict: str, rounds: int = ROUNDS) -> str:
+    """Rounds of personalised PageRank as one statement after the other."""
+    steps = [
+        f"{name}_p AS MATERIALIZED (SELECT a, b, w / sum(w) OVER (PARTITION BY a) AS p FROM ({edges}))",
+        f"{name}_s AS MATERIALIZED (SELECT host, n / sum(n) OVER () AS share FROM "
+        f"(SELECT host, count(*) AS n FROM ruled WHERE host <> '' AND rule_verdict = '{verdict}' GROUP BY host))",
+        f"{name}_0 AS (SELECT host, share AS rank FROM {name}_s)",
+    ]
+    for k in range(rounds):
+        steps.append(f"""{name}_{k + 1} AS MATERIALIZED (SELECT host, sum(rank) AS rank FROM (
+          SELECT b AS host, rank * p * {DAMPING} AS rank FROM {name}_{k} JOIN {name}_p ON host = a
+          UNION ALL SELECT host, share * {1 - DAMPING} FROM {name}_s) GROUP BY host)""")
+    return ", ".join(steps)
+
+
+_FITS = [
+    f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN "
+    for r in RULES
+]
+_LONGEST = sorted(range(len(RULES)), key=lambda i: (-len(RULES[i].text), RULES[i].text))
+_LINK_SQL = LINK.replace("'", "''")
+SQL = f"""
+WITH parsed AS (
+  SELECT page_id, html, {_host_sql("url")} AS host,
+         coalesce(CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) END, '') AS path
+  FROM pages),
+ruled AS MATERIALIZED (
+  SELECT *, CASE {" ".join(f"{_FITS[i]} '{RULES[i].text}'" for i in _LONGEST)} END AS rule,
+         CASE {" ".join(f"{_FITS[i]} '{RULES[i].verdict}'" for i in _LONGEST)} END AS rule_verdict
+  FROM parsed),
+targets AS (
+  SELECT a, {_host_sql("url")} AS b
+  FROM (SELECT host AS a, unnest(regexp_extract_all(coalesce(html, ''), '{_LINK_SQL}', 1)) AS url FROM ruled)),
+links AS (SELECT a, b, CAST(count(*) AS DOUBLE) AS w FROM targets WHERE a <> '' AND b <> '' AND a <> b GROUP BY a, b),
+hosts AS (SELECT host FROM ruled WHERE host <> '' UNION SELECT b FROM links),
+above AS (
+  SELECT host AS a, substr(host, instr(host, '.') + 1) AS b FROM hosts
+  WHERE instr(host, '.') > 0 AND instr(substr(host, instr(host, '.') + 1), '.') > 0),
+edges AS MATERIALIZED (
+  SELECT a, b, sum(w) AS w FROM (
+    SELECT a, b, w FROM links UNION ALL
+    SELECT a, b, 1.0 FROM (SELECT a, b FROM above UNION SELECT b, a FROM above)) GROUP BY a, b),
+{_rank_sql("trust", "SELECT a, b, w FROM edges", "allow")},
+{_rank_sql("distrust", "SELECT b AS a, a AS b, w FROM edges", "block")},
+blocked AS (
+  SELECT host, true AS bad FROM trust_{ROUNDS} t FULL JOIN distrust_{ROUNDS} d USING (host)
+  WHERE coalesce(d.rank, 0) > {BLOCK_FROM} * (coalesce(t.rank, 0) + coalesce(d.rank, 0)))
+SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN bad THEN 'block' END, 'allow') AS verdict
+FROM ruled LEFT JOIN blocked USING (host)
+"""
