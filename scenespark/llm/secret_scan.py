@@ -19,7 +19,7 @@ from scenespark.llm import common
 
 SCOPE = 400
 # summed in pieces of so many, so that sums up to each match stay cheap in texts with many
-PIECE = 64
+PIECE = 256
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -32,7 +32,8 @@ SECRET = (
     r"""(?i:pwd|pass|passphrase|auth|credentials?|private_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}"""
     r"""|[0-9a-f]{16,}"""
 )
-ENDPOINT = r"""[A-Za-z][A-Za-z0-9+.-]*://[A-Za-z0-9][^\x20\x09-\x0D"'<>]{3,}|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?"""
+# a scheme has at most 32 letters, so that no long run is scanned from each of its letters
+ENDPOINT = r"""[A-Za-z][A-Za-z0-9+.-]{0,31}://[A-Za-z0-9][^\x20\x09-\x0D"'<>]{3,}|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?"""
 
 KINDS = ["assign", "access", "hex", "identifier", "secret", "endpoint"]
 PATTERNS = [ASSIGN, ACCESS, HEX, IDENTIFIER, SECRET, ENDPOINT]
@@ -48,19 +49,16 @@ SPAN = "array<struct<start:bigint,kind:int,stop:bigint>>"
 
 
 def _before(sizes: str) -> Column:
-    """Sum of the elements ahead of each element, in two levels."""
-    n = f"size({sizes})"
-    piece = f"slice({sizes}, CAST(b * {PIECE} + 1 AS INT), {PIECE})"
+    """Sum of the elements ahead of each element: sums of whole pieces, then within the piece."""
     return F.expr(f"""
-        CASE WHEN {n} = 0 THEN array() ELSE flatten(transform(
-          transform(sequence(0, CAST(floor(({n} - 1) / {PIECE}) AS INT)), b -> struct(
-            b AS b,
-            aggregate(slice(transform(sequence(0, CAST(floor(({n} - 1) / {PIECE}) AS INT)), c ->
-              IF(c < b, aggregate(slice({sizes}, c * {PIECE} + 1, {PIECE}), 0L, (s, x) -> s + x), 0L)), 1, b),
-              0L, (s, x) -> s + x) AS base,
-            {piece} AS part)),
-          p -> transform(p.part, (x, i) -> p.base + aggregate(slice(p.part, 1, i), 0L, (s, y) -> s + y))
-        )) END""")
+        CASE WHEN size({sizes}) = 0 THEN array() ELSE element_at(transform(
+          array(transform(sequence(0, CAST(floor((size({sizes}) - 1) / {PIECE}) AS INT)), b ->
+            aggregate(slice({sizes}, CAST(b * {PIECE} + 1 AS INT), {PIECE}), 0L, (s, x) -> s + x))),
+          sums -> flatten(transform(
+            transform(sums, (own, b) -> struct(
+              aggregate(slice(sums, 1, b), 0L, (s, x) -> s + x) AS base,
+              slice({sizes}, CAST(b * {PIECE} + 1 AS INT), {PIECE}) AS part)),
+            p -> transform(p.part, (x, i) -> p.base + aggregate(slice(p.part, 1, i), 0L, (s, y) -> s + y))))), 1) END""")
 
 
 def _spans(df: DataFrame, text: Column, kinds: list[str]) -> DataFrame:
