@@ -12,6 +12,11 @@ more than ``CELL`` fingerprints (one neighbourhood of heavily edited copies) tak
 way of linear size instead: two fingerprints differ in at most four bits exactly when some
 point is within two bits of both, so each is linked to the smallest one at each of the
 2081 points around it.
+
+``op6_simhash`` keeps to this rule. Near copies of the pipeline are texts whose sets of
+five-word shingles have a similarity (common / all) of ``SIMILAR`` or more. Such pairs
+differ in about ten bits of a fingerprint and often in more, beyond what a grid can prune, so
+candidates share the smallest hashes of a band instead, and each is verified on the sets.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenespark.llm import common
@@ -36,6 +41,13 @@ CELL = 2081
 # shingles of a long text that are counted together
 PART = 1 << 16
 _EVEN = 0x5555555555555555
+# near copies of the pipeline: words of a shingle, and the similarity from which texts are linked
+WORDS = 5
+SIMILAR = 0.8
+# a pair of similarity 0.8 shares no band with a probability of (1 - 0.8^5)^25 = 0.00005
+BANDS, BAND = 25, 5
+# shingles of the members of a cell that are compared in one task; more are compared part by part
+CELL_SHINGLES = 1 << 20
 
 
 def signed(x: int) -> int:
@@ -46,27 +58,54 @@ def signed(x: int) -> int:
 GRIDS = [signed(sum(0xFF << (8 * g) for g in chosen)) for chosen in combinations(range(8), 4)]
 
 
-def fingerprint(text: str | None) -> int:
-    """64 bits, each set if it is set in over half the shingle hashes; 0 for a text without words."""
+def _hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of all shingles, a part of them at a time; a text of fewer words is one shingle."""
     if not text:
-        return 0
+        return
     # bytes.split() cuts at 0x09-0x0D and 0x20, bytes.lower() touches A-Z alone
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
-    if len(words) <= SHINGLE:
-        return xxhash.xxh64_intdigest(joined, SEED)
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        yield np.array([digest(joined, SEED)], "<u8")
+        return
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     starts = np.concatenate(([0], np.cumsum(sizes)))
-    digest = xxhash.xxh64_intdigest
-    first, last = starts[:-SHINGLE], starts[SHINGLE:] - 1
-    bits = np.zeros(64, np.int64)
+    first, last = starts[:-shingle], starts[shingle:] - 1
     for at in range(0, len(first), PART):
-        hashes = np.array(
+        yield np.array(
             [digest(joined[a:b], SEED) for a, b in zip(first[at:at + PART].tolist(), last[at:at + PART].tolist())], "<u8")
+
+
+def fingerprint(text: str | None) -> int:
+    """64 bits, each set if it is set in over half the shingle hashes; 0 for a text without words."""
+    bits, n = np.zeros(64, np.int64), 0
+    for hashes in _hashes(text, SHINGLE):
         bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(first), bitorder="little").view("<u8")[0])
+        n += len(hashes)
+    return int(np.packbits(2 * bits > n, bitorder="little").view("<u8")[0])
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The sorted set of the five-word shingles' hashes."""
+    found = [np.unique(h) for h in _hashes(text, WORDS)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, "<u8")
+
+
+# an odd factor turns the hashes into another order
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * BAND, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(found: np.ndarray) -> list[int]:
+    """One hash per band, over the smallest shingle in each of the band's orders; none for an empty set."""
+    if not len(found):
+        return []
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 4096):
+        least = np.minimum(least, (found[at:at + 4096] * _FACTORS).min(1))
+    return [signed(xxhash.xxh64_intdigest(b.tobytes(), SEED)) for b in least.reshape(BANDS, BAND)]
 
 
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
@@ -213,6 +252,110 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _linked(sets: list[np.ndarray], similar: float) -> np.ndarray:
+    """Per set the smallest index in its component of pairs at ``similar`` or more; all pairs count."""
+    size = np.array([len(x) for x in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = np.split(ids, np.cumsum(size)[:-1])
+    label, mark = np.arange(len(sets)), np.zeros(int(size.sum()), bool)
+    for i in range(len(sets) - 1):
+        # pairs of one component need no look; nor do sizes too far apart
+        rest = np.flatnonzero(
+            (label[i + 1:] != label[i]) & (np.minimum(size[i + 1:], size[i]) + 1e-9 >= similar * np.maximum(size[i + 1:], size[i]))
+        ) + i + 1
+        if not len(rest):
+            continue
+        mark[ids[i]] = True
+        common_n = np.add.reduceat(
+            mark[np.concatenate([ids[j] for j in rest])], np.concatenate(([0], np.cumsum(size[rest])[:-1])), dtype=np.int64)
+        mark[ids[i]] = False
+        near = rest[common_n + 1e-9 >= similar * (size[i] + size[rest] - common_n)]
+        if len(near):
+            joined = np.unique(np.append(label[near], label[i]))
+            label[np.isin(label, joined)] = joined[0]
+    return label
+
+
+def _verified(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[pa.RecordBatch]:
+    """Edges of the cells in a partition sorted by cell and parts."""
+    of, keys, sets = None, [], []
+
+    def edges() -> pa.RecordBatch:
+        label = _linked(sets, similar) if len(sets) > 1 else np.arange(len(sets))
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return pa.record_batch([
+            pa.array([keys[i] for i in moved], pa.int64()), pa.array([keys[label[i]] for i in moved], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for *cell, key, body in zip(*[c.to_pylist() for c in batch.columns]):
+            if cell != of:
+                yield edges()
+                of, keys, sets = cell, [], []
+            keys.append(key)
+            sets.append(np.frombuffer(body, "<u8"))
+    yield edges()
+
+
+def near_links(marked: DataFrame, docs: DataFrame, similar: float = SIMILAR, most: int = CELL_SHINGLES) -> DataFrame:
+    """Edges (a, b) whose components are those of all candidates with similar shingle sets.
+
+    ``marked``: row, key, size, bands; ``docs``: row, text. Equal sets share a key and are
+    one member. Cells with the same members count once; all pairs of a cell are compared,
+    those of a large cell in pairs of parts.
+    """
+    sets = marked.where("size > 0").groupBy("key").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    rows = sets.select("key", "size", F.posexplode("bands").alias("band", "cell"))
+    cells = rows.groupBy("band", "cell").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"),
+        F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).where("n > 1")
+    cells = cells.groupBy("n", "x", "y", "total").agg(F.min(F.struct("band", "cell")).alias("c")).select(
+        "c.band", "c.cell", F.ceil(F.col("total") / F.lit(most)).cast("int").alias("parts"))
+    members = common.staged(rows.join(cells, ["band", "cell"]).select("band", "cell", "parts", "key"), "members")
+    wanted = members.select("key").distinct().join(sets.select("key", "row"), "key")
+
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([
+                batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())],
+                names=["key", "body"])
+
+    found = common.staged(docs.join(wanted, "row").dropDuplicates(["row"]).select("key", F.col("text").cast("string")).mapInArrow(
+        bodies, "key long, body binary"), "shingles")
+    part = F.expr("pmod(xxhash64(key, 2), parts)")
+    split = members.withColumn("part", part).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    dealt = split.select("key", "band", "cell", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    return (
+        dealt.join(found, "key").select("band", "cell", "low", "high", "key", "body")
+        .repartition("band", "cell", "low", "high").sortWithinPartitions("band", "cell", "low", "high", "key")
+        .mapInArrow(lambda it: _verified(it, similar), "a long, b long")
+    )
+
+
+def _row() -> Column:
+    """A digest of all columns: rows with the same digest are repeated rows."""
+    return F.sha2(F.to_json(F.struct("doc_id", "text", "lang", "source", "n_chars")), 256)
+
+
+def near_groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(row, doc_id, key, root) per document: rows of one root are near copies, directly or through others.
+
+    Texts without words are copies of each other.
+    """
+    common.prepare(docs.sparkSession)
+
+    @F.pandas_udf("key long, size int, bands array<long>")
+    def of(body: pd.Series) -> pd.DataFrame:
+        found = [shingles(t) for t in body]
+        return pd.DataFrame({
+            "key": [signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) if len(x) else 0 for x in found],
+            "size": [len(x) for x in found], "bands": [bands(x) for x in found]})
+
+    rows = docs.withColumn("row", _row())
+    marked = common.staged(rows.select("row", "doc_id", of(F.col("text").cast("string")).alias("_m")).select("row", "doc_id", "_m.*"), "marked")
+    roots = common.components(near_links(marked, rows.select("row", "text"), similar)).withColumnRenamed("id", "key")
+    return marked.select("row", "doc_id", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies the document with the smallest id stays.
 
@@ -220,5 +363,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     docs = docs.select(*columns)
-    keep = grouped(docs).where("doc_id = component_id").select("doc_id").distinct()
+    keep = near_groups(docs).groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

@@ -238,6 +238,54 @@ def test_embedding_is_a_lower_bound():
     assert (np.abs(point(a).astype(int) - point(b).astype(int)).sum(1) <= np.bitwise_count(a ^ b)).all()
 
 
+def edited_copies(rng, copies, length=200):
+    """(id, text): originals, each followed by a copy with some words replaced."""
+    rows = []
+    for k, changed in enumerate(copies):
+        words = [f"w{rng.randrange(5000)}" for _ in range(length)]
+        copy = list(words)
+        for at in rng.sample(range(length), changed):
+            copy[at] = f"new{rng.randrange(10**6)}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    return rows
+
+
+def shared_share(a, b):
+    x, y = (set(zip(*[t.split()[k:] for k in range(5)])) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_by_five_words_go(spark):
+    rows = edited_copies(random.Random(9), [1, 2, 3, 4, 5, 8, 12, 40] * 8)
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in simhash.stage(spark, docs, "").collect()}
+    whole = dict(rows)
+    gone = {i for i in whole if i % 2 and shared_share(whole[i - 1], whole[i]) >= 0.8}
+    assert kept == set(whole) - gone and 20 < len(gone) < 64
+
+
+@pytest.mark.parametrize("most", [simhash.CELL_SHINGLES, 2000])
+def test_near_links_are_all_pairs(spark, most):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 6)):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    sets = [simhash.shingles(t) for _, t in rows]
+    marked = spark.createDataFrame([(str(i), i, len(x), simhash.bands(x)) for (i, _), x in zip(rows, sets)], "row string, key long, size int, bands array<long>")
+    docs = spark.createDataFrame([(str(i), t) for i, t in rows], "row string, text string")
+    got = dict(map(tuple, common.components(simhash.near_links(marked, docs, most=most)).collect()))
+    label = list(range(60))
+    for a, b in itertools.combinations(range(60), 2):
+        if shared_share(rows[a][1], rows[b][1]) >= 0.8:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+    assert [got.get(i, i) for i in range(60)] == label
+
+
 # 7 packing
 
 def test_packing_is_a_round_trip(spark, sf):
