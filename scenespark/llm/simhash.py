@@ -357,11 +357,13 @@ def near_groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the document with the smallest id stays.
+    """Pipeline stage: of each group of near copies one row stays, decided per row.
 
-    Of repeated rows of one id one stays; rows without an id cannot be named and stay.
+    It is the row with the smallest id, nulls last, then with the smallest digests of its
+    shingles and columns. Repeated rows are one.
     """
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     docs = docs.select(*columns)
-    keep = near_groups(docs).groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    order = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "key", "row")
+    keep = near_groups(docs).groupBy("root").agg(F.min(order).alias("_first")).select("_first.row")
+    return docs.withColumn("row", _row()).join(keep, "row", "left_semi").dropDuplicates(["row"]).select(*columns)

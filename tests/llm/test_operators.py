@@ -286,6 +286,18 @@ def test_near_links_are_all_pairs(spark, most):
     assert [got.get(i, i) for i in range(60)] == label
 
 
+def test_near_copies_are_decided_per_row(spark):
+    texts_of = [t for _, t in edited_copies(random.Random(3), [1] * 3)]
+    rows = [
+        (1, texts_of[0]), (1, texts_of[2]), (1, texts_of[2]), (2, texts_of[1]), (None, texts_of[3]), (None, texts_of[4]), (None, texts_of[4]),
+        (None, texts_of[5]),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    runs = [sorted((r.doc_id or 0, r.text) for r in simhash.stage(spark, d, "").collect()) for d in (docs, docs.repartition(7).orderBy(F.desc("text")))]
+    assert runs[0] == runs[1] and len(runs[0]) == 3
+    assert {(1, texts_of[0]), (1, texts_of[2])} < set(runs[0]) and runs[0][0][0] == 0 and runs[0][0][1] in texts_of[4:]
+
+
 # 7 packing
 
 def test_packing_is_a_round_trip(spark, sf):
