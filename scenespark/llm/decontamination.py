@@ -39,11 +39,11 @@ def words(text: str | None) -> list[bytes]:
 class Grams:
     """The windows of one block of test items: vocabulary, rare first word and exact windows."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.window = window
         self.ids: dict[bytes, int] = {}
-        # window length -> {word ids of the window: items that have it}
-        self.by_length: dict[int, dict[tuple[int, ...], set[str]]] = {}
+        # window length -> {word ids of the window: items that have it, None for those without an id}
+        self.by_length: dict[int, dict[tuple[int, ...], set[str | None]]] = {}
         for name, text in items:
             got = [self.ids.setdefault(w, len(self.ids)) for w in words(text)]
             if not got:
@@ -53,7 +53,7 @@ class Grams:
             for i in range(len(got) - size + 1):
                 grams.setdefault(tuple(got[i:i + size]), set()).add(name)
 
-    def hits(self, found: list[bytes]) -> tuple[np.ndarray, set[str]]:
+    def hits(self, found: list[bytes]) -> tuple[np.ndarray, set[str | None]]:
         """(mask of the hit words, items with an occurring window)."""
         known = np.array([self.ids.get(w, -1) for w in found], np.int64)
         mask, names = np.zeros(len(found), bool), set()
@@ -78,12 +78,12 @@ MARKS = ("n_words long, n_hit long, n_items long, items_sha256 string, "
          "spans array<struct<first:long,words:long>>, contaminated boolean")
 
 
-def _told(mask: np.ndarray, names: set[str], one_in: int) -> tuple:
+def _told(mask: np.ndarray, names: set[str | None], one_in: int) -> tuple:
     """The ``FIELDS`` of one document from its hit words and items."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
     n_hit = int(mask.sum())
     return (
-        len(mask), n_hit, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(),
+        len(mask), n_hit, len(names), hashlib.sha256(",".join(sorted(names - {None})).encode()).hexdigest(),
         [(int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2])], n_hit > 0 and one_in * n_hit >= len(mask),
     )
 
@@ -157,7 +157,7 @@ def _by_join(docs: DataFrame, items: DataFrame, window: int, one_in: int, text:
     places = hits.groupBy("key").agg(F.collect_list(F.struct("first", "size")).alias("_places"))
     owners = (
         hits.select("key", "size", "gram").distinct().join(grams.select("size", "gram", "item"), ["size", "gram"])
-        .groupBy("key").agg(F.collect_set("item").alias("_items"))
+        .groupBy("key").agg(F.collect_set(F.struct("item")).alias("_items"))
     )
     marks = common.staged(places.join(owners, "key"), "marks")
     more = [common.tmp(docs, "_hit_places"), common.tmp(docs, "_hit_items")]
@@ -170,7 +170,7 @@ def _by_join(docs: DataFrame, items: DataFrame, window: int, one_in: int, text:
             mask = np.zeros(len(words(t)), bool)
             for p in at if at is not None else ():
                 mask[p["first"]:p["first"] + p["size"]] = True
-            out.append(_told(mask, set(got) if got is not None else set(), one_in))
+            out.append(_told(mask, {g["item"] for g in got} if got is not None else set(), one_in))
         return pd.DataFrame(out, columns=FIELDS)
 
     joined = tagged.join(marks, name, "left")
@@ -186,13 +186,15 @@ def mark(
     A window is ``window`` consecutive words of an item, or the whole of a shorter item. A
     document word inside an occurrence of a window is hit; ``spans`` lists the runs of hit
     words as (first word, words). Null and empty texts have no words and are clean; items
-    without words match nothing; an empty benchmark hits nothing. Repeated rows are marked
+    without words match nothing; an empty benchmark hits nothing. Items without an id hit
+    words as others do: n_items counts them as one together, items_sha256 (the digest of
+    the listed ids) leaves them out. Repeated rows are marked
     alike; input columns named like a result give way to it. More than ``block_bytes`` of
     benchmark text and ids are joined instead of broadcast.
     """
     common.prepare(docs.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null and item_id is not null")
-    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0)))).first()[0] or 0
     name = common.tmp(docs, "_marked")
     way = _by_broadcast if size <= block_bytes else _by_join
     out = way(docs, items, window, round(1 / share), text, name)

@@ -165,6 +165,15 @@ def test_short_items_are_windows(spark):
     assert got[2].n_hit == got[3].n_hit == 0
 
 
+@pytest.mark.parametrize("block_bytes", [decontamination.BLOCK_BYTES, 0])
+def test_items_without_an_id_hit(spark, block_bytes):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four five"), (3, "one two four five")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "two three"), (None, "one two"), (7, "four five")], "item_id long, text string")
+    got = by_id(decontamination.mark(docs, bench, block_bytes=block_bytes))
+    assert [(got[i].n_hit, got[i].n_items, got[i].contaminated) for i in (1, 2, 3)] == [(3, 1, True), (2, 1, True), (4, 2, True)]
+    assert [got[i].items_sha256 for i in (1, 3)] == [hashlib.sha256(x).hexdigest() for x in (b"", b"7")]
+
+
 # 5 language id
 
 def test_language_of_held_out_texts(spark, sf):
