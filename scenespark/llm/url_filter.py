@@ -5,6 +5,7 @@ hosts right above and below it in the name. Trust is a personalised PageRank fro
 hosts that rules allow, distrust the same on reversed edges from the hosts that rules
 block; a host is blocked where its distrust exceeds its trust by the threshold. Each round
 is a join and a grouped sum over the edges, and equal edges are summed before any shuffle.
+Rounds end once the ranks have settled and no further host is reached.
 """
 
 from __future__ import annotations
@@ -17,10 +18,15 @@ from pyspark.sql import functions as F
 from scenespark.llm import common
 
 DAMPING = 0.85
+# summed change of the ranks of a round (each starts with a sum of 1) from which they have settled
+TOLERANCE = 1e-4
+# of the comparison SQL, which has no loop; deeper links need more
 ROUNDS = 8
 # share of distrust in trust + distrust from which a host is blocked
 BLOCK_FROM = 0.5
+# targets as the comparison SQL reads them, and with those that leave the scheme to the page
 LINK = r"""(?i:href|src)\x20*=\x20*["']?([A-Za-z][A-Za-z0-9+.-]*://[^"'\x20>]+)"""
+TARGET = LINK.replace("*://", "*:)?//").replace("([A-Z", "((?:[A-Z")
 
 
 @dataclass(frozen=True)
@@ -76,9 +82,10 @@ def edges_of(pages: DataFrame) -> DataFrame:
 
     ``pages``: host, html. A name of one label is no host above.
     """
-    targets = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1))
+    targets = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(TARGET), F.lit(1))
+    target = F.when(F.col("url").startswith("//"), F.concat(F.lit("http:"), "url")).otherwise(F.col("url"))
     links = (
-        pages.select(F.col("host").alias("a"), F.explode(targets).alias("url")).select("a", host_of(F.col("url")).alias("b"))
+        pages.select(F.col("host").alias("a"), F.explode(targets).alias("url")).select("a", host_of(target).alias("b"))
         .where("a <> '' and b <> '' and a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("w"))
     )
     hosts = pages.select("host").union(links.select("b")).where("host <> ''").distinct()
@@ -88,22 +95,31 @@ def edges_of(pages: DataFrame) -> DataFrame:
     return links.unionAll(named.withColumn("w", F.lit(1.0))).groupBy("a", "b").agg(F.sum("w").alias("w"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """Personalised PageRank (host, rank) along a -> b from ``seeds`` (host, share; shares sum to 1)."""
-    weights = edges.join(edges.groupBy("a").agg(F.sum("w").alias("_sum")), "a").select(
-        "a", "b", (F.col("w") / F.col("_sum")).alias("p"))
+def spread(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
+    """Personalised PageRanks (kind, host, rank) along a -> b from ``seeds`` (kind, host, share).
+
+    ``edges``: kind, a, b, w. The shares of a kind sum to 1. Each round adds the change of
+    all ranks; the last one changes them by ``tolerance`` at most and reaches no new host.
+    """
+    weights = edges.join(edges.groupBy("kind", "a").agg(F.sum("w").alias("_sum")), ["kind", "a"]).select(
+        F.col("kind").alias("of"), "a", "b", (F.col("w") / F.col("_sum")).alias("p"))
     weights = common.staged(weights, "weights")
-    rank = seeds.select("host", F.col("share").alias("rank"))
-    for _ in range(rounds):
-        moved = rank.join(weights, rank.host == weights.a).select(
-            F.col("b").alias("host"), (F.col("rank") * F.col("p") * damping).alias("rank"))
-        start = seeds.select("host", (F.col("share") * (1 - damping)).alias("rank"))
-        rank = common.staged(moved.unionAll(start).groupBy("host").agg(F.sum("rank").alias("rank")), "rank")
-    return rank
+    nothing = F.lit(0.0)
+    start = seeds.select("kind", "host", (F.col("share") * (1 - damping)).alias("rank"), nothing.alias("before"))
+    rank = seeds.select("kind", "host", F.col("share").alias("rank"))
+    while True:
+        moved = rank.join(weights, (rank.kind == weights.of) & (rank.host == weights.a)).select(
+            "kind", F.col("b").alias("host"), (F.col("rank") * F.col("p") * damping).alias("rank"), nothing.alias("before"))
+        last = rank.select("kind", "host", nothing.alias("rank"), F.col("rank").alias("before"))
+        rank = common.staged(
+            moved.unionAll(start).unionAll(last).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before")), "rank")
+        change, fresh = rank.agg(F.sum(F.abs(F.col("rank") - F.col("before"))), F.count_if((F.col("before") == 0) & (F.col("rank") > 0))).first()
+        if not fresh and (change or 0) <= tolerance:
+            return rank.select("kind", "host", "rank")
 
 
 def judged(
-    pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS, block_from: float = BLOCK_FROM,
+    pages: DataFrame, rules: tuple[Rule, ...] = RULES, tolerance: float = TOLERANCE, block_from: float = BLOCK_FROM,
     url: str = "url", html: str = "html",
 ) -> DataFrame:
     """Add host, path, rule and verdict to pages.
@@ -126,13 +142,13 @@ def judged(
 
     def seeds(of: str) -> DataFrame:
         total = float(ruled.agg(F.sum(of)).first()[0] or 1)
-        return ruled.where(F.col(of) > 0).select("host", (F.col(of) / F.lit(total)).alias("share"))
+        return ruled.where(F.col(of) > 0).select(F.lit(of).alias("kind"), "host", (F.col(of) / F.lit(total)).alias("share"))
 
-    trust = spread(edges, seeds("trusted"), rounds)
-    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")
-    distrust = spread(back, seeds("blocked"), rounds).withColumnRenamed("rank", "bad")
-    scores = trust.join(distrust, "host", "full").select("host", F.coalesce("rank", F.lit(0.0)).alias("good"),
-                                                         F.coalesce("bad", F.lit(0.0)).alias("bad"))
+    both = edges.select(F.lit("trusted").alias("kind"), "a", "b", "w").unionAll(
+        edges.select(F.lit("blocked").alias("kind"), F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    ranks = spread(both, seeds("trusted").unionAll(seeds("blocked")), tolerance)
+    scores = ranks.groupBy("host").agg(*[
+        F.sum(F.when(F.col("kind") == of, F.col("rank")).otherwise(0.0)).alias(n) for n, of in (("good", "trusted"), ("bad", "blocked"))])
     blocked = common.staged(
         scores.where(F.col("bad") > F.lit(block_from) * (F.col("good") + F.col("bad"))).select("host", F.lit(True).alias("_bad")),
         "blocked")

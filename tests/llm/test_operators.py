@@ -396,6 +396,14 @@ def test_trust_spreads_over_links(spark):
     assert got == {1: "allow", 2: "allow", 3: "block", 4: "block", 5: "block"}
 
 
+def test_distrust_reaches_far_hosts(spark):
+    link = '<a href="//{}/">'
+    hosts = [f"h{i}.net" for i in range(1, 11)] + ["bad.com"]
+    rows = [(i, f"http://{h}/x", link.format(to)) for i, (h, to) in enumerate(zip(hosts, hosts[1:]))] + [(10, "http://bad.com/de/1", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.verdict for r in url_filter.judged(df).collect()} == {"block"}
+
+
 # odd input
 
 def operators(spark):
