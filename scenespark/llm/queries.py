@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from scenespark.llm import decontamination, language_id, packing, quality_rules, secret_scan, simhash, suffix_dedup, url_filter
+from scenespark.llm import (
+    collocations, decontamination, language_id, packing, piece_encoding, quality_rules, secret_scan, simhash, suffix_dedup,
+    token_alignment, url_filter,
+)
 from scenespark.llm.quality_classifier import op8_quality_classifier
 from scenespark.llm.toxicity import op10_toxicity
 
@@ -17,6 +20,9 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op11_piece_encoding": piece_encoding.op11_piece_encoding,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
+    "op13_collocations": collocations.op13_collocations,
 }
 SQL: dict[str, str] = {
     "op1_secret_scan": secret_scan.SQL,
@@ -24,4 +30,5 @@ SQL: dict[str, str] = {
     "op3_suffix_dedup": suffix_dedup.SQL,
     "op4_decontamination": decontamination.SQL,
     "op9_url_filter": url_filter.SQL,
+    "op13_collocations": collocations.SQL,
 }
