@@ -91,6 +91,43 @@ FROM (
   FROM c_zone WHERE zone_name IS NOT NULL)
 """)
 
+block("c_zset", """
+SELECT *, 'z' || zone_order AS name, (['RESTRICTED', 'BUFFER', 'OBSERVATION', 'SAFE'])[(s_suppkey + i) % 4 + 1] AS level,
+  w * (1 + i % 3) / 2.0::DOUBLE AS h
+FROM (
+  SELECT s_suppkey, i, s_suppkey % (SELECT count(DISTINCT feed_id) FROM c_ev) AS feed_id, s_suppkey * 20 + i AS zone_order,
+    0.01::DOUBLE * power(2.0::DOUBLE, (s_suppkey * 7 + i * 3) % 6) AS w,
+    CAST((s_suppkey * 37 + i * 101) % 1000 AS DOUBLE) / 1000 AS x, CAST((s_suppkey * 53 + i * 29) % 1000 AS DOUBLE) / 1000 AS y
+  FROM supplier, range(20) r(i))
+""")
+
+block("c_zedge", """
+SELECT feed_id, zone_order, name, level, unnest(CASE WHEN i % 2 = 0
+  THEN [{'xi': x, 'yi': y, 'xj': x, 'yj': y + h}, {'xi': x + w, 'yi': y, 'xj': x, 'yj': y},
+        {'xi': x + w, 'yi': y + h, 'xj': x + w, 'yj': y}, {'xi': x, 'yi': y + h, 'xj': x + w, 'yj': y + h}]
+  ELSE [{'xi': x, 'yi': y, 'xj': x + w / 2.0::DOUBLE, 'yj': y + h}, {'xi': x + w, 'yi': y, 'xj': x, 'yj': y},
+        {'xi': x + w / 2.0::DOUBLE, 'yi': y + h, 'xj': x + w, 'yj': y}] END) AS e
+FROM c_zset
+""")
+
+block("c_zfirst", """
+SELECT d.*, h.z.zone_order AS zone_order, h.z.name AS zone_name, h.z.level AS zone_level
+FROM c_det d JOIN (
+  SELECT det_id, min_by({'zone_order': zone_order, 'name': name, 'level': level}, zone_order) AS z
+  FROM (
+    SELECT d.det_id, z.zone_order, z.name, z.level
+    FROM c_det d JOIN c_zedge z ON d.feed_id = z.feed_id AND ((z.e.yi > d.center_y) <> (z.e.yj > d.center_y))
+    WHERE d.center_x < (z.e.xj - z.e.xi) * (d.center_y - z.e.yi) / (z.e.yj - z.e.yi + 1e-12) + z.e.xi
+    GROUP BY ALL HAVING count(*) % 2 = 1)
+  GROUP BY det_id) h USING (det_id)
+""")
+
+block("c_zcount", """
+SELECT feed_id, frame_id, zone_order, zone_name, zone_level, count(*) AS n,
+  count(*) FILTER (class_name IN ('person', 'military_vehicle', 'suspicious_object', 'crowd')) AS threats
+FROM c_zfirst GROUP BY ALL
+""")
+
 block("c_agg", """
 SELECT feed_id, frame_id, count(*) AS n, count(*) FILTER (class_name = 'person') AS persons,
   list(DISTINCT class_name ORDER BY class_name) AS classes,

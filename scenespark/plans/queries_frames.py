@@ -311,6 +311,50 @@ def zone_summary(spark, sf):
     return s.select("feed_id", "total_frames", "total_violations", *[by[z["name"]].alias(z["name"]) for z in C.DEFAULT_ZONES], "zones_defined")
 
 
+def table_risk(spark, sf) -> DataFrame:
+    """Frame risk from a zone table with a set per feed."""
+    zones = D.zone_sets(spark, sf)
+    assigned = Z.assign_zones(detections(spark, sf), zones)
+    found = FR.frame_facts(D.frames(spark, sf), assigned, Z.zone_aggregates(zones))
+    return Z.zone_risk(found, zones, hits=Z.zone_hits(assigned))
+
+
+@query("zone_table_risk", """
+SELECT f.feed_id, f.frame_id, CAST(coalesce(violation_count, 0) AS BIGINT) AS violation_count,
+  CASE coalesce(rank, 0) WHEN 3 THEN 'RESTRICTED' WHEN 2 THEN 'BUFFER' WHEN 1 THEN 'OBSERVATION' ELSE 'SAFE' END AS max_severity,
+  coalesce(hits, '') AS zones,
+  round(least(1.0::DOUBLE, least(1.0::DOUBLE, coalesce(risk, 0)) * CASE WHEN hour(ts) >= 21 OR hour(ts) < 5 THEN 1.3 ELSE 1 END), 4) AS zone_risk
+FROM c_frm f LEFT JOIN (
+  SELECT feed_id, frame_id, sum(n) FILTER (zone_level <> 'SAFE') AS violation_count,
+    max(CASE zone_level WHEN 'RESTRICTED' THEN 3 WHEN 'BUFFER' THEN 2 WHEN 'OBSERVATION' THEN 1 ELSE 0 END) AS rank,
+    string_agg(zone_name || ':' || n, ',' ORDER BY zone_order) AS hits,
+    sum(CASE zone_level WHEN 'SAFE' THEN 0 ELSE
+      CASE zone_level WHEN 'RESTRICTED' THEN 0.3 WHEN 'BUFFER' THEN 0.15 ELSE 0.05 END * n + 0.1 * (n - 1)
+      + CASE zone_level WHEN 'RESTRICTED' THEN 0.15 * threats ELSE 0 END END)::DOUBLE AS risk
+  FROM c_zcount GROUP BY 1, 2) z USING (feed_id, frame_id)""")
+def zone_table_risk(spark, sf):
+    """Risk per frame with thousands of zones of mixed sizes, a set per feed."""
+    hits = F.transform(F.map_entries("zone_scores"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    return table_risk(spark, sf).select(
+        *KEY, "violation_count", "max_severity", F.array_join(hits, ",").alias("zones"),
+        exact_round("zone_risk", 4).alias("zone_risk"))
+
+
+@query("zone_table_summary", """
+SELECT f.feed_id, f.total_frames, CAST(coalesce(t.total_violations, 0) AS BIGINT) AS total_violations, s.zones_defined,
+  t.zone_name AS zone, CAST(t.n AS BIGINT) AS n
+FROM (SELECT feed_id, count(*) AS total_frames FROM c_frm GROUP BY 1) f
+JOIN (SELECT feed_id, CAST(count(*) AS INTEGER) AS zones_defined FROM c_zset GROUP BY 1) s USING (feed_id)
+JOIN (
+  SELECT feed_id, zone_name, CASE zone_level WHEN 'SAFE' THEN 0 ELSE sum(n) END AS n,
+    sum(CASE zone_level WHEN 'SAFE' THEN 0 ELSE sum(n) END) OVER (PARTITION BY feed_id) AS total_violations
+  FROM c_zcount GROUP BY feed_id, zone_name, zone_level) t USING (feed_id)""")
+def zone_table_summary(spark, sf):
+    """Totals per feed and the zones hit, a row per zone."""
+    return Z.zone_summary(table_risk(spark, sf), D.zone_sets(spark, sf)).select(
+        "feed_id", "total_frames", "total_violations", "zones_defined", F.explode("violations_by_zone").alias("zone", "n"))
+
+
 @query("zone_listing", """
 SELECT name, level, label, color, coalesce(n, 0) AS detections FROM (VALUES
   ('border_zone', 'RESTRICTED', 'Border Zone (Restricted)', '#e63946'), ('buffer_zone', 'BUFFER', 'Buffer Zone (Proximity)', '#f4a261'),

@@ -20,7 +20,7 @@ from scenespark.operators.ordering import BLOCK_ROWS, first_rows
 class Options:
     """What one run may vary. All have working defaults."""
 
-    zones: list[dict] | None = None
+    zones: list[dict] | DataFrame | None = None  # or a zone table, with a set per feed if it has feed_id
     night_boost: bool = True
     window: int = C.WINDOW_SIZE
     baseline: int = C.BASELINE_FRAMES
@@ -57,7 +57,8 @@ def frame_table(frames: DataFrame, detections: DataFrame, opts: Options | None =
         detections = detections.join(chosen.select(*KEY), KEY, "left_semi")
     zoned = Z.assign_zones(detections, opts.zones)
     facts = FR.frame_facts(chosen, zoned, Z.zone_aggregates(opts.zones))
-    facts = Z.zone_risk(facts, opts.zones, opts.night_boost, keep_reasons=A.REASONS_KEPT)
+    hits = Z.zone_hits(zoned) if Z.is_table(opts.zones) else None
+    facts = Z.zone_risk(facts, opts.zones, opts.night_boost, keep_reasons=A.REASONS_KEPT, hits=hits)
     facts = cut(temporal.with_frame_position(facts))
 
     stats = temporal.window_stats(facts, opts.window, opts.block_rows)

@@ -44,6 +44,32 @@ def frame_ts(frame_id: str = "frame_id"):
     )
 
 
+ZONES_PER_SUPPLIER = 20
+
+
+def zone_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A zone table with a set per feed: rectangles and triangles of widths from 0.01 to 0.32, which overlap."""
+    feeds = _events(spark, sf_dir).agg(F.countDistinct("feed_id")).scalar()
+    corner = "struct(cast({} as double) as x, cast({} as double) as y)".format
+    return (
+        table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.expr(f"sequence(0, {ZONES_PER_SUPPLIER - 1})")).alias("i"))
+        .withColumns({
+            "feed_id": F.col("s_suppkey") % feeds,
+            "zone_order": F.col("s_suppkey") * ZONES_PER_SUPPLIER + F.col("i"),
+            "w": F.expr("0.01D * power(2D, (s_suppkey * 7 + i * 3) % 6)"),
+            "x": F.expr("((s_suppkey * 37 + i * 101) % 1000) / 1000D"),
+            "y": F.expr("((s_suppkey * 53 + i * 29) % 1000) / 1000D"),
+        })
+        .withColumn("h", F.expr("w * (1 + i % 3) / 2D"))
+        .select(
+            "feed_id", "zone_order", F.expr("concat('z', zone_order)").alias("name"),
+            F.expr("element_at(array('RESTRICTED', 'BUFFER', 'OBSERVATION', 'SAFE'), cast((s_suppkey + i) % 4 as int) + 1)").alias("level"),
+            F.expr(f"""CASE WHEN i % 2 = 0
+                THEN array({corner("x", "y")}, {corner("x + w", "y")}, {corner("x + w", "y + h")}, {corner("x", "y + h")})
+                ELSE array({corner("x", "y")}, {corner("x + w", "y")}, {corner("x + w / 2D", "y + h")}) END""").alias("polygon"))
+    )
+
+
 def raw_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per detection as a detector hands it over: class id and pixel box."""
     center_y = F.expr(

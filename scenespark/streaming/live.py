@@ -43,8 +43,8 @@ def read_frame_stream(spark: SparkSession, path: str, files_per_trigger: int | N
     return frame_records(reader.json(path))
 
 
-def violation_stream(frames: DataFrame, zones: list[dict] | None = None) -> DataFrame:
-    """Zone violations; stateless."""
+def violation_stream(frames: DataFrame, zones: list[dict] | DataFrame | None = None) -> DataFrame:
+    """Zone violations; stateless. A zone table is static."""
     return Z.violations(Z.assign_zones(flat_detections(frames), zones))
 
 

@@ -70,6 +70,13 @@ def test_violation_stream(spark, replay):
     same(got.drop("ts"), Z.violations(Z.assign_zones(det)).drop("ts"))
 
 
+def test_violation_stream_with_a_zone_table(spark, sf, replay):
+    path, _, det = replay
+    zones = D.zone_sets(spark, sf)
+    got = drain(live.violation_stream(live.read_frame_stream(spark, path, 1), zones), "table_violations")
+    same(got.drop("ts"), Z.violations(Z.assign_zones(det, zones)).drop("ts"))
+
+
 def test_feature_stream(spark, replay):
     path, frames, det = replay
     got = drain(live.feature_stream(live.read_frame_stream(spark, path, 1)), "features")
