@@ -86,6 +86,5 @@ def notifications(
             both[c] = rows[c].iloc[0]
         return both.reindex(columns=names)
 
-    result, _ = run_chained(chunked, step, _SCHEMA, ["cool_key", "last_us"])
-    decided = result.filter("kind = 'obs'").select("alert_id", "notify")
+    decided = run_chained(chunked, step, _SCHEMA, ["cool_key", "last_us"]).result.filter("kind = 'obs'").select("alert_id", "notify")
     return base.join(decided, "alert_id")

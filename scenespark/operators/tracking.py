@@ -134,10 +134,10 @@ _MATCH_SCHEMA = (
 )
 
 
-def _run_chunk(rows: pd.DataFrame, start: pd.DataFrame | None) -> pd.DataFrame:
-    """One chunk: ``obs`` rows say which track each detection belongs to, ``out``
-    rows are the tracks left at the end. A track is named by its first detection
-    or, when inherited, by its place in the start state."""
+def _run_chunk(rows: pd.DataFrame, start: pd.DataFrame | None, carry: list[str]) -> pd.DataFrame:
+    """One chunk: ``obs`` rows say which track each detection belongs to and repeat its
+    ``carry`` columns, ``out`` rows are the tracks left at the end. A track is named by its
+    first detection or, when inherited, by its place in the start state."""
     rows = rows.sort_values(["frame_id", "det_id"], kind="stable")
     if start is None or start.empty:
         boxes0, last0 = np.empty((0, 4)), np.empty(0, dtype=np.int64)
@@ -166,7 +166,7 @@ def _run_chunk(rows: pd.DataFrame, start: pd.DataFrame | None) -> pd.DataFrame:
         names["root_det"][inherited] = pd.NA
         return pd.DataFrame({"kind": kind, **names, **cols})
 
-    obs = table("obs", number, frame_id=frame, det_id=det)
+    obs = table("obs", number, frame_id=frame, det_id=det, **{c: rows[c].to_numpy() for c in carry})
     out = table(
         "out", live, idx=np.arange(len(live)), x1=box[:, 0], y1=box[:, 1], x2=box[:, 2], y2=box[:, 3],
         last_frame=last,
@@ -176,19 +176,23 @@ def _run_chunk(rows: pd.DataFrame, start: pd.DataFrame | None) -> pd.DataFrame:
     for c in CHUNK:
         both[c] = rows[c].iloc[0]
     order = [f.split()[0] for f in _MATCH_SCHEMA.split(", ")]
-    return both.reindex(columns=order)
+    return both.reindex(columns=[*order, *carry])
 
 
-def _match_chained(chunked: DataFrame) -> DataFrame:
+def _match_chained(chunked: DataFrame, carry: list[str]) -> DataFrame:
     """Chunks may continue their predecessor; exact ties make track order matter."""
-    result, tails = run_chained(
-        chunked, _run_chunk, _MATCH_SCHEMA, ["idx", *BOX, "last_frame"], order_col="idx"
-    )
-    return _resolve_names(result, tails)
+    more = "".join(f", {c} {chunked.schema[c].dataType.simpleString()}" for c in carry)
+    chained = run_chained(
+        chunked, lambda rows, start: _run_chunk(rows, start, carry), _MATCH_SCHEMA + more,
+        ["idx", *BOX, "last_frame"], order_col="idx")
+    return _resolve_names(chained.result, chained.tails, carry)
+
 
+def _resolve_names(result: DataFrame, tails: DataFrame, carry: list[str]) -> DataFrame:
+    """Follow inherited tracks back to their first detection by pointer doubling.
 
-def _resolve_names(result: DataFrame, tails: DataFrame) -> DataFrame:
-    """Follow inherited tracks back to their first detection by pointer doubling."""
+    Only the observations of inherited tracks are joined; the others know their track.
+    """
     name = ["root_frame", "root_det", "to_block", "to_idx"]
     links = cut(
         result.filter("kind = 'out'").join(tails, CHUNK)
@@ -208,27 +212,29 @@ def _resolve_names(result: DataFrame, tails: DataFrame) -> DataFrame:
             *[F.when(moved, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in name],
         ))
     seen = result.filter("kind = 'obs'")
+    columns = ["feed_id", "frame_id", "det_id", "root_frame", "root_det", *carry]
     roots = links.select("feed_id", "block", F.col("idx").alias("from_idx"),
                          F.col("root_frame").alias("l_frame"), F.col("root_det").alias("l_det"))
-    return seen.join(roots, ["feed_id", "block", "from_idx"], "left").select(
-        "feed_id", "frame_id", "det_id",
-        F.coalesce("root_frame", "l_frame").alias("root_frame"),
-        F.coalesce("root_det", "l_det").alias("root_det"),
-    )
+    inherited = seen.filter("from_idx IS NOT NULL").drop("root_frame", "root_det").join(
+        roots, ["feed_id", "block", "from_idx"], "left").withColumnsRenamed({"l_frame": "root_frame", "l_det": "root_det"})
+    return seen.filter("from_idx IS NULL").select(columns).unionAll(inherited.select(columns))
 
 
-def match_tracks(detections: DataFrame, frames: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """First detection of the track every detection belongs to.
+def match_tracks(
+    detections: DataFrame, frames: DataFrame, block_rows: int = BLOCK_ROWS, carry: list[str] | None = None
+) -> DataFrame:
+    """First detection of the track every detection belongs to, and its ``carry`` columns.
 
     ``frames`` needs ``feed_id, frame_id, detection_count`` for all processed
     frames. Feeds of any length take the same way.
     """
+    carry = carry or []
     chunks = chunk_frames(frames, block_rows)
     chunked = (
-        detections.select(*KEY, "det_id", *BOX)
+        detections.select(*KEY, "det_id", *BOX, *carry)
         .join(chunks.select(*KEY, "prev_frame", "block", "part"), KEY)
     )
-    return _match_chained(chunked)
+    return _match_chained(chunked, carry)
 
 
 # --- after matching ------------------------------------------------------------
@@ -241,9 +247,7 @@ def observations(
     The matched rows feed three branches (numbers, positions, windows), so they
     are materialised instead of matching three times.
     """
-    matched = match_tracks(detections, frames, block_rows)
-    dets = detections.select(*KEY, "det_id", "class_name", "center_x", "center_y")
-    rows = dets.join(matched, [*KEY, "det_id"])
+    rows = match_tracks(detections, frames, block_rows, ["class_name", "center_x", "center_y"])
     if materialise:
         rows = cut(rows)
     created = rows.filter("frame_id = root_frame AND det_id = root_det").select(
