@@ -265,14 +265,14 @@ FROM c_fused WHERE final_level <> 'normal' AND pos > 30
 """)
 
 block("c_img", """
-SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'bare_' ELSE 'img_' END || o_orderkey AS stem,
+SELECT 'img_' || o_orderkey AS stem, o_orderkey,
   CASE o_orderkey % 3 WHEN 0 THEN 'xview' WHEN 1 THEN 'visdrone' ELSE 'dota' END AS source,
   CAST(320 + (o_orderkey * 131) % 2400 AS INTEGER) AS img_w, CAST(240 + (o_orderkey * 77) % 1800 AS INTEGER) AS img_h
 FROM orders
 """)
 
 block("c_ann", """
-SELECT CASE WHEN l_orderkey % 40 = 1 THEN 'lost_' ELSE 'img_' END || l_orderkey AS stem, l_linenumber AS line_no,
+SELECT 'img_' || l_orderkey AS stem, l_orderkey, l_linenumber AS line_no,
   CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
     l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS INTEGER) AS ann_id,
   CAST(CASE WHEN l_partkey % 200 = 0 THEN 3 WHEN l_partkey % 100 < 2 THEN 6 WHEN l_partkey % 50 = 3 THEN 4
@@ -283,6 +283,10 @@ SELECT CASE WHEN l_orderkey % 40 = 1 THEN 'lost_' ELSE 'img_' END || l_orderkey
 FROM lineitem
 """)
 
+# some images and some labels under names of their own, so that neither has the other
+block("c_imgr", "SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'bare_' ELSE 'img_' END || o_orderkey AS stem, source FROM c_img")
+block("c_annr", "SELECT CASE WHEN l_orderkey % 40 = 1 THEN 'lost_' ELSE 'img_' END || l_orderkey AS stem FROM c_ann")
+
 block("c_px", """
 SELECT stem, source, img_w, img_h, ann_id, line_no, class_id, raw_code, xmin, ymin, xmin + box_w AS xmax, ymin + box_h AS ymax
 FROM (

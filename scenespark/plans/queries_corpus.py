@@ -97,28 +97,40 @@ SELECT stem, ann_id, img_w, img_h, len(t) AS n, TRY_CAST(t[1] AS INTEGER) AS x,
 """)
 
 
-@query("visdrone_lines", """
-SELECT stem, ann_id, status, cls AS class_id, round(cx, 6) AS cx, round(cy, 6) AS cy, round(w, 6) AS w, round(h, 6) AS h FROM (
+_READ = "status NOT IN ('short', 'malformed')"
+
+
+def _if_read(c, digits=None):
+    """A value of the lines that could be read; nothing is said of the others."""
+    return F.when(F.expr(_READ), F.col(c) if digits is None else exact_round(c, digits))
+
+
+@query("visdrone_lines", f"""
+SELECT stem, ann_id, status, CASE WHEN {_READ} THEN cls END AS class_id, CASE WHEN {_READ} THEN round(cx, 6) END AS cx,
+  CASE WHEN {_READ} THEN round(cy, 6) END AS cy, CASE WHEN {_READ} THEN round(w, 6) END AS w, CASE WHEN {_READ} THEN round(h, 6) END AS h FROM (
   SELECT *, CASE WHEN n < 6 THEN 'short' WHEN x IS NULL OR y IS NULL OR bw IS NULL OR bh IS NULL OR code IS NULL THEN 'malformed'
     WHEN cls IS NULL THEN 'unmapped' WHEN w * img_w >= 3 AND h * img_h >= 3 THEN 'ok' ELSE 'invalid' END AS status
   FROM (SELECT *, CASE WHEN code IN (1, 2) THEN 0 WHEN code BETWEEN 4 AND 10 THEN 1 END AS cls,
     greatest(0.001, least(0.999, (x + bw / 2) / img_w)) AS cx, greatest(0.001, least(0.999, (y + bh / 2) / img_h)) AS cy,
-    greatest(0.001, least(0.999, bw / img_w)) AS w, greatest(0.001, least(0.999, bh / img_h)) AS h FROM c_visn)) WHERE status NOT IN ('short', 'malformed')""")
+    greatest(0.001, least(0.999, bw / img_w)) AS w, greatest(0.001, least(0.999, bh / img_h)) AS h FROM c_visn))""")
 def visdrone_lines_parsed(spark, sf):
-    p = L.parse_visdrone(visdrone_lines(spark, sf)).filter("status NOT IN ('short', 'malformed')")
-    return p.select("stem", "ann_id", "status", "class_id", *_r6("cx", "cy", "w", "h"))
+    p = L.parse_visdrone(visdrone_lines(spark, sf))
+    return p.select("stem", "ann_id", "status", _if_read("class_id").alias("class_id"),
+                    *[_if_read(c, 6).alias(c) for c in ("cx", "cy", "w", "h")])
 
 
-@query("visdrone_lines_first_version", """
-SELECT status, cls AS class_id, count(*) AS lines, round(sum(round(w, 6)), 3) AS width FROM (
+@query("visdrone_lines_first_version", f"""
+SELECT status, CASE WHEN {_READ} THEN cls END AS class_id, count(*) AS lines,
+  round(coalesce(sum(CASE WHEN {_READ} THEN round(w, 6) END), 0), 3) AS width FROM (
   SELECT *, CASE WHEN n < 6 THEN 'short' WHEN x IS NULL OR y IS NULL OR bw IS NULL OR bh IS NULL OR code IS NULL THEN 'malformed'
     WHEN cls IS NULL THEN 'unmapped' WHEN bw > 0 AND bh > 0 AND cx > 0 AND cx <= 1 AND cy > 0 AND cy <= 1 AND w > 0 AND h > 0 THEN 'ok' ELSE 'invalid' END AS status
   FROM (SELECT *, CASE WHEN code IN (1, 2) THEN 0 WHEN code BETWEEN 3 AND 10 THEN 1 END AS cls,
     greatest(0.0, least(1.0, (x + bw / 2) / img_w)) AS cx, greatest(0.0, least(1.0, (y + bh / 2) / img_h)) AS cy,
-    greatest(0.0, least(1.0, bw / img_w)) AS w, greatest(0.0, least(1.0, bh / img_h)) AS h FROM c_visn)) WHERE status NOT IN ('short', 'malformed') GROUP BY 1, 2""")
+    greatest(0.0, least(1.0, bw / img_w)) AS w, greatest(0.0, least(1.0, bh / img_h)) AS h FROM c_visn)) GROUP BY 1, 2""")
 def visdrone_lines_v1(spark, sf):
-    p = L.parse_visdrone(visdrone_lines(spark, sf), "v1").filter("status NOT IN ('short', 'malformed')")
-    return p.groupBy("status", "class_id").agg(F.count(F.lit(1)).alias("lines"), exact_round(F.sum(exact_round("w", 6)), 3).alias("width"))
+    p = L.parse_visdrone(visdrone_lines(spark, sf), "v1")
+    return p.groupBy("status", _if_read("class_id").alias("class_id")).agg(
+        F.count(F.lit(1)).alias("lines"), exact_round(F.coalesce(F.sum(_if_read("w", 6)), F.lit(0.0)), 3).alias("width"))
 
 
 _DOTA_LINE = """CASE WHEN salt = 1 THEN 'imagesource:map' WHEN salt = 2 THEN 'gsd:0.2' WHEN salt = 3 THEN '1 2 3 4' WHEN salt = 4 THEN 'x ' || obb
@@ -147,15 +159,17 @@ SELECT *, string_split_regex(trim(line), '\\s+') AS t FROM c_dota WHERE NOT (lin
 
 
 @query("dota_corner_lines", """
-SELECT stem, ann_id, status, cls AS class_id, xmin, ymin, xmax, ymax FROM (
+SELECT stem, ann_id, status, CASE WHEN status IN ('ok', 'unmapped') THEN cls END AS class_id, CASE WHEN status IN ('ok', 'unmapped') THEN xmin END AS xmin,
+  CASE WHEN status IN ('ok', 'unmapped') THEN ymin END AS ymin, CASE WHEN status IN ('ok', 'unmapped') THEN xmax END AS xmax,
+  CASE WHEN status IN ('ok', 'unmapped') THEN ymax END AS ymax FROM (
   SELECT stem, ann_id, CASE WHEN len(t) < 9 THEN 'short' WHEN bad THEN 'malformed' WHEN cls IS NULL THEN 'unmapped' ELSE 'ok' END AS status, cls,
     least(v[1], v[3], v[5], v[7]) AS xmin, least(v[2], v[4], v[6], v[8]) AS ymin, greatest(v[1], v[3], v[5], v[7]) AS xmax, greatest(v[2], v[4], v[6], v[8]) AS ymax
   FROM (SELECT *, len(list_filter(v, lambda x: x IS NULL)) > 0 AS bad,
     CASE t[9] WHEN 'small-vehicle' THEN 1 WHEN 'large-vehicle' THEN 1 WHEN 'plane' THEN 4 WHEN 'helicopter' THEN 4 WHEN 'ship' THEN 5 WHEN 'harbor' THEN 5 WHEN 'storage-tank' THEN 6 END AS cls
-    FROM (SELECT *, list_transform(t[1:8], lambda x: TRY_CAST(x AS DOUBLE)) AS v FROM c_dotat))) WHERE status IN ('ok', 'unmapped')""")
+    FROM (SELECT *, list_transform(t[1:8], lambda x: TRY_CAST(x AS DOUBLE)) AS v FROM c_dotat)))""")
 def dota_corner_lines(spark, sf):
-    p = L.parse_dota_corners(dota_lines(spark, sf)).filter("status IN ('ok', 'unmapped')")
-    return p.select("stem", "ann_id", "status", "class_id", "xmin", "ymin", "xmax", "ymax")
+    p = L.parse_dota_corners(dota_lines(spark, sf))
+    return p.select("stem", "ann_id", "status", *[_if_read(c).alias(c) for c in ("class_id", "xmin", "ymin", "xmax", "ymax")])
 
 
 @query("dota_lines", """
@@ -186,12 +200,19 @@ _VEDAI_LINE = """CASE WHEN salt = 1 THEN '# note' WHEN salt = 2 THEN '7 10 10' W
 
 
 @query("vedai_lines", f"""
-SELECT stem, ann_id, 'ok' AS status, 1 AS class_id, round(least(1.0, cx / img_w), 6) AS cx, round(least(1.0, w / img_w), 6) AS w FROM (
-  SELECT stem, ann_id, img_w, img_h, TRY_CAST(t[2] AS DOUBLE) AS cx, TRY_CAST(t[3] AS DOUBLE) AS cy, TRY_CAST(t[5] AS DOUBLE) AS w, TRY_CAST(t[6] AS DOUBLE) AS h
-  FROM (SELECT *, string_split({_VEDAI_LINE}, ' ') AS t FROM c_box)) WHERE w > 0 AND h > 0 AND cx > 0 AND cy > 0""")
+SELECT stem, ann_id, status, CASE WHEN {_READ} THEN 1 END AS class_id, CASE WHEN {_READ} THEN round(bx, 6) END AS cx, CASE WHEN {_READ} THEN round(bww, 6) END AS w FROM (
+  SELECT *, CASE WHEN n < 6 THEN 'short' WHEN cx IS NULL OR cy IS NULL OR w IS NULL OR h IS NULL THEN 'malformed'
+    WHEN w > 0 AND h > 0 AND bx > 0 AND by_ > 0 AND bww > 0 AND bhh > 0 THEN 'ok' ELSE 'invalid' END AS status
+  FROM (
+    SELECT *, greatest(0.0, least(1.0, cx / img_w)) AS bx, greatest(0.0, least(1.0, cy / img_h)) AS by_,
+      greatest(0.0, least(1.0, w / img_w)) AS bww, greatest(0.0, least(1.0, h / img_h)) AS bhh
+    FROM (
+      SELECT stem, ann_id, img_w, img_h, len(t) AS n, TRY_CAST(t[2] AS DOUBLE) AS cx, TRY_CAST(t[3] AS DOUBLE) AS cy, TRY_CAST(t[5] AS DOUBLE) AS w, TRY_CAST(t[6] AS DOUBLE) AS h
+      FROM (SELECT *, string_split(line, ' ') AS t FROM (SELECT *, {_VEDAI_LINE} AS line FROM c_box) WHERE line NOT LIKE '#%'))))""")
 def vedai_lines(spark, sf):
     rows = boxes(spark, sf).select("stem", "ann_id", "img_w", "img_h", F.expr(_VEDAI_LINE).alias("line"))
-    return L.parse_vedai(rows).filter("status = 'ok'").select("stem", "ann_id", "status", "class_id", *_r6("cx", "w"))
+    return L.parse_vedai(rows).select(
+        "stem", "ann_id", "status", _if_read("class_id").alias("class_id"), *[_if_read(c, 6).alias(c) for c in ("cx", "w")])
 
 
 _BOUNDS = "concat(cast(floor(xmin) AS BIGINT), ',', cast(floor(ymin) AS BIGINT), ',', cast(floor(xmax) AS BIGINT), ',', cast(floor(ymax) AS BIGINT))"
@@ -350,17 +371,17 @@ def labels_only(spark, sf):
 
 
 @query("orphans", """
-SELECT 'image' AS side, stem FROM (SELECT DISTINCT stem FROM c_img EXCEPT SELECT DISTINCT stem FROM c_ann)
-UNION ALL SELECT 'label', stem FROM (SELECT DISTINCT stem FROM c_ann EXCEPT SELECT DISTINCT stem FROM c_img)""")
+SELECT 'image' AS side, stem FROM (SELECT DISTINCT stem FROM c_imgr EXCEPT SELECT DISTINCT stem FROM c_annr)
+UNION ALL SELECT 'label', stem FROM (SELECT DISTINCT stem FROM c_annr EXCEPT SELECT DISTINCT stem FROM c_imgr)""")
 def orphans(spark, sf):
-    im, an = D.images(spark, sf).select("stem"), D.annotations(spark, sf).select("stem").distinct()
+    im, an = D.images(spark, sf, True).select("stem"), D.annotations(spark, sf, True).select("stem").distinct()
     left = im.join(an, "stem", "left_anti").select(F.lit("image").alias("side"), "stem")
     return left.unionByName(an.join(im, "stem", "left_anti").select(F.lit("label").alias("side"), "stem"))
 
 
-@query("labelled_images", "SELECT source, count(*) AS images FROM c_img WHERE stem IN (SELECT stem FROM c_ann) GROUP BY 1")
+@query("labelled_images", "SELECT source, count(*) AS images FROM c_imgr WHERE stem IN (SELECT stem FROM c_annr) GROUP BY 1")
 def labelled_images(spark, sf):
-    return D.images(spark, sf).join(D.annotations(spark, sf).select("stem"), "stem", "left_semi").groupBy("source").agg(F.count(F.lit(1)).alias("images"))
+    return D.images(spark, sf, True).join(D.annotations(spark, sf, True).select("stem"), "stem", "left_semi").groupBy("source").agg(F.count(F.lit(1)).alias("images"))
 
 
 @query("combined_sources", "SELECT source || '_' || stem AS stem, count(*) AS boxes FROM c_lab GROUP BY 1")
@@ -520,11 +541,10 @@ def split_statistics(spark, sf):
 @query("class_balance", f"""
 SELECT class_id, class_name, n AS annotations, round(pct, 1) AS pct, CASE WHEN n = 0 THEN 'NO DATA' WHEN pct > 70 THEN 'HEAVILY IMBALANCED' WHEN pct < 1 THEN 'TOO RARE' ELSE 'OK' END AS verdict,
   n = 0 AS is_missing, n > 0 AND n < 100 AS is_rare
-FROM (SELECT k.class_id, k.class_name, count(l.stem) AS n, count(l.stem) / (SELECT count(*) FROM c_lab WHERE class_id <> 5) * 100 AS pct
-  FROM {_NAMES} LEFT JOIN c_lab l ON l.class_id = k.class_id AND l.class_id <> 5 GROUP BY 1, 2)""")
+FROM (SELECT k.class_id, k.class_name, count(l.stem) AS n, count(l.stem) / (SELECT count(*) FROM c_lab) * 100 AS pct
+  FROM {_NAMES} LEFT JOIN c_lab l ON l.class_id = k.class_id GROUP BY 1, 2)""")
 def class_balance(spark, sf):
-    """One class is left out to show the missing verdict."""
-    return K.class_balance(labels_only(spark, sf).filter("class_id <> 5"))
+    return K.class_balance(labels_only(spark, sf))
 
 
 @query("version_comparison", f"""
@@ -543,33 +563,32 @@ _SPLIT = "CASE WHEN right(stem, 1) IN ('0', '1') THEN 'val' WHEN right(stem, 1)
 
 
 @query("split_quality", f"""
-WITH i AS (SELECT stem, {_SPLIT} AS split FROM c_img WHERE right(stem, 2) <> '07'),
-f AS (SELECT DISTINCT stem, {_SPLIT} AS split FROM c_yolo WHERE ann_id > 1),
+WITH i AS (SELECT stem, {_SPLIT} AS split FROM c_imgr),
+f AS (SELECT DISTINCT stem, {_SPLIT} AS split FROM c_yolo),
 l AS (SELECT stem, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status <> 'ok') AS bad,
-  count(*) FILTER (status = 'ok' AND a = 1) AS c1 FROM c_yolop WHERE ann_id > 1 AND ann_id <> 2 GROUP BY 1)
+  count(*) FILTER (status = 'ok' AND a = 1) AS c1 FROM c_yolop GROUP BY 1)
 SELECT split, count(ik) AS images, count(fk) AS label_files, count(*) FILTER (fk IS NULL) AS orphan_images, count(*) FILTER (ik IS NULL) AS orphan_labels,
   count(*) FILTER (fk IS NOT NULL AND ok IS NULL) AS empty_labels, CAST(coalesce(sum(ok), 0) AS BIGINT) AS total_boxes, CAST(coalesce(sum(bad), 0) AS BIGINT) AS bad_boxes, CAST(coalesce(sum(c1), 0) AS BIGINT) AS class_1
 FROM (SELECT coalesce(i.split, f.split) AS split, coalesce(i.stem, f.stem) AS stem, i.stem AS ik, f.stem AS fk FROM i FULL JOIN f ON i.stem = f.stem) LEFT JOIN l USING (stem) GROUP BY 1""")
 def split_quality(spark, sf):
-    """Files whose only lines are the second one count as empty here."""
     split = F.expr(_SPLIT).alias("split")
-    images = D.images(spark, sf).filter("right(stem, 2) <> '07'").select(split, "stem")
-    lines = yolo_lines(spark, sf).filter("ann_id > 1")
+    images = D.images(spark, sf, True).select(split, "stem")
+    lines = yolo_lines(spark, sf)
     files = lines.select(split, "stem").distinct()
-    parsed = L.parse_yolo(lines.filter("ann_id <> 2").select(split, "stem", "line"))
+    parsed = L.parse_yolo(lines.select(split, "stem", "line"))
     q = K.split_quality(images, files, parsed)
     return q.select("split", "images", "label_files", "orphan_images", "orphan_labels", "empty_labels", "total_boxes", "bad_boxes", "class_1")
 
 
 @query("preparation_stats", """
 WITH l AS (SELECT stem, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status <> 'ok') AS bad FROM c_yolop GROUP BY 1),
-f AS (SELECT DISTINCT stem FROM c_yolo), r AS (SELECT source, i.stem, f.stem AS fk, coalesce(ok, 0) AS ok, coalesce(bad, 0) AS bad FROM c_img i LEFT JOIN f ON f.stem = i.stem LEFT JOIN l ON l.stem = i.stem),
+f AS (SELECT DISTINCT stem FROM c_yolo), r AS (SELECT source, i.stem, f.stem AS fk, coalesce(ok, 0) AS ok, coalesce(bad, 0) AS bad FROM c_imgr i LEFT JOIN f ON f.stem = i.stem LEFT JOIN l ON l.stem = i.stem),
 u AS (SELECT * FROM r UNION ALL SELECT 'total', stem, fk, ok, bad FROM r)
 SELECT source, count(*) AS images_written, count(*) AS labels_written, CAST(sum(ok) AS BIGINT) AS annotations_ok, CAST(sum(bad) AS BIGINT) AS annotations_skipped,
   count(*) FILTER (fk IS NULL) AS files_missing, count(*) FILTER (ok = 0) AS empty_labels FROM u GROUP BY 1""")
 def preparation_stats(spark, sf):
     lines = yolo_lines(spark, sf)
-    return K.preparation_stats(D.images(spark, sf), lines.select("stem").distinct(), L.parse_yolo(lines.drop("source")))
+    return K.preparation_stats(D.images(spark, sf, True), lines.select("stem").distinct(), L.parse_yolo(lines.drop("source")))
 
 
 @query("skipped_lines", """

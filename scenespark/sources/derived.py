@@ -135,12 +135,13 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+def images(spark: SparkSession, sf_dir: str, renamed: bool = False) -> DataFrame:
+    """One image per order; ``renamed`` gives every fiftieth a name no label has."""
+    prefix = "CASE WHEN o_orderkey % 50 = 0 THEN 'bare_' ELSE 'img_' END" if renamed else "'img_'"
     return (
         table(spark, sf_dir, "orders")
         .select(
-            # every fiftieth image has a name no label has
-            F.expr("concat(CASE WHEN o_orderkey % 50 = 0 THEN 'bare_' ELSE 'img_' END, o_orderkey)").alias("stem"),
+            F.expr(f"concat({prefix}, o_orderkey)").alias("stem"),
             F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'xview' WHEN 1 THEN 'visdrone' ELSE 'dota' END").alias("source"),
             F.expr("cast(320 + (o_orderkey * 131) % 2400 as int)").alias("img_w"),
             F.expr("cast(240 + (o_orderkey * 77) % 1800 as int)").alias("img_h"),
@@ -154,13 +155,16 @@ ANNOTATION_ORDER = [
 ]
 
 
-def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def annotations(spark: SparkSession, sf_dir: str, renamed: bool = False) -> DataFrame:
     """Labels before the image size is known: class and box as shares.
 
-    ``ann_id`` numbers the lines of one order, a handful of rows.
+    ``ann_id`` numbers the lines of one order, a handful of rows; ``renamed`` gives the
+    labels of every fortieth order a name no image has.
     """
     from pyspark.sql import Window
 
+    prefix = "CASE WHEN l_orderkey % 40 = 1 THEN 'lost_' ELSE 'img_' END" if renamed else "'img_'"
+
     w = Window.partitionBy("l_orderkey").orderBy(*ANNOTATION_ORDER)
     class_id = F.expr(
         """CASE WHEN l_partkey % 200 = 0 THEN 3
@@ -174,8 +178,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "lineitem")
         .select(
-            # labels of every fortieth order have a name no image has
-            F.expr("concat(CASE WHEN l_orderkey % 40 = 1 THEN 'lost_' ELSE 'img_' END, l_orderkey)").alias("stem"),
+            F.expr(f"concat({prefix}, l_orderkey)").alias("stem"),
             F.row_number().over(w).alias("ann_id"),
             F.col("l_linenumber").alias("line_no"),
             class_id.cast("int").alias("class_id"),
