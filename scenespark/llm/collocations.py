@@ -1,11 +1,15 @@
 """Phrase collocations per language, from counts in a burst trie.
 
-Each task counts the phrases of what it reads in a HAT-trie: hash containers under a shallow
-trie of word numbers. The words with many phrases burst out of a full container and get one
-of their own; once all hold too much, whole subtrees go, the largest first, as sorted
-runs. The runs are dealt out by ranges of phrases, so a partition holds the phrases of a
-range of prefixes, a frequent prefix is divided at its next word, and sums of a phrase's
-rows are its count. What comes after works on the phrases that reached the least count.
+Phrases are counted length by length. Each task counts those of what it reads in a HAT-trie:
+hash containers under a shallow trie of word numbers. The words with many phrases burst out
+of a full container and get one of their own; once all hold too much, whole subtrees go, the
+largest first, as sorted runs. The runs are dealt out by ranges of phrases, so a partition
+holds a range of prefixes, a frequent prefix is divided at its next word, and the sum of a
+phrase's rows is its count.
+
+No phrase occurs more often than any part of it. So the next length counts only what
+consists of phrases that reached the least count, as far as a bit filter of a fixed size can
+tell: it lets through all of them, and a few others that their own count removes.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +39,9 @@ _BITS = 21
 _MASK = (1 << _BITS) - 1
 # rows of one partial ranking
 RANKED = 100_000
+# places of the filter (8 MB), whatever the corpus
+FILTER_BITS = 26
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 _PLAIN = bytes(range(256))
 _TABLE = bytes(
@@ -142,16 +150,17 @@ def _sorted(held: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     return codes[order], counts[order]
 
 
-def phrases_of(words: np.ndarray) -> np.ndarray:
-    """Codes of all phrases of 1 to ``LONGEST`` words; 0 among the numbers ends a piece."""
-    padded = np.concatenate((words, np.zeros(LONGEST, np.int64)))
-    out, code, whole = [], np.zeros(len(words), np.int64), np.ones(len(words), bool)
-    for k in range(LONGEST):
-        here = padded[k:k + len(words)]
-        whole = whole & (here > 0)
-        code = code | here << (_BITS * (LONGEST - 1 - k))
-        out.append(code[whole])
-    return np.concatenate(out)
+def places_of(lang: str, words: list[np.ndarray]) -> np.ndarray:
+    """Places in the filter of phrases, from the hashes of their first, second, ... words."""
+    h = np.full(len(words[0]), xxhash.xxh3_64_intdigest(lang.encode()), np.uint64)
+    for w in words:
+        h = (h ^ w) * _ODD
+        h ^= h >> np.uint64(29)
+    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
 
 
 RUN = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
@@ -159,22 +168,47 @@ RUNS = "lang string, phrase string, n long"
 
 
 class Counter:
-    """The tries of a task, one per language, and what they have in common."""
+    """The tries of a task, one per language, for phrases of ``size`` words whose parts pass the filter."""
 
-    def __init__(self, held: int = HELD, words: int = WORDS, burst: int = BURST) -> None:
+    def __init__(
+        self, size: int, passes: np.ndarray | None = None, held: int = HELD, words: int = WORDS, burst: int = BURST
+    ) -> None:
+        self.size, self.passes = size, passes
         self.most, self.most_words, self.burst = held, words, burst
+        self._forget()
+
+    def _forget(self) -> None:
         self.numbers = Numbers()
+        self.hashes = np.zeros(1, np.uint64)
         self.tries: dict[str, Trie] = {}
         self.total: dict[str, int] = {}
 
+    def phrases(self, lang: str, words: np.ndarray) -> np.ndarray:
+        """Codes of the phrases; 0 among the word numbers ends a piece, so does the end of ``words``."""
+        n = max(0, len(words) - self.size + 1)
+        parts = [words[k:k + n] for k in range(self.size)]
+        whole = np.ones(n, bool)
+        for p in parts:
+            whole &= p > 0
+        if self.size > 1:
+            if len(self.hashes) < len(self.numbers):
+                self.hashes = np.concatenate((self.hashes, _hashes(list(self.numbers)[len(self.hashes):])))
+            own = [self.hashes[words[k:k + n + 1]] for k in range(self.size - 1)]
+            passed = common.in_filter(self.passes, places_of(lang, own)) if n else whole
+            whole &= passed[:n] & passed[1:n + 1]
+        code = np.zeros(n, np.int64)
+        for k, p in enumerate(parts):
+            code |= p << (_BITS * (LONGEST - 1 - k))
+        return code[whole]
+
     def add(self, lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         """Count texts (a piece never leaves its text); yields what has to go."""
         told = self.numbers
         words = b" . ".join(texts).translate(_TABLE).replace(b"\n", b" . ").split()
-        codes = np.fromiter(map(told.__getitem__, words), np.int64, len(words))
-        self.total[lang] = self.total.get(lang, 0) + int((codes > 0).sum())
+        numbers = np.fromiter(map(told.__getitem__, words), np.int64, len(words))
+        self.total[lang] = self.total.get(lang, 0) + int((numbers > 0).sum())
         trie = self.tries.setdefault(lang, Trie(self.burst))
-        trie.add(*np.unique(phrases_of(codes), return_counts=True))
+        trie.add(*np.unique(self.phrases(lang, numbers), return_counts=True))
         if len(told) > self.most_words:
             yield from self.rest()
         while sum(t.held for t in self.tries.values()) > self.most:
@@ -182,12 +216,12 @@ class Counter:
             yield from self._runs(full, self.tries[full].spill(self.tries[full].held // 2))
 
     def rest(self) -> Iterator[pa.RecordBatch]:
-        """All that is held, and the number of words seen as a phrase of none."""
+        """All that is held and, with the single words, the number of words seen as a phrase of none."""
         for lang, trie in self.tries.items():
             yield from self._runs(lang, trie.spill(0))
-        for lang, n in self.total.items():
+        for lang, n in self.total.items() if self.size == 1 else ():
             yield pa.record_batch([[lang], [""], [n]], schema=RUN)
-        self.numbers, self.tries, self.total = Numbers(), {}, {}
+        self._forget()
 
     def _runs(self, lang: str, spilled: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         """Runs sorted by their words' numbers, so that phrases with a common prefix lie together."""
@@ -203,35 +237,61 @@ class Counter:
                 yield pa.record_batch([pa.repeat(lang, len(words)), phrases, pa.array(counts[a:a + 65536])], schema=RUN)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counter = Counter()
+def _count(batches: Iterator[pa.RecordBatch], size: int, passes: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    counter = Counter(size, passes)
     for batch in batches:
         text = pc.fill_null(batch.column(1), "").cast(pa.binary())
         waiting: dict[str, list[bytes]] = {}
-        size: dict[str, int] = {}
+        held: dict[str, int] = {}
         for lang, raw in zip(batch.column(0).to_pylist(), text.to_pylist()):
             waiting.setdefault(lang, []).append(raw)
-            size[lang] = size.get(lang, 0) + len(raw)
-            if size[lang] >= BATCH_BYTES:
+            held[lang] = held.get(lang, 0) + len(raw)
+            if held[lang] >= BATCH_BYTES:
                 yield from counter.add(lang, waiting.pop(lang))
-                size[lang] = 0
+                held[lang] = 0
         for lang, texts in waiting.items():
             yield from counter.add(lang, texts)
     yield from counter.rest()
 
 
-def counts(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, words, f): phrases of at most ``LONGEST`` words that occur ``least`` times or more.
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of (lang, phrase) rows, all of one length."""
+    for batch in batches:
+        by_lang: dict[str, list[list[bytes]]] = {}
+        for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            by_lang.setdefault(lang, []).append(phrase.encode().split(b" "))
+        for lang, phrases in by_lang.items():
+            columns = [_hashes(list(c)) for c in zip(*phrases)]
+            yield pa.record_batch([pa.array(places_of(lang, columns))], names=["place"])
+
+
+def counts(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str = "lang", longest: int = LONGEST) -> DataFrame:
+    """(lang, words, f): phrases of at most ``longest`` words that occur ``least`` times or more.
 
     The row without words holds the number of all words of the language. Words hold no space.
     """
-    common.prepare(docs.sparkSession)
+    if not 1 <= longest <= LONGEST:
+        raise ValueError(f"phrases have 1 to {LONGEST} words")
+    spark = docs.sparkSession
+    common.prepare(spark)
     rows = docs.select(
         F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
-    runs = common.staged(rows.mapInArrow(_count, RUNS), "runs")
-    ranges = runs.repartitionByRange("lang", "phrase")
-    often = ranges.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where((F.col("f") >= least) | (F.col("phrase") == ""))
-    return often.select("lang", F.filter(F.split("phrase", " "), lambda w: w != "").alias("words"), "f")
+    told, passes = [], None
+    for size in range(1, longest + 1):
+        def count(batches, size=size, passes=passes):
+            return _count(batches, size, None if passes is None else passes.value)
+
+        runs = common.staged(rows.mapInArrow(count, RUNS), "runs")
+        often = runs.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(
+            (F.col("f") >= least) | (F.col("phrase") == ""))
+        told.append(common.staged(often, "phrases"))
+        if size < longest:
+            places = told[-1].where("phrase <> ''").select("lang", "phrase").mapInArrow(_places, "place long")
+            passes = spark.sparkContext.broadcast(common.bit_filter(places, FILTER_BITS))
+    out = told[0]
+    for t in told[1:]:
+        out = out.unionAll(t)
+    return out.select("lang", F.filter(F.split("phrase", " "), lambda w: w != "").alias("words"), "f")
 
 
 def _part(words: Column, begin: Column | int, size: Column | int) -> Column:
@@ -274,7 +334,7 @@ def collocations(
     null language counts as ``und``, a null text as empty; repeated rows count each time;
     texts are counted whole, however long; tables without a word give no rows.
     """
-    counted = common.staged(counts(docs, least, text, lang), "phrases")
+    counted = counts(docs, least, text, lang)
     phrases = counted.where(F.size("words") > 1)
     longer = phrases.where(F.size("words") > 2).select(
         "lang", F.col("f").alias("longer"), F.explode(F.expr(

@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,37 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# bits of a filter that one group sets: 8 KB
+FILTER_BLOCK = 16
+
+
+def bit_filter(places: DataFrame, bits: int) -> np.ndarray:
+    """A packed bit per place, set at the ``place`` values (0 to 2 ** bits - 1) of the only column.
+
+    Blocks are set in the cluster and come to the driver as bytes, 2 ** bits / 8 of them at
+    most, whatever the number of rows.
+    """
+    size = 1 << FILTER_BLOCK
+
+    def block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros(size, bool)
+        held[rows["place"].to_numpy() % size] = True
+        return pd.DataFrame({"block": [int(key[0])], "held": [np.packbits(held).tobytes()]})
+
+    packed = places.distinct().groupBy((F.expr(f"place div {size}")).alias("block")).applyInPandas(
+        block, "block long, held binary")
+    out = np.zeros(max(size, 1 << bits) // 8, np.uint8)
+    for row in packed.collect():
+        begin = row["block"] * size // 8
+        out[begin:begin + size // 8] = np.frombuffer(row["held"], np.uint8)
+    return out
+
+
+def in_filter(packed: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether the bits at the places are set."""
+    return (packed[places >> 3] >> (7 - (places & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def replaced(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add result columns; a column of the input with the same name (in any case) gives way."""
     names = {c.lower() for c in columns}
