@@ -1,20 +1,22 @@
-"""Exact removal of long byte strings that occur twice: merged suffix orders, refined block by block.
-
-The suffix order of the whole corpus is never sorted at once. Each task (a shard) orders
-what it reads by itself, on a sample of the suffixes: the anchors, chosen by content so
-that every window of ``WINDOW`` bytes has exactly one (the least of its k-mer hashes, the
-leftmost of equals). Merging the shards starts from blocks of suffixes with a common first
-symbol, the k-mer, and refines the interleave round by round with longer common prefixes
-and the contexts in front of the anchor, the part a Burrows-Wheeler transform keeps:
-
-* a block with one member is a string that occurs once: finished;
-* a block whose members agree on the whole context is a repeated interval: finished;
-* any other block splits by the place of the anchor in the window, coarse ranges first,
-  and its parts are compared by the prefix all windows of the range share.
-
-The last round compares single windows, so the outcome is exact (up to equal 128-bit
-hashes). A finished block is never looked at again, and members with equal contexts are
-one class with a count, so large groups of copies cost as much as one of them.
+"""Exact removal of long byte strings that occur twice: anchor windows grouped by hash.
+
+This is not the merge of shard Burrows-Wheeler transforms, whose interleave takes a pass over
+all suffixes for each byte of common prefix, here 400 (measured in the README). It sorts
+no suffixes and builds no transform. It finds the same repeated intervals, all strings of
+``WINDOW`` bytes that start twice, from a sample of the places in a text:
+
+* anchors are chosen by content: every window of ``WINDOW`` bytes has exactly one, the least
+  of its k-mer hashes, the leftmost of equals, so equal windows have equal anchors at equal
+  places;
+* anchors are grouped by the hash of their k-mer. A group with one member is a string that
+  occurs once: finished. One whose members agree on the whole context is repeated: finished;
+* any other group splits by the place of the anchor in the window, coarse ranges first,
+  and its parts are compared by the bytes all windows of the range share.
+
+The last round compares single windows, so the outcome is exact up to equal hashes: k-mer and
+context have 64 bits each, and within the anchors of one k-mer only the 64 bits of the
+context tell strings apart. A finished group is never looked at again, and members with equal
+contexts are one class with a count, so large groups of copies cost as much as one of them.
 """
 
 from __future__ import annotations
@@ -244,7 +246,8 @@ def removed(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Every byte covered by a ``WINDOW``-byte string that starts anywhere else too is removed,
     judged on the input. Null text counts as empty. Texts below ``WINDOW`` bytes keep all;
-    repeated rows of at least that size lose all. Input columns named like a result give
+    repeated rows of at least that size lose all. Long texts are read in overlapping parts;
+    no rows give no rows. Input columns named like a result give
     way to it.
     """
     common.prepare(docs.sparkSession)
@@ -279,7 +282,8 @@ def removed(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return removed(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return removed(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("changed"))
 
 
 # hexadecimal digits stand for bytes, two of them each; long texts are cut into overlapping parts of so many windows
@@ -307,6 +311,6 @@ kept AS (
   SELECT doc_id, string_agg(substr(x, 2 * start + 1, 2 * (coalesce(stop, len(x) // 2) - start)), '' ORDER BY start) AS k
   FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-       sha256(unhex(coalesce(k, x))) AS kept_sha256
+       sha256(unhex(coalesce(k, x))) AS kept_sha256, coalesce(n_removed, 0) > 0 AS changed
 FROM d LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
