@@ -9,17 +9,19 @@ it gives way to its next shorter prefix, and where none is left the place is mar
 failed and the piece before is taken back. Whether two pieces suit each other is decided by
 merging them once; the answers are kept.
 
-Where no piece can reach across a border (a space after a word, a character of no piece),
-the text is cut, so that the parts, mostly words, are encoded once and looked up after.
+Where no piece can reach across a border (a space after a word, two characters that stand
+together in no piece), the text is cut, so that the parts, mostly words, are encoded once and looked up after.
 Characters without a piece become their bytes.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,9 +33,33 @@ from scenespark.llm import common
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 # answers kept by a worker: parts of a text, each of so many characters at most, and pairs of pieces
-KEPT_PARTS, KEPT_LENGTH, KEPT_PAIRS = 200_000, 48, 500_000
+KEPT_PARTS, KEPT_LENGTH, KEPT_PAIRS = 250_000, 48, 250_000
 FAR = float("inf")
 _encoders: dict[str, "Encoder"] = {}
+_libraries: dict[str, sentencepiece.SentencePieceProcessor] = {}
+
+
+class Answers(dict):
+    """Ids of the parts seen lately; ``find`` tells those of another one.
+
+    Full, they step back behind the next ones: answers still in use return, the others go
+    the next time.
+    """
+
+    def __init__(self, find: Callable[[str], tuple[int, ...]]) -> None:
+        super().__init__()
+        self.find, self.earlier = find, {}
+
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        told = self.earlier.get(part)
+        if told is None:
+            told = self.find(part)
+        if len(part) <= KEPT_LENGTH:
+            if len(self) >= KEPT_PARTS:
+                self.earlier = dict(self)
+                self.clear()
+            self[part] = told
+        return told
 
 
 class Encoder:
@@ -70,22 +96,37 @@ class Encoder:
             if self.shorter[p] is None and len(p) > 1:
                 self.shorter[p] = p[0]
         self.automaton.make_automaton()
-        pattern, self.spaces_cut = self._borders()
-        self.parts_of = re.compile(pattern).findall
-        self.suits: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.earlier: dict[str, tuple[int, ...]] = {}
-
-    def _borders(self) -> tuple[str, bool]:
-        """A pattern of the parts of a text that merges never leave; whether a space always starts a part."""
-        letters = {c for p in self.order if len(p) > 1 for c in p}
-        if not letters:
-            return r"(?s:.)", True
-        if any(SPACE in p.lstrip(SPACE) for p in self.order) or SPACE not in letters:
-            known = "".join(map(re.escape, sorted(letters)))
-            return f"[{known}]+|[^{known}]", False
-        known = "".join(map(re.escape, sorted(letters - {SPACE})))
-        return f"{SPACE}+[{known}]*|[{known}]+|[^{known}{SPACE}]", True
+        self.parts_of = re.compile(self._borders()).findall
+        self.suits: dict[str, dict[str, bool]] = {}
+        self.answers = 0
+        self.known = Answers(self._part)
+
+    def _borders(self) -> str:
+        """A pattern of the parts of a text that merges never leave.
+
+        Characters that stand next to each other in some piece belong together, and so do
+        theirs; no merge joins characters of two such families.
+        """
+        inner = any(SPACE in p.lstrip(SPACE) for p in self.order)
+        family: dict[str, str] = {}
+
+        def head(c: str) -> str:
+            while family.setdefault(c, c) != c:
+                c = family[c]
+            return c
+
+        for p in self.order:
+            body = p if inner else p.lstrip(SPACE)
+            for c, d in zip(body, body[1:]):
+                family[head(c)] = head(d)
+        members: dict[str, list[str]] = {}
+        for c in family:
+            members.setdefault(head(c), []).append(c)
+        classes = ["[" + "".join(map(re.escape, sorted(m))) + "]+" for m in members.values()]
+        spaces = "" if inner else f"{SPACE}*"
+        runs = "|".join(spaces + c for c in sorted(classes, key=len, reverse=True))
+        alone = "(?s:.)" if inner else f"{SPACE}*[^{SPACE}]|{SPACE}+"
+        return f"{runs}|{alone}" if runs else alone
 
     def merged(self, text: str, steps: list[tuple[float, str, str]] | None = None) -> list[str]:
         """The outcome of merging the characters of a short text.
@@ -128,68 +169,57 @@ class Encoder:
 
     def pieces(self, part: str) -> list[str]:
         """The pieces of a part, by backtracking; a character without a piece stands for itself."""
-        longest = list(part)
+        longest, size, suits, shorter = list(part), len(part), self.suits, self.shorter
         for end, piece in self.automaton.iter(part):
             longest[end + 1 - len(piece)] = piece  # longer ones end later
-        suits, shorter, size = self.suits, self.shorter, len(part)
         out: list[str] = []
         failed = bytearray(size + 1)
-        before, at, piece = None, 0, longest[0]
+        at, piece, told = 0, longest[0], None  # told: what is known of the pieces after the last one
         while True:
-            fits = not failed[at + len(piece)]
-            if fits and before is not None:
-                pair = before, piece
-                fits = suits.get(pair)
+            end = at + len(piece)
+            if not failed[end]:
+                fits = True if told is None else told.get(piece)
                 if fits is None:
-                    if len(suits) >= KEPT_PAIRS:
-                        suits.clear()
-                    fits = suits[pair] = self._suits(before, piece)
-            if fits:
-                out.append(piece)
-                at += len(piece)
-                if at == size:
-                    return out
-                before, piece = piece, longest[at]
-                continue
+                    fits = told[piece] = self._suits(out[-1], piece)
+                    self.answers += 1
+                if fits:
+                    out.append(piece)
+                    if end == size:
+                        break
+                    told = suits.get(piece)
+                    if told is None:
+                        told = suits[piece] = {}
+                    at, piece = end, longest[end]
+                    continue
             piece = shorter.get(piece)
             while piece is None:
                 # nothing starts here: take back the piece before and shorten it
                 failed[at] = 1
+                before = out.pop()
                 at -= len(before)
-                out.pop()
                 piece = shorter.get(before)
-                before = out[-1] if out else None
+                told = suits[out[-1]] if out else None
+        if self.answers > KEPT_PAIRS:
+            suits.clear()
+            self.answers = 0
+        return out
 
     def _part(self, part: str) -> tuple[int, ...]:
-        told = self.earlier.get(part)
-        if told is None:
-            out: list[int] = []
-            for piece in self.pieces(part):
-                known = self.ids.get(piece)
-                if known is None:
-                    out.extend(self.bytes[b] for b in piece.encode("utf-8", "surrogatepass"))
-                else:
-                    out.append(known)
-            told = tuple(out)
-        if len(part) <= KEPT_LENGTH:
-            if len(self.known) >= KEPT_PARTS:
-                # the answers in use come back from the earlier ones, the others go next time
-                self.known, self.earlier = {}, self.known
-            self.known[part] = told
-        return told
+        out: list[int] = []
+        for piece in self.pieces(part):
+            known = self.ids.get(piece)
+            if known is None:
+                out.extend(self.bytes[b] for b in piece.encode("utf-8", "surrogatepass"))
+            else:
+                out.append(known)
+        return tuple(out)
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text, without an end; null counts as empty."""
         if not text:
             return []
-        if self.spaces_cut and text[0] != " " and "  " not in text and SPACE not in text:
-            parts = (SPACE + text.replace(" ", " " + SPACE)).split(" ")
-        else:
-            parts = self.parts_of(SPACE + text.replace(" ", SPACE))
-        out: list[int] = []
-        for part in parts:
-            out += self.known.get(part) or self._part(part)
-        return out
+        parts = self.parts_of(SPACE + text.replace(" ", SPACE))
+        return list(chain.from_iterable(map(self.known.__getitem__, parts)))
 
 
 def encoder(path: str) -> Encoder:
@@ -199,26 +229,38 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def library(path: str) -> sentencepiece.SentencePieceProcessor:
+    """One per worker and file; decoding needs nothing else."""
+    if path not in _libraries:
+        _libraries[path] = sentencepiece.SentencePieceProcessor(model_file=path)
+    return _libraries[path]
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path(MODEL)
 
 
+def _ids(own: Encoder, texts: list[str | None], end: bool) -> list[list[int]]:
+    last = [own.end] if end else []
+    return [own.encode(t) + last for t in texts]
+
+
+def _listed(ids: list[list[int]]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
 def ids_of(text: Column, path: str, end: bool = True) -> Column:
     """The ids of a text as array<int>, with the end id if wanted. A null text counts as empty."""
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(path)
-        last = [own.end] if end else []
         for batch in batches:
-            offsets, flat = [0], []
-            for t in batch.to_pylist():
-                flat += own.encode(t)
-                flat += last
-                offsets.append(len(flat))
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+            yield _listed(_ids(own, batch.to_pylist(), end))
 
     return encode(text.cast("string"))
 
@@ -228,13 +270,27 @@ def text_of(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = encoder(path).library
+        own = library(path)
         for batch in batches:
             yield pa.array(own.decode([x or [] for x in batch.to_pylist()], num_threads=1), pa.string())
 
     return decode(ids)
 
 
+def ids_and_text_of(text: Column, path: str, end: bool = True) -> Column:
+    """(ids, decoded) of a text in one pass over it."""
+
+    @F.arrow_udf("ids array<int>, decoded string")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = encoder(path)
+        for batch in batches:
+            ids = _ids(own, batch.to_pylist(), end)
+            decoded = pa.array(own.library.decode(ids, num_threads=1), pa.string())
+            yield pa.StructArray.from_arrays([_listed(ids), decoded], ["ids", "decoded"])
+
+    return both(text.cast("string"))
+
+
 def encoded(docs: DataFrame, path: str, text: str = "text", end: bool = True) -> DataFrame:
     """Add ids (array<int>) and n_tokens, the end id counted where it is asked for.
 
@@ -254,10 +310,20 @@ def decoded(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return common.replaced(docs, {"decoded": text_of(F.col(f"`{ids}`"), path)})
 
 
+def round_trip(docs: DataFrame, path: str, text: str = "text", end: bool = True) -> DataFrame:
+    """Add ids, n_tokens and decoded: ``encoded`` and ``decoded`` at once."""
+    common.prepare(docs.sparkSession)
+    name = common.tmp(docs, "_coded")
+    rows = docs.withColumn(name, ids_and_text_of(F.col(f"`{text}`"), path, end))
+    return common.replaced(rows, {
+        "ids": F.col(f"{name}.ids"), "n_tokens": F.size(f"{name}.ids").cast("long"), "decoded": F.col(f"{name}.decoded"),
+    }).drop(name)
+
+
 def op11_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary()
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decoded(encoded(docs, path), path).select(
+    return round_trip(docs, path).select(
         "doc_id", "n_tokens",
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
