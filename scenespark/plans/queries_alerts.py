@@ -8,6 +8,7 @@ from scenespark import constants as C
 from scenespark.functions.numbers import exact_round
 from scenespark.functions import scores
 from scenespark.operators import alerts as A, anomaly, cooldown, frames as FR, iforest, temporal as T, threat_model as TM
+from scenespark.operators.checkpoints import cut
 from scenespark.operators.frames import KEY
 from scenespark.plans import reports as R, session as S
 from scenespark.plans.queries_frames import SQL_TIME, detections, facts, rule_alerts, rule_frames, text_time, zoned
@@ -92,7 +93,28 @@ def _forest(spark, sf, trees=C.FOREST_TREES):
 @query("forest_nodes")
 def forest_nodes(spark, sf):
     _, model = _forest(spark, sf)
-    return model.groupBy("feed_id", "tree").agg(F.count(F.lit(1)).alias("nodes"), F.max("n_train").alias("n_train"))
+    return iforest.nodes(model).groupBy("feed_id", "tree").agg(F.count(F.lit(1)).alias("nodes"), F.max("n_train").alias("n_train"))
+
+
+@query("forest_shape", f"""
+SELECT feed_id, {C.FOREST_TREES} AS trees, count(*) AS n_train, count(*) AS sample_size, {C.FOREST_TREES} AS roots, true AS binary
+FROM (SELECT * FROM c_frm WHERE pos <= {C.BASELINE_FRAMES}) GROUP BY 1""")
+def forest_shape(spark, sf):
+    """What can be said of the stored trees without their random draws: every inner node has two children that exist."""
+    _, model = _forest(spark, sf)
+    n = iforest.nodes(cut(model))
+    inner = n.filter("feature >= 0")
+    children = inner.select("feed_id", F.explode(F.array("left", "right")).alias("node")).join(
+        n.select("feed_id", "node"), ["feed_id", "node"], "left_semi").groupBy("feed_id").agg(F.count(F.lit(1)).alias("children"))
+    return n.groupBy("feed_id").agg(
+        F.countDistinct("tree").cast("int").alias("trees"), F.max("n_train").alias("n_train"),
+        F.max("sample_size").cast("bigint").alias("sample_size"),
+        F.count_if(F.col("node") < C.FOREST_TREES).cast("int").alias("roots"),
+        F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("feature") >= 0).alias("inner"),
+    ).join(children, "feed_id", "left").select(
+        "feed_id", "trees", "n_train", "sample_size", "roots",
+        ((F.col("nodes") == F.col("roots") + 2 * F.col("inner"))
+         & (F.coalesce("children", F.lit(0)) == 2 * F.col("inner"))).alias("binary"))
 
 
 @query("forest_scores")
@@ -110,8 +132,6 @@ def forest_session_levels(spark, sf):
 
 @query("threat_labels")
 def threat_labels(spark, sf):
-    from scenespark.operators.checkpoints import cut
-
     feats, model = _forest(spark, sf)
     base = T.baseline_frames(feats)
     rows = cut(TM.training_rows(base, iforest.score(base, model)))

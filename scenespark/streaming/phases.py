@@ -40,7 +40,7 @@ def score_batch(features: DataFrame, batch: int, root: str, trees: int = C.FORES
     need = C.BASELINE_FRAMES
     rows = cut(features.select(*KEY, *C.FEATURES))
     old = _stored(spark, f"{root}/baseline", FEATURE_SCHEMA, batch)
-    model = _stored(spark, f"{root}/model", iforest.NODE_SCHEMA, batch)
+    model = _stored(spark, f"{root}/model", iforest.FOREST_SCHEMA, batch)
     have = old.groupBy("feed_id").agg(F.count(F.lit(1)).alias("have"))
     placed = with_frame_position(rows.select(*KEY)).join(have, "feed_id", "left").withColumn(
         "pos", F.col("pos") + F.coalesce("have", F.lit(0)))
@@ -53,7 +53,7 @@ def score_batch(features: DataFrame, batch: int, root: str, trees: int = C.FORES
     ready = first_rows(base, ["feed_id"], ["frame_id"], need)
     _write(iforest.fit(ready, trees), f"{root}/model", batch)
 
-    models = model.unionByName(spark.read.schema(iforest.NODE_SCHEMA).parquet(f"{root}/model/batch={batch}"))
+    models = model.unionByName(spark.read.schema(iforest.FOREST_SCHEMA).parquet(f"{root}/model/batch={batch}"))
     later = rows.join(placed.filter(F.col("pos") > need).select(*KEY), KEY, "left_semi")
     _write(iforest.score(later, models), f"{root}/scores", batch)
 
