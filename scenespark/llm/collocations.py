@@ -3,9 +3,9 @@
 Phrases are counted length by length. Each task counts those of what it reads in a HAT-trie:
 hash containers under a shallow trie of word numbers. The words with many phrases burst out
 of a full container and get one of their own; once all hold too much, whole subtrees go, the
-largest first, as sorted runs. The runs are dealt out by ranges of phrases, so a partition
-holds a range of prefixes, a frequent prefix is divided at its next word, and the sum of a
-phrase's rows is its count.
+largest first, as sorted runs. The runs are dealt out by prefix: the first word or, where
+that is very frequent, also the next, and so on, so that no prefix is a hot group. In its
+partition the sum of a phrase's rows is its count.
 
 No phrase occurs more often than any part of it. So the next length counts only what
 consists of phrases that reached the least count, as far as a bit filter of a fixed size can
@@ -41,6 +41,8 @@ _MASK = (1 << _BITS) - 1
 RANKED = 100_000
 # places of the filter (8 MB), whatever the corpus
 FILTER_BITS = 26
+# a prefix with more than this share of all words is divided by its next word
+DIVIDED = 1 / 4096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 _PLAIN = bytes(range(256))
@@ -163,17 +165,18 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
 
 
-RUN = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
-RUNS = "lang string, phrase string, n long"
+RUN = pa.schema([("prefix", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+RUNS = "prefix long, lang string, phrase string, n long"
 
 
 class Counter:
     """The tries of a task, one per language, for phrases of ``size`` words whose parts pass the filter."""
 
     def __init__(
-        self, size: int, passes: np.ndarray | None = None, held: int = HELD, words: int = WORDS, burst: int = BURST
+        self, size: int, passes: np.ndarray | None = None, divided: np.ndarray | None = None,
+        held: int = HELD, words: int = WORDS, burst: int = BURST,
     ) -> None:
-        self.size, self.passes = size, passes
+        self.size, self.passes, self.divided = size, passes, divided
         self.most, self.most_words, self.burst = held, words, burst
         self._forget()
 
@@ -191,8 +194,7 @@ class Counter:
         for p in parts:
             whole &= p > 0
         if self.size > 1:
-            if len(self.hashes) < len(self.numbers):
-                self.hashes = np.concatenate((self.hashes, _hashes(list(self.numbers)[len(self.hashes):])))
+            self._hash()
             own = [self.hashes[words[k:k + n + 1]] for k in range(self.size - 1)]
             passed = common.in_filter(self.passes, places_of(lang, own)) if n else whole
             whole &= passed[:n] & passed[1:n + 1]
@@ -201,6 +203,21 @@ class Counter:
             code |= p << (_BITS * (LONGEST - 1 - k))
         return code[whole]
 
+    def _hash(self) -> None:
+        """Hashes of the words seen since the last time."""
+        if len(self.hashes) < len(self.numbers):
+            self.hashes = np.concatenate((self.hashes, _hashes(list(self.numbers)[len(self.hashes):])))
+
+    def prefixes(self, lang: str, codes: np.ndarray) -> np.ndarray:
+        """Places of the phrases' prefixes, each as short as its frequency allows."""
+        self._hash()
+        words = [self.hashes[_word(codes, k)] for k in range(self.size)]
+        out = places_of(lang, words[:1])
+        for k in range(1, self.size):
+            more = np.flatnonzero(common.in_filter(self.divided, places_of(lang, words[:k])))
+            out[more] = places_of(lang, [w[more] for w in words[:k + 1]])
+        return out
+
     def add(self, lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         """Count texts (a piece never leaves its text); yields what has to go."""
         told = self.numbers
@@ -220,7 +237,7 @@ class Counter:
         for lang, trie in self.tries.items():
             yield from self._runs(lang, trie.spill(0))
         for lang, n in self.total.items() if self.size == 1 else ():
-            yield pa.record_batch([[lang], [""], [n]], schema=RUN)
+            yield pa.record_batch([[0], [lang], [""], [n]], schema=RUN)
         self._forget()
 
     def _runs(self, lang: str, spilled: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -234,11 +251,14 @@ class Counter:
                 there = words > 0
                 offsets = np.concatenate(([0], np.cumsum(there.sum(1)))).astype(np.int32)
                 phrases = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), text.take(pa.array(words[there]))), " ")
-                yield pa.record_batch([pa.repeat(lang, len(words)), phrases, pa.array(counts[a:a + 65536])], schema=RUN)
+                prefix = pa.array(self.prefixes(lang, key[a:a + 65536]))
+                yield pa.record_batch([prefix, pa.repeat(lang, len(words)), phrases, pa.array(counts[a:a + 65536])], schema=RUN)
 
 
-def _count(batches: Iterator[pa.RecordBatch], size: int, passes: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    counter = Counter(size, passes)
+def _count(
+    batches: Iterator[pa.RecordBatch], size: int, passes: np.ndarray | None, divided: np.ndarray | None
+) -> Iterator[pa.RecordBatch]:
+    counter = Counter(size, passes, divided)
     for batch in batches:
         text = pc.fill_null(batch.column(1), "").cast(pa.binary())
         waiting: dict[str, list[bytes]] = {}
@@ -255,12 +275,13 @@ def _count(batches: Iterator[pa.RecordBatch], size: int, passes: np.ndarray | No
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places of (lang, phrase) rows, all of one length."""
+    """Places of (lang, phrase) rows."""
     for batch in batches:
-        by_lang: dict[str, list[list[bytes]]] = {}
+        alike: dict[tuple[str, int], list[list[bytes]]] = {}
         for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            by_lang.setdefault(lang, []).append(phrase.encode().split(b" "))
-        for lang, phrases in by_lang.items():
+            words = phrase.encode().split(b" ")
+            alike.setdefault((lang, len(words)), []).append(words)
+        for (lang, _), phrases in alike.items():
             columns = [_hashes(list(c)) for c in zip(*phrases)]
             yield pa.record_batch([pa.array(places_of(lang, columns))], names=["place"])
 
@@ -276,18 +297,25 @@ def counts(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str =
     common.prepare(spark)
     rows = docs.select(
         F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
-    told, passes = [], None
+    told, frequent, passes, divided = [], None, None, None
     for size in range(1, longest + 1):
-        def count(batches, size=size, passes=passes):
-            return _count(batches, size, None if passes is None else passes.value)
+        def count(batches, size=size, filters=(passes, divided)):
+            return _count(batches, size, *[None if f is None else f.value for f in filters])
 
-        runs = common.staged(rows.mapInArrow(count, RUNS), "runs")
-        often = runs.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(
-            (F.col("f") >= least) | (F.col("phrase") == ""))
-        told.append(common.staged(often, "phrases"))
+        runs = rows.mapInArrow(count, RUNS).repartition("prefix")
+        often = runs.groupBy("prefix", "lang", "phrase").agg(F.sum("n").alias("f")).drop("prefix")
+        told.append(common.staged(often.where((F.col("f") >= least) | (F.col("phrase") == "")), "phrases"))
         if size < longest:
-            places = told[-1].where("phrase <> ''").select("lang", "phrase").mapInArrow(_places, "place long")
-            passes = spark.sparkContext.broadcast(common.bit_filter(places, FILTER_BITS))
+            passed = told[-1].where("phrase <> ''")
+            total = told[0].where("phrase = ''").agg(F.sum("f")).head()[0] or 0
+            hot = passed.where(F.col("f") > total * DIVIDED)
+            frequent = hot if frequent is None else frequent.unionAll(hot)
+
+            def bits(phrases):
+                places = phrases.select("lang", "phrase").mapInArrow(_places, "place long")
+                return spark.sparkContext.broadcast(common.bit_filter(places, FILTER_BITS))
+
+            passes, divided = bits(passed), bits(frequent)
     out = told[0]
     for t in told[1:]:
         out = out.unionAll(t)
