@@ -6,6 +6,10 @@ hosts that rules allow, distrust the same on reversed edges from the hosts that
 block; a host is blocked where its distrust exceeds its trust by the threshold. Each round
 is a join and a grouped sum over the edges, and equal edges are summed before any shuffle.
 Rounds end once the ranks have settled and no further host is reached.
+
+Ranks are whole numbers, and what an edge carries is rounded down before it is summed, so
+neither the order of rows nor their partitions change a rank: the verdict is a function of
+the pages. A host without edges of its own passes nothing on; its share ends there.
 """
 
 from __future__ import annotations
@@ -20,13 +24,16 @@ from scenespark.llm import common
 DAMPING = 0.85
 # summed change of the ranks of a round (each starts with a sum of 1) from which they have settled
 TOLERANCE = 1e-4
+# ranks count parts of the whole
+UNIT = 1 << 50
+# rounds between two looks at the change
+EVERY = 8
 # of the comparison SQL, which has no loop; deeper links need more
-ROUNDS = 8
+ROUNDS = 96
 # share of distrust in trust + distrust from which a host is blocked
 BLOCK_FROM = 0.5
-# targets as the comparison SQL reads them, and with those that leave the scheme to the page
-LINK = r"""(?i:href|src)\x20*=\x20*["']?([A-Za-z][A-Za-z0-9+.-]*://[^"'\x20>]+)"""
-TARGET = LINK.replace("*://", "*:)?//").replace("([A-Z", "((?:[A-Z")
+# targets with a scheme, and those that leave it to the page
+LINK = r"""(?i:href|src)\x20*=\x20*["']?((?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^"'\x20>]+)"""
 
 
 @dataclass(frozen=True)
@@ -82,7 +89,7 @@ def edges_of(pages: DataFrame) -> DataFrame:
 
     ``pages``: host, html. A name of one label is no host above.
     """
-    targets = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(TARGET), F.lit(1))
+    targets = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1))
     target = F.when(F.col("url").startswith("//"), F.concat(F.lit("http:"), "url")).otherwise(F.col("url"))
     links = (
         pages.select(F.col("host").alias("a"), F.explode(targets).alias("url")).select("a", host_of(target).alias("b"))
@@ -98,24 +105,34 @@ def edges_of(pages: DataFrame) -> DataFrame:
 def spread(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """Personalised PageRanks (kind, host, rank) along a -> b from ``seeds`` (kind, host, share).
 
-    ``edges``: kind, a, b, w. The shares of a kind sum to 1. Each round adds the change of
-    all ranks; the last one changes them by ``tolerance`` at most and reaches no new host.
+    ``edges``: kind, a, b, w. The shares of a kind sum to 1, ranks to ``UNIT`` at most. The
+    last rounds change them by ``tolerance`` of it at most and reach no new host.
     """
     weights = edges.join(edges.groupBy("kind", "a").agg(F.sum("w").alias("_sum")), ["kind", "a"]).select(
         F.col("kind").alias("of"), "a", "b", (F.col("w") / F.col("_sum")).alias("p"))
     weights = common.staged(weights, "weights")
-    nothing = F.lit(0.0)
-    start = seeds.select("kind", "host", (F.col("share") * (1 - damping)).alias("rank"), nothing.alias("before"))
-    rank = seeds.select("kind", "host", F.col("share").alias("rank"))
+
+    def units(value: Column) -> Column:
+        return F.floor(value).cast("long").alias("rank")
+
+    start = seeds.select("kind", "host", units(F.col("share") * (1 - damping) * UNIT))
+    rank = common.staged(seeds.select("kind", "host", units(F.col("share") * UNIT)), "rank")
+    nothing = F.lit(0).cast("long")
     while True:
-        moved = rank.join(weights, (rank.kind == weights.of) & (rank.host == weights.a)).select(
-            "kind", F.col("b").alias("host"), (F.col("rank") * F.col("p") * damping).alias("rank"), nothing.alias("before"))
-        last = rank.select("kind", "host", nothing.alias("rank"), F.col("rank").alias("before"))
-        rank = common.staged(
-            moved.unionAll(start).unionAll(last).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before")), "rank")
-        change, fresh = rank.agg(F.sum(F.abs(F.col("rank") - F.col("before"))), F.count_if((F.col("before") == 0) & (F.col("rank") > 0))).first()
-        if not fresh and (change or 0) <= tolerance:
-            return rank.select("kind", "host", "rank")
+        now = rank
+        for _ in range(EVERY):
+            moved = now.join(weights, (now.kind == weights.of) & (now.host == weights.a)).select(
+                "kind", F.col("b").alias("host"), units(F.col("rank") * F.col("p") * damping))
+            now = moved.unionAll(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        both = now.select("kind", "host", "rank", nothing.alias("before")).unionAll(
+            rank.select("kind", "host", nothing.alias("rank"), F.col("rank").alias("before")))
+        told = common.staged(
+            both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before")), "rank")
+        change, fresh = told.agg(
+            F.sum(F.abs(F.col("rank") - F.col("before"))), F.count_if((F.col("before") == 0) & (F.col("rank") > 0))).first()
+        rank = told.select("kind", "host", "rank")
+        if not fresh and (change or 0) <= tolerance * UNIT:
+            return rank
 
 
 def judged(
@@ -126,7 +143,8 @@ def judged(
 
     A null url or one without ``://`` has an empty host and path, no rule and the verdict
     allow. Null html has no links. Hosts that neither trust nor distrust reaches are
-    allowed. Repeated rows are judged alike (each counts as a page of its own in the
+    allowed, and so are those that both reach alike: a tie is no block. No pages give no
+    rows. Repeated rows are judged alike (each counts as a page of its own in the
     seeds); input columns named like a result give way to it.
     """
     common.prepare(pages.sparkSession)
@@ -148,7 +166,7 @@ def judged(
         edges.select(F.lit("blocked").alias("kind"), F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     ranks = spread(both, seeds("trusted").unionAll(seeds("blocked")), tolerance)
     scores = ranks.groupBy("host").agg(*[
-        F.sum(F.when(F.col("kind") == of, F.col("rank")).otherwise(0.0)).alias(n) for n, of in (("good", "trusted"), ("bad", "blocked"))])
+        F.sum(F.when(F.col("kind") == of, F.col("rank")).otherwise(0)).alias(n) for n, of in (("good", "trusted"), ("bad", "blocked"))])
     blocked = common.staged(
         scores.where(F.col("bad") > F.lit(block_from) * (F.col("good") + F.col("bad"))).select("host", F.lit(True).alias("_bad")),
         "blocked")
@@ -174,16 +192,19 @@ def _host_sql(url: str) -> str:
 
 def _rank_sql(name: str, edges: str, verdict: str, rounds: int = ROUNDS) -> str:
     """Rounds of personalised PageRank as one statement after the other."""
+    def units(x: str) -> str:
+        return f"CAST(floor({x}) AS BIGINT)"
+
     steps = [
         f"{name}_p AS MATERIALIZED (SELECT a, b, w / sum(w) OVER (PARTITION BY a) AS p FROM ({edges}))",
         f"{name}_s AS MATERIALIZED (SELECT host, n / sum(n) OVER () AS share FROM "
         f"(SELECT host, count(*) AS n FROM ruled WHERE host <> '' AND rule_verdict = '{verdict}' GROUP BY host))",
-        f"{name}_0 AS (SELECT host, share AS rank FROM {name}_s)",
+        f"{name}_0 AS (SELECT host, {units(f'share * {UNIT}')} AS rank FROM {name}_s)",
     ]
     for k in range(rounds):
-        steps.append(f"""{name}_{k + 1} AS MATERIALIZED (SELECT host, sum(rank) AS rank FROM (
-          SELECT b AS host, rank * p * {DAMPING} AS rank FROM {name}_{k} JOIN {name}_p ON host = a
-          UNION ALL SELECT host, share * {1 - DAMPING} FROM {name}_s) GROUP BY host)""")
+        steps.append(f"""{name}_{k + 1} AS MATERIALIZED (SELECT host, CAST(sum(rank) AS BIGINT) AS rank FROM (
+          SELECT b AS host, {units(f"CAST(rank AS DOUBLE) * p * {DAMPING}")} AS rank FROM {name}_{k} JOIN {name}_p ON host = a
+          UNION ALL SELECT host, {units(f"share * CAST({1 - DAMPING} AS DOUBLE) * {UNIT}")} FROM {name}_s) GROUP BY host)""")
     return ", ".join(steps)
 
 
@@ -204,7 +225,7 @@ ruled AS MATERIALIZED (
   FROM parsed),
 targets AS (
   SELECT a, {_host_sql("url")} AS b
-  FROM (SELECT host AS a, unnest(regexp_extract_all(coalesce(html, ''), '{_LINK_SQL}', 1)) AS url FROM ruled)),
+  FROM (SELECT a, CASE WHEN starts_with(url, '//') THEN 'http:' || url ELSE url END AS url FROM (SELECT host AS a, unnest(regexp_extract_all(coalesce(html, ''), '{_LINK_SQL}', 1)) AS url FROM ruled))),
 links AS (SELECT a, b, CAST(count(*) AS DOUBLE) AS w FROM targets WHERE a <> '' AND b <> '' AND a <> b GROUP BY a, b),
 hosts AS (SELECT host FROM ruled WHERE host <> '' UNION SELECT b FROM links),
 above AS (
