@@ -404,6 +404,19 @@ def test_distrust_reaches_far_hosts(spark):
     assert {r.verdict for r in url_filter.judged(df).collect()} == {"block"}
 
 
+@pytest.mark.parametrize("parts", [1, 5, 64])
+def test_verdicts_do_not_depend_on_partitions(spark, parts):
+    """Hosts that trust and distrust reach alike: a tie is no block, however the rows lie."""
+    link = '<a href="https://{}/">'
+    rows = [(0, "http://good.org/a", "".join(link.format(f"x{i}.net") for i in range(7)))]
+    rows += [(1 + i, f"http://x{i}.net/a", link.format("bad.com") * (2 if i == 6 else 1)) for i in range(7)]
+    rows += [(8, "http://bad.com/de/1", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+    got = {r.page_id: r.verdict for r in url_filter.judged(df).collect()}
+    # the last one links to the blocked host twice, so more distrust comes back to it than to the others
+    assert got == {0: "allow", **{1 + i: "allow" for i in range(6)}, 7: "block", 8: "block"}
+
+
 # odd input
 
 def operators(spark):
