@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from scenespark import constants as C
 from scenespark.functions.numbers import exact_round
 from scenespark.functions import scores
-from scenespark.operators import alerts as A, anomaly, cooldown, frames as FR, iforest, temporal as T, threat_model as TM
+from scenespark.operators import (
+    alerts as A, anomaly, cooldown, feed_forest, frames as FR, iforest, temporal as T, threat_model as TM,
+)
 from scenespark.operators.checkpoints import cut
 from scenespark.operators.frames import KEY
 from scenespark.plans import reports as R, session as S
@@ -130,15 +132,37 @@ def forest_session_levels(spark, sf):
     return s.groupBy("feed_id", "alert_level").agg(F.count(F.lit(1)).alias("frames"))
 
 
-@query("threat_labels")
-def threat_labels(spark, sf):
+def _threats(spark, sf):
     feats, model = _forest(spark, sf)
     base = T.baseline_frames(feats)
-    rows = cut(TM.training_rows(base, iforest.score(base, model)))
-    fitted = TM.fit(rows)
-    c = TM.classify(feats, fitted)
+    return feats, cut(feed_forest.fit(TM.training_rows(base, iforest.score(base, model))))
+
+
+@query("threat_labels")
+def threat_labels(spark, sf):
+    """Labels of all frames by the classifier of their feed."""
+    feats, fitted = _threats(spark, sf)
     top = F.array_max(F.map_values("threat_proba"))
-    return c.select(*KEY, "threat_label", exact_round(top, 4).alias("top_share"))
+    return feed_forest.classify(feats, fitted).select(*KEY, "threat_label", exact_round(top, 4).alias("top_share"))
+
+
+@query("threat_models", f"""
+SELECT feed_id, count(*) AS n_samples, true AS labelled, true AS counted
+FROM (SELECT * FROM c_frm WHERE pos <= {C.BASELINE_FRAMES}) GROUP BY 1""")
+def threat_models(spark, sf):
+    """A classifier per feed; in its trees the counts of two children are those of their parent."""
+    _, fitted = _threats(spark, sf)
+    n = feed_forest.nodes(fitted)
+    below = n.filter("node > 1").groupBy("feed_id", "tree", F.expr("cast(node div 2 as int)").alias("node")).agg(
+        *[F.sum(c).alias(f"b_{c}") for c in feed_forest.COUNTS], F.count(F.lit(1)).alias("children"))
+    same = F.col("children") == 2
+    for c in feed_forest.COUNTS:
+        same = same & (F.col(c) == F.col(f"b_{c}"))
+    checked = n.join(below, ["feed_id", "tree", "node"], "left").groupBy("feed_id").agg(
+        F.bool_and(F.when(F.col("feature") >= 0, F.coalesce(same, F.lit(False))).otherwise(F.col("children").isNull())).alias("counted"))
+    return fitted.join(checked, "feed_id", "left").select(
+        "feed_id", "n_samples", F.forall("labels", lambda x: x.isin(C.PRIORITIES)).alias("labelled"),
+        F.coalesce("counted", F.lit(True)).alias("counted"))
 
 
 # --- fusion and alerts ----------------------------------------------------------------

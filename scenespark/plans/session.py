@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scenespark import constants as C
 from scenespark.functions.numbers import exact_round
 from scenespark.operators import alerts as A
-from scenespark.operators import anomaly, frames as FR, iforest, temporal, threat_model, tracking, zones as Z
+from scenespark.operators import anomaly, feed_forest, frames as FR, iforest, temporal, threat_model, tracking, zones as Z
 from scenespark.operators.checkpoints import cut
 from scenespark.operators.frames import KEY
 from scenespark.operators.ordering import BLOCK_ROWS, first_rows
@@ -30,8 +30,8 @@ class Options:
     model: DataFrame | None = None  # fitted forest: skips the baseline phase
     trees: int = C.FOREST_TREES
     contamination: float = C.CONTAMINATION
-    threat: threat_model.ThreatModel | None = None
-    fit_threat: bool = False  # fit the classifier on the baseline's forest scores
+    threat: DataFrame | threat_model.ThreatModel | None = None  # a classifier per feed, or one for all
+    fit_threat: bool = False  # fit a classifier per feed on the forest scores of its baseline
     block_rows: int = BLOCK_ROWS
     extra: dict = field(default_factory=dict)
 
@@ -79,9 +79,10 @@ def frame_table(frames: DataFrame, detections: DataFrame, opts: Options | None =
     threat = opts.threat
     if threat is None and opts.fit_threat and scores is not None:
         base = FR.features(facts).join(facts.filter(F.col("pos") <= opts.baseline).select(*KEY), KEY)
-        threat = threat_model.fit(cut(threat_model.training_rows(base, scores)))
+        threat = cut(feed_forest.fit(threat_model.training_rows(base, scores)))
     if threat is not None:
-        labels = threat_model.classify(FR.features(facts), threat).select(*KEY, "threat_label")
+        classify = feed_forest.classify if isinstance(threat, DataFrame) else threat_model.classify
+        labels = classify(FR.features(facts), threat).select(*KEY, "threat_label")
         scored = scored.join(labels, KEY, "left")
     else:
         scored = scored.withColumn("threat_label", F.lit("UNKNOWN"))
