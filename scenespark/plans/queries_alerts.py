@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from scenespark import constants as C
@@ -10,12 +12,12 @@ from scenespark.functions import scores
 from scenespark.operators import (
     alerts as A, anomaly, cooldown, feed_forest, frames as FR, iforest, temporal as T, threat_model as TM,
 )
-from scenespark.operators.checkpoints import cut
+from scenespark.operators.checkpoints import cut, ensure_checkpoint_dir
 from scenespark.operators.frames import KEY
 from scenespark.plans import reports as R, session as S
 from scenespark.plans.queries_frames import SQL_TIME, detections, facts, rule_alerts, rule_frames, text_time, zoned
 from scenespark.plans.registry import block, query
-from scenespark.sources import derived as D, records
+from scenespark.sources import derived as D, json_arrays, records
 
 JOINED = "array_to_string(reasons, '|')"
 
@@ -315,6 +317,29 @@ def alert_log_read(spark, sf):
                     F.size("reasons").alias("reasons"), "notified", "is_corrupt")
 
 
+def scratch(spark, name) -> str:
+    """A new folder beside the checkpoints, for queries that write and read again."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query("alert_array_read", """
+SELECT 'alert_{' || event_id || '}' AS alert_id, user_id // 15 AS feed_id, event_id % 240 AS frame_id,
+  CASE event_id % 4 WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' ELSE 'LOW' END AS priority, 2 AS reasons,
+  'said "' || event_type || '\\"} {' AS first_reason, false AS is_corrupt FROM events""")
+def alert_array_read(spark, sf):
+    """Arrays of alerts, one per file, written and read again; braces and quotes stand in their texts."""
+    obj = F.to_json(F.struct(
+        F.expr("concat('alert_{', event_id, '}')").alias("alert_id"), F.expr("user_id div 15").alias("feed_id"),
+        (F.col("event_id") % 240).alias("frame_id"),
+        F.expr("CASE event_id % 4 WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' END").alias("priority"),
+        F.array(F.concat(F.lit('said "'), "event_type", F.lit('\\"} {')), "event_type").alias("reasons")))
+    path = scratch(spark, "arrays")
+    json_arrays.write_arrays(D.table(spark, sf, "events").select(obj.alias("value")), path)
+    return records.read_alert_array(spark, path).select(
+        "alert_id", "feed_id", "frame_id", "priority", F.size("reasons").alias("reasons"),
+        F.get("reasons", F.lit(0)).alias("first_reason"), "is_corrupt")
+
+
 @query("alert_json", """
 SELECT alert_id, priority, frame_id, len(reasons) AS reasons, reasons[1] AS first_reason FROM c_alert""")
 def alert_json(spark, sf):

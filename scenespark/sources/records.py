@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenespark.operators.frames import flat_detections
+from scenespark.sources.json_arrays import read_objects
 
 ALERT_SCHEMA = (
     "alert_id string, feed_id long, frame_id long, timestamp double, priority string, anomaly_score double, "
@@ -34,6 +35,11 @@ def read_alert_log(spark: SparkSession, path: str, multi_line: bool = True) -> D
     return complete_alerts(raw)
 
 
+def read_alert_array(spark: SparkSession, path: str) -> DataFrame:
+    """Alert logs of any size that are one JSON array per file, each read by many tasks."""
+    return parse_alerts(read_objects(spark, path))
+
+
 def parse_alerts(lines: DataFrame, column: str = "value") -> DataFrame:
     """Alert objects held as JSON text; unreadable text is counted, not hidden:
     such rows come out with ``is_corrupt`` true."""
