@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from scenespark import constants as C
 from scenespark.functions.numbers import exact_round
 from scenespark.functions import geometry as G
 from scenespark.operators import corpus as K
-from scenespark.operators.checkpoints import cut
+from scenespark.operators.checkpoints import cut, ensure_checkpoint_dir
 from scenespark.plans.registry import block, query
 from scenespark.sinks import tables
 from scenespark.sources import derived as D, labels as L
@@ -351,6 +353,24 @@ def label_text(spark, sf):
     return tables.label_text(s).drop("split")
 
 
+@query("label_files", """
+SELECT split, stem, count(*) AS lines, string_agg(line, '|' ORDER BY line) AS content FROM (
+  SELECT stem, CASE WHEN right(stem, 1) = '7' THEN 'val' ELSE 'train' END AS split,
+    class_id || ' ' || printf('%.6f', (xmin + xmax) / 2 / img_w) || ' ' || printf('%.6f', (ymin + ymax) / 2 / img_h)
+      || ' ' || printf('%.6f', (xmax - xmin) / img_w) || ' ' || printf('%.6f', (ymax - ymin) / img_h) AS line
+  FROM c_px) GROUP BY 1, 2""")
+def label_files_read(spark, sf):
+    """A text file per image, written and read again."""
+    from scenespark.sinks.label_files import write_label_files
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/labels-{uuid.uuid4().hex[:12]}"
+    split = F.when(F.expr("right(stem, 1) = '7'"), "val").otherwise("train")
+    write_label_files(K.to_shares(D.pixel_annotations(spark, sf)).withColumn("split", split), path)
+    lines = [L.read_lines(spark, f"{path}/{name}/labels").withColumn("split", F.lit(name)) for name in ("train", "val")]
+    return lines[0].unionByName(lines[1]).groupBy("split", "stem").agg(
+        F.count(F.lit(1)).alias("lines"), F.array_join(F.array_sort(F.collect_list("line")), "|").alias("content"))
+
+
 @query("image_size_limit", "SELECT count(*) AS kept FROM c_img WHERE CAST(img_w AS BIGINT) * img_h * 60 / (1024 * 1024) <= 150")
 def image_size_limit(spark, sf):
     im = D.images(spark, sf).withColumn("bytes", F.col("img_w").cast("bigint") * F.col("img_h") * 60)
