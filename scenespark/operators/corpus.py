@@ -136,13 +136,17 @@ def _stored(labels: DataFrame) -> DataFrame:
 def stage(pixel: DataFrame) -> DataFrame:
     """Mapped pixel annotations of all sources -> one staged label table.
 
-    Needs ``stem, source, img_w, img_h, class_id`` and corner boxes. One narrow
+    Needs ``stem, source, img_w, img_h, class_id`` and corner boxes; with the size of the
+    image file in ``bytes``, images of the source that is cut into tiles are left out above
+    the limit. One narrow
     pass: each row takes the way of its source (letterboxed as it is, clamped
     first, or cut into tiles) inside the projection, so sources are neither
     scanned again nor united.
     """
     dota, visdrone = F.col("source") == "dota", F.col("source") == "visdrone"
     tiled = dota & ((F.col("_w0") > C.TILE_TRIGGER) | (F.col("_h0") > C.TILE_TRIGGER))
+    if "bytes" in pixel.columns:
+        pixel = pixel.filter(~dota | (F.col("bytes") / (1024 * 1024) <= C.MAX_IMAGE_MB))
     rows = pixel.withColumn("stem", source_stem()).withColumns({"_w0": F.col("img_w"), "_h0": F.col("img_h")})
     rows = rows.withColumn("_tiled", tiled)
     rows = shrink_oversized(rows, F.col("_tiled"))
@@ -457,10 +461,10 @@ class Corpus:
 def build_corpus(pixel: DataFrame, seed: int = C.SEED, materialise: bool = True) -> Corpus:
     """Stage, balance, augment and split.
 
-    The image index is one narrow row per image and is used several times by the
-    ranks that follow, so it is cut once instead of staging all labels again.
+    The staged labels serve the image index and the result, and the index, one narrow
+    row per image, the ranks that follow: both are written once.
     """
-    labels = stage(pixel)
+    labels = cut(stage(pixel)) if materialise else stage(pixel)
     index = categorise(image_index(labels))
     if materialise:
         index = cut(index)

@@ -17,6 +17,7 @@ from scenespark.operators.frames import KEY
 from scenespark.plans import reports as R, session as S
 from scenespark.plans.queries_frames import SQL_TIME, detections, facts, rule_alerts, rule_frames, text_time, zoned
 from scenespark.plans.registry import block, query
+from scenespark.sinks import tables
 from scenespark.sources import derived as D, json_arrays, records
 
 JOINED = "array_to_string(reasons, '|')"
@@ -510,6 +511,37 @@ def session_counters(spark, sf):
     return S.session_summary(S.frame_table(D.frames(spark, sf), detections(spark, sf)))
 
 
+@query("session_timings", """
+SELECT feed_id, count(*) FILTER (pos > 30) AS frames_scored,
+  round(coalesce(sum(CAST(frame_id % 7 AS DOUBLE) / 4) FILTER (pos > 30), 0) / greatest(count(*) FILTER (pos > 30), 1), 2) AS avg_zone_ms,
+  round(coalesce(sum(CAST(frame_id % 11 AS DOUBLE) / 8) FILTER (pos > 30), 0) / greatest(count(*) FILTER (pos > 30), 1), 2) AS avg_temporal_ms
+FROM c_fused GROUP BY 1""")
+def session_timings(spark, sf):
+    """Mean milliseconds of the stages over the scored frames."""
+    timed = _session_rows(spark, sf).withColumns({
+        "zone_ms": (F.col("frame_id") % 7).cast("double") / 4, "temporal_ms": (F.col("frame_id") % 11).cast("double") / 8})
+    return S.session_summary(timed, ["zone_ms", "temporal_ms"]).select("feed_id", "frames_scored", "avg_zone_ms", "avg_temporal_ms")
+
+
+@query("session_analysis_log", """
+SELECT feed_id, 'enhanced' AS pipeline_type, count(*) AS total_frames, least(500, count(*) FILTER (pos > 30)) AS frames,
+  min(frame_id) FILTER (pos > 30) AS first_frame, CAST(sum(violation_count) AS BIGINT) AS zone_violations,
+  CAST(sum(zb) AS BIGINT) AS border_zone, CAST(sum(temporal_alerts) AS BIGINT) AS temporal_alerts,
+  max_by(tracked_objects, frame_id) AS active_tracks FROM c_session GROUP BY 1""")
+def session_analysis_log(spark, sf):
+    """The analysis log of each feed, written a document per line and read again."""
+    path = scratch(spark, "analysis")
+    tables.write_documents(S.analysis_log(cut(S.frame_table(D.frames(spark, sf), detections(spark, sf)))), path)
+    schema = ("pipeline_type string, total_frames long, frames array<struct<frame_id: long>>, zone_summary struct<total_violations: long, "
+              "violations_by_zone: map<string, long>>, temporal_summary struct<total_temporal_alerts: long, active_tracks: long>")
+    d = spark.read.text(path).select(F.col("feed_id").cast("bigint").alias("feed_id"), F.from_json("value", schema).alias("d"))
+    return d.select(
+        "feed_id", "d.pipeline_type", "d.total_frames", F.size("d.frames").cast("bigint").alias("frames"),
+        F.get("d.frames", F.lit(0))["frame_id"].alias("first_frame"), F.col("d.zone_summary.total_violations").alias("zone_violations"),
+        F.col("d.zone_summary.violations_by_zone")["border_zone"].alias("border_zone"),
+        F.col("d.temporal_summary.total_temporal_alerts").alias("temporal_alerts"), "d.temporal_summary.active_tracks")
+
+
 @query("session_frame_report", """
 SELECT feed_id, frame_id, detection_count, round(anomaly_score, 4) AS anomaly_score, alert_level, round(zone_risk, 4) AS zone_risk,
   max_severity AS zone_severity, violation_count AS zone_violations, round(temporal_risk, 4) AS temporal_risk, temporal_alerts, tracked_objects,

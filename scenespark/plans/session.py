@@ -169,6 +169,26 @@ def capped_records(
     return capped.withColumn("_rn", F.row_number().over(tail)).filter(F.col("_rn") <= last).drop("_rn")
 
 
+def analysis_log(table: DataFrame, zones: list[dict] | DataFrame | None = None, frames: int = 500) -> DataFrame:
+    """``feed_id, document``: JSON of the first scored frames of a feed, its zone summary and its temporal summary.
+
+    A feed has ``frames`` entries at most, so a document is bounded however long the feed is.
+    """
+    report = frame_report(table, frames)
+    columns = [c for c in report.columns if c != "feed_id"]
+    listed = report.groupBy("feed_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("frames"))
+
+    def packed(summary: DataFrame, name: str) -> DataFrame:
+        return summary.select("feed_id", F.struct(*[c for c in summary.columns if c != "feed_id"]).alias(name))
+
+    both = packed(Z.zone_summary(table, zones), "zone_summary").join(
+        packed(tracking.temporal_summary(table), "temporal_summary"), "feed_id").join(listed, "feed_id", "left")
+    body = F.struct(
+        F.lit("enhanced").alias("pipeline_type"), F.col("zone_summary.total_frames").alias("total_frames"),
+        F.coalesce("frames", F.array().cast(listed.schema["frames"].dataType)).alias("frames"), "zone_summary", "temporal_summary")
+    return both.select("feed_id", F.to_json(body).alias("document"))
+
+
 def session_documents(
     table: DataFrame, alerts: DataFrame, violations: DataFrame, temporal_rows: DataFrame
 ) -> DataFrame:
