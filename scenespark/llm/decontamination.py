@@ -233,7 +233,7 @@ def remove_spans(marked: DataFrame, text: str = "text") -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: contaminated documents go, the others pass unchanged."""
+    """Pipeline stage: contaminated documents go, the others pass with the columns of ``documents``, any more are dropped."""
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     marked = mark(docs.select(*columns), common.table(spark, sf_dir, "benchmark"))
     return marked.where("not contaminated").select(*columns)

@@ -173,8 +173,9 @@ def fit(
 def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add lang_pred and score (the calibrated probability).
 
-    Null texts and texts without a letter are ``und`` with score 0. Repeated rows get the
-    same answer; input columns named like a result give way to it.
+    Null texts and texts without a letter are ``und`` with score 0. A text is read as a
+    whole, however long; of equally likely languages the first in order counts; no rows give
+    no rows. Repeated rows get the same answer; input columns named like a result give way to it.
     """
     common.prepare(docs.sparkSession)
     used = np.flatnonzero(np.abs(model.weights).sum(1))

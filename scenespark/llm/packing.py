@@ -228,7 +228,8 @@ def packed(rows: DataFrame, order: list[str], length: int = LENGTH) -> DataFrame
 def pack(docs: DataFrame, path: str, length: int = LENGTH, text: str = "text") -> DataFrame:
     """Pieces of all documents with their sequences.
 
-    A null or empty text is the end id alone. Repeated rows and ids are packed once each;
+    A null or empty text is the end id alone; a text is tokenised as a whole and cut after,
+    however long. Repeated rows and ids are packed once each;
     columns of ``docs`` named like a result give way to it.
     """
     cut = common.staged(pieces(docs, path, length, text), "pieces")
@@ -246,6 +247,6 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the pieces of every document and their places."""
+    """Pipeline stage, the last: the pieces of every document and their places; columns beyond the id are dropped."""
     return pack(docs.select("doc_id", "text"), vocabulary()).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

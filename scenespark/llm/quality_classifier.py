@@ -100,8 +100,9 @@ def score(docs: DataFrame, model: ordinal.Ordinal, keep_from: float = KEEP_FROM,
     """Add expected_grade, tails (array, P(grade >= k)), p_good (the first tail) and kept.
 
     Null and empty texts are scored by their own feature. A model without grades (no
-    labels) keeps all. Repeated rows are scored alike; input columns named like a result
-    give way to it.
+    labels) keeps all. A text is read as a whole, however long; no rows give no rows; a
+    probability equal to the bound keeps. Repeated rows are scored alike; input columns
+    named like a result give way to it.
     """
     common.prepare(docs.sparkSession)
     used = np.flatnonzero(model.weights).astype(np.int32)

@@ -59,7 +59,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Null text has no words. Repeated windows compare the words themselves: a text whose
     window hashes all differ has none, the others are sorted by hash and words.
-    Repeated rows are measured alike; input columns named like a result give way to it.
+    A text is measured as a whole, however long; no rows give no rows. Repeated rows are
+    measured alike; input columns named like a result give way to it.
     """
     names = {c: f"_in{i}" for i, c in enumerate(docs.columns)}
     df = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])

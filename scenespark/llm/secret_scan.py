@@ -133,7 +133,9 @@ def scan(docs: DataFrame, scope: int = SCOPE, text: str = "text") -> DataFrame:
 
     Positions are code points, ends exclusive. Null text counts as empty and has no span.
     Equal texts are linked once, by a digest of the text, and every repeated row gets the
-    result; input columns named like a result give way to it. Extra columns pass through.
+    result; spans that start alike are ordered by kind; long texts are linked in cells, so
+    without pairs; no rows give no rows. Input columns named like a result give way to it.
+    Extra columns pass through.
     """
     names = {c: f"_in{i}" for i, c in enumerate(docs.columns)}
     inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
@@ -178,7 +180,8 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with a credential, strong or linked, go; the others pass unchanged."""
+    """Pipeline stage: documents with a credential, strong or linked, go; the others pass with the columns of
+    ``documents``, any more are dropped."""
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     return scan(docs.select(*columns)).where(F.size("spans") == 0).select(*columns)
 

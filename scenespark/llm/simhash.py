@@ -234,7 +234,8 @@ def grouped(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataF
 
     component_id is the smallest id among documents reachable over links of at most
     ``RADIUS`` bits; texts without words share fingerprint zero. Equal fingerprints are
-    linked without pairs. Repeated rows come once each; a null id is never a
+    linked without pairs. A bit set in exactly half of the shingles is 0; a long text is
+    counted in parts; no rows give no rows. Repeated rows come once each; a null id is never a
     representative, and a group of null ids alone has a null component_id.
     """
     marked = common.staged(fingerprints(docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text"))).select(
@@ -360,7 +361,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies one row stays, decided per row.
 
     It is the row with the smallest id, nulls last, then with the smallest digests of its
-    shingles and columns. Repeated rows are one.
+    shingles and columns. Repeated rows are one. Columns beyond those of ``documents`` are dropped.
     """
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     docs = docs.select(*columns)

@@ -66,7 +66,8 @@ def score(docs: DataFrame, model: ordinal.Ordinal, toxic_from: float = TOXIC_FRO
     """Add severity (expected grade), p_toxic, tails (array, P(grade >= k)) and toxic.
 
     Null or empty text: no features, so the prior of the lowest grade decides. A model
-    without grades (no labels) finds nothing toxic. Repeated rows are scored alike.
+    without grades (no labels) finds nothing toxic. A text is read as a whole, however long; no rows give no
+    rows; a probability equal to the bound is toxic. Repeated rows are scored alike.
     Input columns named like a result give way to it.
     """
     common.prepare(docs.sparkSession)
@@ -103,7 +104,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: toxic documents go, the others pass unchanged."""
+    """Pipeline stage: toxic documents go, the others pass with the columns of ``documents``, any more are dropped."""
     source = common.table(spark, sf_dir, "documents")
     model = fit(source, common.table(spark, sf_dir, "labels"))
     return score(docs.select("doc_id", "text", "lang", "source", "n_chars"), model).where("not toxic").select(
