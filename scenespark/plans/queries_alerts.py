@@ -17,7 +17,7 @@ from scenespark.operators.frames import KEY
 from scenespark.plans import reports as R, session as S
 from scenespark.plans.queries_frames import SQL_TIME, detections, facts, rule_alerts, rule_frames, text_time, zoned
 from scenespark.plans.registry import block, query
-from scenespark.sinks import tables
+from scenespark.sinks import store, tables
 from scenespark.sources import derived as D, json_arrays, records
 
 JOINED = "array_to_string(reasons, '|')"
@@ -341,6 +341,21 @@ def alert_array_read(spark, sf):
         F.get("reasons", F.lit(0)).alias("first_reason"), "is_corrupt")
 
 
+@query("alert_store", """
+SELECT alert_id, feed_id, frame_id, CASE WHEN frame_id % 11 = 0 THEN 'LOW' ELSE priority END AS priority, frame_id % 7 = 0 AS notified FROM c_alert""")
+def alert_store(spark, sf):
+    """Alerts written as versions: all of them, those notified, those whose priority changed; merged and read again."""
+    path = scratch(spark, "store")
+    first = cut(rule_alerts(spark, sf).select("alert_id", "feed_id", "frame_id", "priority", "notified"))
+    marked = F.col("frame_id") % 7 == 0
+    store.append(first.withColumn("written_at", F.lit(1)), path)
+    store.append(first.filter(marked).withColumns({"notified": F.lit(True), "written_at": F.lit(2)}), path)
+    lower = first.filter("frame_id % 11 = 0").withColumns({"priority": F.lit("LOW"), "notified": marked, "written_at": F.lit(3)})
+    store.append(lower, path)
+    store.compact(spark, path, least=3)
+    return store.read(spark, path).drop("written_at")
+
+
 @query("alert_json", """
 SELECT alert_id, priority, frame_id, len(reasons) AS reasons, reasons[1] AS first_reason FROM c_alert""")
 def alert_json(spark, sf):
