@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from scenespark.sources import json_arrays as J, labels as L, records
 
 
-@pytest.fixture(params=[61, 1000, 1 << 20])
+@pytest.fixture(params=[61, 5000])
 def splits(spark, request):
     """The largest split in bytes; small ones also cut strings and escapes."""
     old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
