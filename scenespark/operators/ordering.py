@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenespark.operators.checkpoints import cut
+
 FRAME_BUCKET = 4096
 BLOCK_ROWS = 16384
 
@@ -74,27 +76,18 @@ def with_hash_position(
 
 
 def with_sorted_position(
-    df: DataFrame, group: Sequence[str], key: str, name: str = "pos", boundaries: int = 256,
+    df: DataFrame, group: Sequence[str], key: str, name: str = "pos", ranges: int | None = None,
     total: str | None = None,
 ) -> DataFrame:
     """Position by an arbitrary sort key (for example a name).
 
-    Bucket boundaries are the keys with the smallest hashes, at most
-    ``boundaries`` per group, so buckets are even whatever the key looks like and
-    a rerun of a lost task picks the same ones.
+    Rows are dealt out by ranges of ``(group, key)``, so a large group spans many ranges and
+    small ones share one. Spark samples the bounds; the rows are stored with the number of
+    their range, so every later pass and every rerun of a lost task sees the same ranges.
     """
     group = list(group)
-    pick = Window.partitionBy(*group).orderBy(F.xxhash64(key), key)
-    bounds = (
-        df.select(*group, key)
-        .withColumn("_n", F.row_number().over(pick))
-        .filter(F.col("_n") <= boundaries)
-        .groupBy(*group)
-        .agg(F.array_sort(F.collect_set(key)).alias("_bounds"))
-    )
-    tagged = df.join(bounds, group).withColumn(
-        "_range", F.size(F.filter("_bounds", lambda b: b <= F.col(key)))
-    ).drop("_bounds")
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tagged = cut(df.repartitionByRange(n, *group, key).withColumn("_range", F.spark_partition_id()))
     return with_position(tagged, group, [key], F.col("_range"), name, total).drop("_range")
 
 

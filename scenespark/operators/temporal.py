@@ -158,42 +158,66 @@ def effective_fps(frames: DataFrame) -> DataFrame:
     )
 
 
-def pairwise_iou(detections: DataFrame, frames: DataFrame, threshold: float = C.IOU_MATCH) -> DataFrame:
-    """Box pairs of adjacent processed frames that overlap enough.
-
-    Two boxes can only reach the threshold when they intersect, and an
-    intersecting pair shares a cell of a grid no finer than the boxes. Boxes are
-    joined on (feed, frame, cell) instead of on the frame alone, so a crowded
-    frame does not emit all its pairs. A pair met in several cells is kept in the
-    cell of its intersection's corner.
+def overlap_candidates(detections: DataFrame, frames: DataFrame, threshold: float = C.IOU_MATCH) -> DataFrame:
+    """Box pairs of adjacent processed frames that lie close and are of similar size.
+
+    An overlap of ``t`` needs longer sides whose ratio is at least ``t``. Sides are put in
+    levels a little wider than ``1 / t``, so the boxes of a pair are of one level or of two
+    that follow each other. A level has a grid whose cell is the longest side it allows; a
+    box enters the grids of its level and of the next, at most four cells of each. Cells
+    therefore suit the boxes in them, whatever the scale of a frame, and a crowd of small
+    boxes does not meet in one cell. A pair is met once: in the grid of its larger box, in
+    the cell of its intersection's corner. Boxes without an area have no partner.
     """
-    from scenespark.functions.geometry import iou
-
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
+    base = 1.01 * max(2.0, 1.0 / threshold)
     placed = with_frame_position(frames.select("feed_id", "frame_id"))
     prev = own_rows(
         with_blocks(placed, "pos", 1).withColumn(
             "prev_frame", F.lag("frame_id").over(block_window(FEED, "pos"))
         )
     ).select("feed_id", "frame_id", "prev_frame")
-    cell = float(GRID_PX)
-    boxes = detections.select(
-        "feed_id", "frame_id", "det_id", "x1", "y1", "x2", "y2",
-        F.explode(F.sequence(F.floor(F.col("x1") / cell), F.floor(F.greatest("x1", "x2") / cell))).alias("gx"),
-    ).withColumn("gy", F.explode(F.sequence(F.floor(F.col("y1") / cell), F.floor(F.greatest("y1", "y2") / cell))))
-    now = boxes.join(prev, FEED + ["frame_id"])
-    names = {c: f"p_{c}" for c in ("det_id", "x1", "y1", "x2", "y2")}
-    before = boxes.withColumnsRenamed(names).withColumnRenamed("frame_id", "prev_frame")
+    corners = ["x1", "y1", "x2", "y2"]
+    width, height = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    unbounded = F.lit(float("inf"))
+    boxes = detections.select("feed_id", "frame_id", "det_id", *[F.col(c).cast("double") for c in corners]).filter(
+        (width > 0) & (height > 0) & (width < unbounded) & (height < unbounded)
+    ).withColumn("level", F.greatest(
+        F.lit(FINEST_LEVEL), F.ceil(F.log(F.greatest(width, height)) / F.log(F.lit(base)))).cast("int"))
+
+    def gridded(rows: DataFrame) -> DataFrame:
+        cell = F.pow(F.lit(base), F.col("grid"))
+
+        def span(low: str, high: str):
+            return F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
+
+        rows = rows.withColumn("grid", F.explode(F.array("level", F.col("level") + 1)))
+        return rows.withColumn("gx", span("x1", "x2")).withColumn("gy", span("y1", "y2"))
+
+    now = gridded(boxes.join(prev.filter("prev_frame IS NOT NULL"), FEED + ["frame_id"]))
+    names = {c: f"p_{c}" for c in ("det_id", *corners, "level")}
+    before = gridded(boxes).withColumnsRenamed(names).withColumnRenamed("frame_id", "prev_frame")
+    cell = F.pow(F.lit(base), F.col("grid"))
+    return now.join(before, ["feed_id", "prev_frame", "grid", "gx", "gy"]).filter(
+        (F.col("grid") == F.greatest("level", "p_level"))
+        & (F.col("gx") == F.floor(F.greatest("x1", "p_x1") / cell))
+        & (F.col("gy") == F.floor(F.greatest("y1", "p_y1") / cell))
+    )
+
+
+def pairwise_iou(detections: DataFrame, frames: DataFrame, threshold: float = C.IOU_MATCH) -> DataFrame:
+    """Box pairs of adjacent processed frames that overlap enough."""
+    from scenespark.functions.geometry import iou
+
     box, prior = ["x1", "y1", "x2", "y2"], ["p_x1", "p_y1", "p_x2", "p_y2"]
     return (
-        now.join(before, ["feed_id", "prev_frame", "gx", "gy"])
-        .filter(
-            (F.col("gx") == F.floor(F.greatest("x1", "p_x1") / cell))
-            & (F.col("gy") == F.floor(F.greatest("y1", "p_y1") / cell))
-        )
+        overlap_candidates(detections, frames, threshold)
         .withColumn("iou", iou(box, prior))
         .filter(F.col("iou") >= threshold)
         .select("feed_id", "frame_id", "prev_frame", "det_id", F.col("p_det_id").alias("prev_det_id"), "iou")
     )
 
 
-GRID_PX = 160
+# smaller boxes share the cells of this level
+FINEST_LEVEL = -6

@@ -1,11 +1,12 @@
 """Zones, windows, tracks, scores and alerts on small hand-made scenes."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import brute_cooldown, brute_tracks
+from helpers import brute_cooldown, brute_tracks, overlap
 from scenespark.operators import alerts as A, anomaly, cooldown, frames as FR, temporal as T, tracking as K, zones as Z
 from scenespark.operators.ordering import with_hash_position, with_position, with_sorted_position
 from scenespark.plans import session as S
@@ -239,7 +240,7 @@ def test_positions_equal_row_number(spark):
     from pyspark.sql import Window
     for got, order in (
         (with_position(df, ["g"], ["k"], F.floor(F.col("k") / 50), total="n"), ["k"]),
-        (with_sorted_position(df, ["g"], "name", boundaries=16, total="n"), ["name"]),
+        (with_sorted_position(df, ["g"], "name", ranges=16, total="n"), ["name"]),
         (with_hash_position(df, ["g"], "name", 7, total="n"), [F.md5(F.concat("name", F.lit(":7")))]),
     ):
         w = Window.partitionBy("g").orderBy(*order)
@@ -268,3 +269,51 @@ def test_log_views(spark):
     assert [(r["time_str"], r["reason"]) for r in shown] == [("05:30:07", "r7"), ("05:30:09", "[]")]
     assert {r["priority"]: r["share_pct"] for r in A.priority_share(df).collect()} == {"CRITICAL": 50.0, "HIGH": 50.0, "MEDIUM": 0.0, "LOW": 0.0}
     assert all(r["share_pct"] == 0.0 for r in A.priority_share(df.filter("frame_id < 0")).collect())
+
+
+def _boxes(spark, boxes):
+    """boxes: (frame, x1, y1, x2, y2); frames 1, 4 and 9 were processed."""
+    rows = [(1, b[0], i, *b[1:]) for i, b in enumerate(boxes)]
+    det = spark.createDataFrame(rows, "feed_id long, frame_id long, det_id long, x1 double, y1 double, x2 double, y2 double")
+    return det, spark.createDataFrame([(1, f) for f in (1, 4, 9)], "feed_id long, frame_id long")
+
+
+@pytest.mark.parametrize("threshold", [0.05, 0.3, 0.7, 1.0])
+def test_adjacent_overlaps_of_boxes_of_all_sizes(spark, threshold):
+    rng = random.Random(5)
+    boxes = []
+    for _ in range(300):
+        w, h = 10 ** rng.uniform(-5, 3.5), 10 ** rng.uniform(-5, 3.5)
+        x, y = rng.uniform(-50, 50), rng.uniform(-50, 50)
+        for frame in (1, 4, 9):
+            dx, dy, k = rng.uniform(-.6, .6) * w, rng.uniform(-.6, .6) * h, rng.choice([1, 1, 0.55, 1.8])
+            boxes.append((frame, x + dx, y + dy, x + dx + w * k, y + dy + h))
+    boxes += [(1, 0.0, 0.0, 8.0, 8.0), (4, 0.0, 0.0, 8.0, 8.0), (4, 0.0, 0.0, 8.0, 8.0), (9, 8.0, 8.0, 0.0, 0.0),
+              (9, 0.0, 0.0, 8.0, 0.0), (9, None, 0.0, 8.0, 8.0), (9, 0.0, 0.0, float("nan"), 8.0),
+              (4, 0.0, 0.0, float("inf"), 8.0)]
+    det, frames = _boxes(spark, boxes)
+    before = {4: 1, 9: 4}
+    def good(b):
+        return b[1] is not None and 0 < b[3] - b[1] < math.inf and b[4] > b[2]
+    want = {
+        (i, j) for i, a in enumerate(boxes) if good(a) for j, b in enumerate(boxes)
+        if good(b) and before.get(a[0]) == b[0] and overlap(a[1:], b[1:]) >= threshold}
+    got = [(r["det_id"], r["prev_det_id"]) for r in T.pairwise_iou(det, frames, threshold).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) >= 2
+
+
+def test_a_crowd_of_small_boxes_does_not_meet_pairwise(spark):
+    rng, n = random.Random(8), 20_000
+    boxes = []
+    for _ in range(n):
+        x, y, w = rng.uniform(0, 150), rng.uniform(0, 150), rng.uniform(1, 3)
+        boxes.append((1, x, y, x + w, y + 2))
+        boxes.append((4, x + .3, y - .2, x + w, y + 2))
+    boxes += [(f, 0.0, 0.0, 1900.0 + f, 1000.0) for f in (1, 4)]
+    det, frames = _boxes(spark, boxes)
+    # 20,000 boxes fit into one cell of 160 pixels: 400 million pairs there
+    assert T.overlap_candidates(det, frames).count() < 100 * n
+    own = T.pairwise_iou(det, frames).filter("det_id = prev_det_id + 1")
+    assert own.count() >= 0.99 * n
+    with pytest.raises(ValueError):
+        T.pairwise_iou(det, frames, 0.0)
