@@ -10,6 +10,7 @@ arrays. Scoring sends that row to blocks of frames, never all frames of a feed t
 from __future__ import annotations
 
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -97,7 +98,7 @@ def mean_depth(x: np.ndarray, nodes: pd.DataFrame) -> np.ndarray:
     return depth[at].reshape(len(x), trees).mean(axis=1)
 
 
-def _unpacked(nodes) -> pd.DataFrame:
+def unpacked(nodes) -> pd.DataFrame:
     """Nodes of a model row as a table."""
     return pd.DataFrame.from_records(list(nodes), columns=[f.split()[0] for f in NODE_SCHEMA.split(", ")])
 
@@ -148,6 +149,19 @@ def _fit_one(rows: pd.DataFrame, feed: int, trees: int, seed: int) -> tuple[int,
     return len(x) // trees, grow_forest(x, rows["tree"].to_numpy(np.int64), trees, len(x) // trees, rng)
 
 
+class Forest(NamedTuple):
+    size: int
+    offset: float
+    nodes: pd.DataFrame
+
+
+def fit_whole(points: pd.DataFrame, feed: int, trees: int, contamination: float = C.CONTAMINATION, seed: int = C.SEED) -> Forest:
+    """The forest ``fit`` gives a feed whose baseline is no longer than the sample of a tree."""
+    size, nodes = _fit_one(points.assign(tree=None), feed, trees, seed)
+    own = score_samples(points[C.FEATURES].to_numpy(float), nodes, size)
+    return Forest(size, float(np.quantile(own, contamination)), nodes)
+
+
 def quantiles(scores: DataFrame, share: float, column: str = "score", few: int = 4096) -> DataFrame:
     """``feed_id, offset``: the exact quantile of a column of -1 to 0 per feed, between two ranks in proportion.
 
@@ -248,7 +262,7 @@ def score(features: DataFrame, model: DataFrame, scope: str = "feed", block_rows
         if not len(pdf) or not len(forest):
             return pd.DataFrame(columns=["feed_id", "frame_id", "model_score"])
         one = forest.iloc[0]
-        s = score_samples(pdf[C.FEATURES].to_numpy(float), _unpacked(one["nodes"]), int(one["sample_size"]))
+        s = score_samples(pdf[C.FEATURES].to_numpy(float), unpacked(one["nodes"]), int(one["sample_size"]))
         return pd.DataFrame({"feed_id": pdf["feed_id"], "frame_id": pdf["frame_id"], "model_score": s - float(one["offset"])})
 
     return spread(rows, "_model", "_block").groupBy("_model", "_block").cogroup(

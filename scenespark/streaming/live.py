@@ -7,7 +7,6 @@ and bounded: the last window of counters and the live tracks.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +25,7 @@ from scenespark.operators.cooldown import cooldown_step
 from scenespark.operators.frames import KEY, flat_detections
 from scenespark.operators.tracking import match_frame, temporal_columns
 from scenespark.sources.records import FRAME_SCHEMA, frame_records
+from scenespark.streaming.held_rows import HELD_ROWS, HeldRows, in_chunks
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -101,35 +101,69 @@ class FeedTracker(StatefulProcessor):
 
     Only what is sequential happens here; alerts and risk are column expressions
     on the emitted rows. Frames at or before the last one seen are dropped and
-    counted.
+    counted. Counters are a value, the window a list, the live tracks a map. With
+    ``ttl_ms`` a feed that sends nothing for that long is forgotten; its next frame
+    is the first of a new feed.
     """
 
-    def __init__(self, window: int = C.WINDOW_SIZE, ttl_ms: int | None = None) -> None:
-        self.window, self.ttl_ms = window, ttl_ms
+    COUNTERS = "last long, next long, pos long, late long"
+    WINDOW = "detections long, persons long, motion double"
+    TRACK = "class_name string, box array<double>, last long, n long, xs array<double>, ys array<double>"
+
+    def __init__(self, window: int = C.WINDOW_SIZE, ttl_ms: int | None = None, held: int = HELD_ROWS) -> None:
+        self.window, self.ttl_ms, self.held = window, ttl_ms, held
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("feed", "state string", self.ttl_ms)
+        self._counters = handle.getValueState("counters", self.COUNTERS, self.ttl_ms)
+        self._window = handle.getListState("window", self.WINDOW, self.ttl_ms)
+        self._tracks = handle.getMapState("tracks", "id long", self.TRACK, self.ttl_ms)
+        self._rows = HeldRows(handle, ["frame_id"], self.held)
+
+    def _load(self) -> dict:
+        # what is left of a feed whose counters have expired is not used
+        if not self._counters.exists():
+            return {"last": None, "next": 0, "pos": 0, "late": 0, "hist": [], "tracks": [], "stored": set()}
+        last, following, pos, late = self._counters.get()
+        tracks = [
+            {"id": k[0], "cls": v[0], "box": list(v[1]), "last": v[2], "n": v[3], "at": [list(p) for p in zip(v[4], v[5])]}
+            for k, v in self._tracks.iterator()]
+        return {
+            "last": last, "next": following, "pos": pos, "late": late, "hist": [tuple(h) for h in self._window.get()],
+            "tracks": sorted(tracks, key=lambda t: t["id"]), "stored": {t["id"] for t in tracks}}
+
+    def _store(self, s: dict) -> None:
+        if not s["stored"]:
+            self._tracks.clear()
+        self._counters.update((s["last"], s["next"], s["pos"], s["late"]))
+        self._window.put(s["hist"])
+        for gone in s["stored"] - {t["id"] for t in s["tracks"]}:
+            self._tracks.removeKey((gone,))
+        for t in s["tracks"]:
+            xs, ys = zip(*t["at"])
+            self._tracks.updateValue((t["id"],), (t["cls"], t["box"], t["last"], t["n"], list(xs), list(ys)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        s = json.loads(self._state.get()[0]) if self._state.exists() else {
-            "last": None, "next": 0, "pos": 0, "late": 0, "hist": [], "tracks": []}
-        # chunks of one batch come in no particular order
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("frame_id", kind="stable")
-        out = []
-        for r in batch.itertuples(index=False):
-            if s["last"] is not None and r.frame_id <= s["last"]:
-                s["late"] += 1
-                continue
-            self._step(s, r)
-            counts, people, motions = zip(*s["hist"])
-            out.append({
-                "feed_id": key[0], "frame_id": r.frame_id, "ts": r.ts, "pos": s["pos"], "detection_count": counts[-1],
-                "persons": people[-1], "motion_score": motions[-1], "counts": list(counts), "people": list(people),
-                "motions": list(motions), "late_frames": s["late"], "tracks": [_track_row(t) for t in s["tracks"]],
-            })
-        self._state.update((json.dumps(s),))
-        if out:
-            yield pd.DataFrame(out)
+        s = self._load()
+        for chunk in in_chunks(self._rows.ordered(rows)):
+            out = [self._frame(key[0], s, r) for r in chunk if self._in_time(s, r)]
+            if out:
+                yield pd.DataFrame(out)
+        if s["last"] is not None:
+            self._store(s)
+
+    def _in_time(self, s: dict, r) -> bool:
+        late = s["last"] is not None and r.frame_id <= s["last"]
+        s["late"] += late
+        return not late
+
+    def _frame(self, feed, s: dict, r) -> dict:
+        self._step(s, r)
+        counts, people, motions = zip(*s["hist"])
+        return {
+            "feed_id": feed, "frame_id": r.frame_id, "ts": r.ts, "pos": s["pos"], "detection_count": counts[-1],
+            "persons": people[-1], "motion_score": motions[-1], "counts": list(counts), "people": list(people),
+            "motions": list(motions), "late_frames": s["late"], "tracks": [_track_row(t) for t in s["tracks"]],
+        }
 
     def _step(self, s: dict, r) -> None:
         frame = int(r.frame_id)
@@ -137,7 +171,7 @@ class FeedTracker(StatefulProcessor):
         names = list(r.names)
         motion = None if r.motion_score is None or np.isnan(r.motion_score) else float(r.motion_score)
         s["last"], s["pos"] = frame, s["pos"] + 1
-        s["hist"] = [*s["hist"], [len(boxes), names.count("person"), motion]][-self.window:]
+        s["hist"] = [*s["hist"], (len(boxes), names.count("person"), motion)][-self.window:]
         tracks = s["tracks"]
         taken, _ = match_frame(boxes, np.array([t["box"] for t in tracks], dtype=float).reshape(-1, 4))
         for i, hit in enumerate(taken):
@@ -156,7 +190,9 @@ class FeedTracker(StatefulProcessor):
         pass
 
 
-def tracked_stream(frames: DataFrame, window: int = C.WINDOW_SIZE, ttl_ms: int | None = None) -> DataFrame:
+def tracked_stream(
+    frames: DataFrame, window: int = C.WINDOW_SIZE, ttl_ms: int | None = None, held: int = HELD_ROWS
+) -> DataFrame:
     """Frames with their window counters and live tracks."""
     d = F.array_sort(F.transform("detections", lambda x: F.struct(
         x["det_id"], F.coalesce(x["x1"], F.lit(0.0)).alias("x1"), F.coalesce(x["y1"], F.lit(0.0)).alias("y1"),
@@ -170,7 +206,7 @@ def tracked_stream(frames: DataFrame, window: int = C.WINDOW_SIZE, ttl_ms: int |
         F.transform("_d", lambda x: x["cls"]).alias("names"),
     )
     return flat.groupBy("feed_id").transformWithStateInPandas(
-        FeedTracker(window, ttl_ms), _parse_datatype_string(_TRACKED), "Append",
+        FeedTracker(window, ttl_ms, held), _parse_datatype_string(_TRACKED), "Append",
         "ProcessingTime" if ttl_ms else "None",
     )
 
@@ -191,9 +227,11 @@ def _positions(values):
     return F.transform(values, lambda _, i: i.cast("bigint"))
 
 
-def temporal_stream(frames: DataFrame, window: int = C.WINDOW_SIZE, ttl_ms: int | None = None) -> DataFrame:
+def temporal_stream(
+    frames: DataFrame, window: int = C.WINDOW_SIZE, ttl_ms: int | None = None, held: int = HELD_ROWS
+) -> DataFrame:
     """Temporal result per frame, equal to the batch ``temporal_frames``."""
-    t = tracked_stream(frames, window, ttl_ms)
+    t = tracked_stream(frames, window, ttl_ms, held)
     size = F.size("counts")
     prev = F.slice("counts", -5, 4)
     avg4 = F.aggregate(prev, F.lit(0.0), lambda a, x: a + x) / 4
@@ -261,30 +299,34 @@ def temporal_stream(frames: DataFrame, window: int = C.WINDOW_SIZE, ttl_ms: int
 class FeedCooldown(StatefulProcessor):
     """Last notification time per threat class of one feed."""
 
-    def __init__(self, wait_us: int) -> None:
-        self.wait_us = wait_us
+    def __init__(self, wait_us: int, held: int = HELD_ROWS) -> None:
+        self.wait_us, self.held = wait_us, held
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._last = handle.getMapState("last", "cool_key string", "at long")
+        self._rows = HeldRows(handle, ["at", "frame_id", "alert_id"], self.held)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["at", "frame_id", "alert_id"])
         last = {k[0]: v[0] for k, v in self._last.iterator()}
-        notify = cooldown_step(batch["at"].tolist(), [list(k) for k in batch["cooldown_keys"]], last, self.wait_us)
+        for chunk in in_chunks(self._rows.ordered(rows)):
+            notify = cooldown_step([r.at for r in chunk], [list(r.cooldown_keys) for r in chunk], last, self.wait_us)
+            out = pd.DataFrame(chunk)[["alert_id", "feed_id", "frame_id", "priority"]]
+            yield out.assign(notify=notify)
         for k, at in last.items():
             self._last.updateValue((k,), (int(at),))
-        yield batch[["alert_id", "feed_id", "frame_id", "priority"]].assign(notify=notify)
 
     def close(self) -> None:
         pass
 
 
-def notification_stream(alerts: DataFrame, cooldown_seconds: float = C.COOLDOWN_SECONDS) -> DataFrame:
+def notification_stream(
+    alerts: DataFrame, cooldown_seconds: float = C.COOLDOWN_SECONDS, held: int = HELD_ROWS
+) -> DataFrame:
     """Which high and critical alerts send a message, in event time."""
     rows = notifiable(alerts).select(
         "alert_id", "feed_id", "frame_id", "priority", F.unix_micros("ts").alias("at"), "cooldown_keys")
     return rows.groupBy("feed_id").transformWithStateInPandas(
-        FeedCooldown(int(cooldown_seconds * 1_000_000)),
+        FeedCooldown(int(cooldown_seconds * 1_000_000), held),
         _parse_datatype_string("alert_id string, feed_id long, frame_id long, priority string, notify boolean"),
         "Append", "None",
     )

@@ -1,69 +1,142 @@
 """Baseline first, then scoring, on a stream.
 
-Each micro-batch sends frames of feeds without a model to a baseline table until
-there are enough, fits those feeds, and scores everything that comes after. All
-tables are written per batch id, so a repeated batch replaces its own output.
+A feed's first frames are kept in its state. Once there are enough, its forest is fitted
+there, the frames are let go and the model stays, packed, in the state; every later frame is
+scored with it. A micro-batch costs its own rows and the models of its feeds, however many
+batches came before. Models fitted earlier can be given; their feeds are scored from the
+first frame on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from scenespark import constants as C
 from scenespark.operators import iforest
-from scenespark.operators.checkpoints import cut
-from scenespark.operators.frames import KEY
-from scenespark.operators.ordering import first_rows
-from scenespark.operators.temporal import with_frame_position
+from scenespark.streaming.held_rows import HELD_ROWS, HeldRows, in_chunks
 
-FEATURE_SCHEMA = "feed_id long, frame_id long, " + ", ".join(f"{c} float" for c in C.FEATURES)
 SCORE_SCHEMA = "feed_id long, frame_id long, model_score double"
+PACKED_SCHEMA = "trees int, sample_size int, n_train long, offset double, nodes binary"
+_POINT = "frame_id long, " + ", ".join(f"{c} double" for c in C.FEATURES)
+_NODE_COLUMNS = [f.split()[0] for f in iforest.NODE_SCHEMA.split(", ")]
+
+
+def _packed(nodes: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(nodes[_NODE_COLUMNS], preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(nodes: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(nodes).read_pandas()
+
+
+class FeedScorer(StatefulProcessor):
+    """Baseline frames of one feed until there are ``need``, its forest from then on.
+
+    ``need`` is at most the sample of a tree: a longer baseline is fitted as a batch and
+    given as a model. Frames of one micro-batch go by frame id. The frames of the baseline
+    get no score.
+    """
+
+    def __init__(self, trees: int, need: int = C.BASELINE_FRAMES, seed: int = C.SEED, held: int = HELD_ROWS) -> None:
+        if not 2 <= need <= C.FOREST_SAMPLE:
+            raise ValueError(f"a baseline in the state holds 2 to {C.FOREST_SAMPLE} frames")
+        self.trees, self.need, self.seed, self.held = trees, need, seed, held
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._baseline = handle.getListState("baseline", _POINT)
+        self._model = handle.getValueState("model", PACKED_SCHEMA)
+        self._rows = HeldRows(handle, ["frame_id"], self.held)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        one = initialState.iloc[0]
+        nodes = iforest.unpacked(one["nodes"])
+        self._model.update((int(one["trees"]), int(one["sample_size"]), int(one["n_train"]), float(one["offset"]), _packed(nodes)))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self._model.exists():
+            model = self._read()
+            for chunk in rows:
+                yield self._scored(key[0], chunk, model)
+            return
+        early = [tuple(p) for p in self._baseline.get()]
+        have, model = len(early), None
+        for chunk in in_chunks(self._rows.ordered(rows)):
+            if model is None:
+                taken = self.need - len(early)
+                early += [(int(r.frame_id), *(float(getattr(r, c)) for c in C.FEATURES)) for r in chunk[:taken]]
+                chunk = chunk[taken:]
+                if len(early) < self.need:
+                    continue
+                model = self._fit(int(key[0]), early)
+            if chunk:
+                yield self._scored(key[0], pd.DataFrame(chunk), model)
+        if model is not None:
+            self._baseline.clear()
+        elif len(early) > have:
+            self._baseline.appendList(early[have:])
+
+    def _fit(self, feed: int, early: list[tuple]) -> tuple:
+        points = pd.DataFrame(early, columns=["frame_id", *C.FEATURES]).sort_values("frame_id", kind="stable")
+        forest = iforest.fit_whole(points, feed, self.trees, C.CONTAMINATION, self.seed)
+        self._model.update((self.trees, forest.size, len(points), forest.offset, _packed(forest.nodes)))
+        return forest.nodes, forest.size, forest.offset
+
+    def _read(self) -> tuple:
+        _, size, _, offset, nodes = self._model.get()
+        return _unpacked(bytes(nodes)), size, offset
+
+    def _scored(self, feed, rows: pd.DataFrame, model: tuple) -> pd.DataFrame:
+        nodes, size, offset = model
+        s = iforest.score_samples(rows[C.FEATURES].to_numpy(float), nodes, size)
+        return pd.DataFrame({"feed_id": feed, "frame_id": rows["frame_id"], "model_score": s - offset})
+
+    def close(self) -> None:
+        pass
+
+
+def scored_stream(
+    features: DataFrame, trees: int = C.FOREST_TREES, need: int = C.BASELINE_FRAMES, models: DataFrame | None = None,
+    held: int = HELD_ROWS,
+) -> DataFrame:
+    """``model_score`` of the frames after the baseline. ``features`` is ``feature_stream``,
+    ``models`` a batch table of forests, one row per feed."""
+    return features.select("feed_id", "frame_id", *C.FEATURES).groupBy("feed_id").transformWithStateInPandas(
+        FeedScorer(trees, need, held=held), SCORE_SCHEMA, "Append", "None",
+        initialState=models.groupBy("feed_id") if models is not None else None)
+
+
+def start_scoring(
+    features: DataFrame, path: str, checkpoint: str, trees: int = C.FOREST_TREES, need: int = C.BASELINE_FRAMES,
+    models: DataFrame | None = None,
+):
+    """Scores as Parquet; the sink's log leaves out what a repeated batch wrote before."""
+    return (
+        scored_stream(features, trees, need, models).writeStream.format("parquet").option("path", path)
+        .option("checkpointLocation", checkpoint).start()
+    )
 
 
-def _stored(spark: SparkSession, path: str, schema: str, before: int) -> DataFrame:
-    """Rows written by earlier batches."""
-    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath):
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema + ", batch long").parquet(path)
-    return rows.filter(F.col("batch") < before).drop("batch")
-
-
-def _write(rows: DataFrame, path: str, batch: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
-
-
-def score_batch(features: DataFrame, batch: int, root: str, trees: int = C.FOREST_TREES) -> None:
-    """``foreachBatch`` body: ``features`` are the feature rows of one micro-batch."""
-    spark = features.sparkSession
-    need = C.BASELINE_FRAMES
-    rows = cut(features.select(*KEY, *C.FEATURES))
-    old = _stored(spark, f"{root}/baseline", FEATURE_SCHEMA, batch)
-    model = _stored(spark, f"{root}/model", iforest.FOREST_SCHEMA, batch)
-    have = old.groupBy("feed_id").agg(F.count(F.lit(1)).alias("have"))
-    placed = with_frame_position(rows.select(*KEY)).join(have, "feed_id", "left").withColumn(
-        "pos", F.col("pos") + F.coalesce("have", F.lit(0)))
-    early = rows.join(placed.filter(F.col("pos") <= need).select(*KEY), KEY, "left_semi")
-    _write(early, f"{root}/baseline", batch)
-
-    fitted = model.select("feed_id").distinct()
-    base = old.unionByName(spark.read.schema(FEATURE_SCHEMA).parquet(f"{root}/baseline/batch={batch}"))
-    base = base.join(rows.select("feed_id").distinct(), "feed_id", "left_semi").join(fitted, "feed_id", "left_anti")
-    ready = first_rows(base, ["feed_id"], ["frame_id"], need)
-    _write(iforest.fit(ready, trees), f"{root}/model", batch)
-
-    models = model.unionByName(spark.read.schema(iforest.FOREST_SCHEMA).parquet(f"{root}/model/batch={batch}"))
-    later = rows.join(placed.filter(F.col("pos") > need).select(*KEY), KEY, "left_semi")
-    _write(iforest.score(later, models), f"{root}/scores", batch)
+def scores(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SCORE_SCHEMA).parquet(path)
 
 
-def scores(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(SCORE_SCHEMA + ", batch long").parquet(f"{root}/scores").drop("batch")
+def models(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The forests in the state of a scoring stream, as ``iforest.fit`` returns them."""
+    packed = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "model").load()
 
+    def opened(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            part["nodes"] = [_unpacked(n).to_dict("records") for n in part["nodes"]]
+            yield part
 
-def start_scoring(features: DataFrame, root: str, checkpoint: str, trees: int = C.FOREST_TREES):
-    return (
-        features.writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda df, batch: score_batch(df, batch, root, trees)).start()
-    )
+    return packed.select(F.col("key.feed_id").alias("feed_id"), "value.*").mapInPandas(opened, iforest.FOREST_SCHEMA)
