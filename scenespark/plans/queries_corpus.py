@@ -633,7 +633,7 @@ SELECT stem, source, img_w, img_h, class_id, CASE WHEN source = 'visdrone' THEN
   CASE WHEN source = 'visdrone' THEN greatest(0.001::DOUBLE, least(0.999::DOUBLE, w)) ELSE w END AS w,
   CASE WHEN source = 'visdrone' THEN greatest(0.001::DOUBLE, least(0.999::DOUBLE, h)) ELSE h END AS h
 FROM (SELECT *, (xmin + xmax) / 2 / img_w AS cx, (ymin + ymax) / 2 / img_h AS cy, (xmax - xmin) / img_w AS w, (ymax - ymin) / img_h AS h FROM c_mapped)
-WHERE source = 'xview' OR source = 'visdrone' OR (CAST(img_w AS BIGINT) * img_h * 60 / (1024 * 1024) <= 150 AND img_w <= 960 AND img_h <= 960 AND cx > 0 AND cx < 1 AND cy > 0 AND cy < 1 AND w > 0.003 AND h > 0.003)
+WHERE source = 'xview' OR source = 'visdrone' OR (img_w <= 960 AND img_h <= 960 AND cx > 0 AND cx < 1 AND cy > 0 AND cy < 1 AND w > 0.003 AND h > 0.003)
 """)
 block("c_stlb", """
 SELECT *, least(nw0, 2 * least(ncx, 1 - ncx)) AS nw, least(nh0, 2 * least(ncy, 1 - ncy)) AS nh FROM (
@@ -647,14 +647,12 @@ SELECT stem, class_id, tile_x, tile_y, lx, ly, least(lw, 2 * least(lx, 1 - lx))
   SELECT p.stem, p.class_id, g.tile_x, g.tile_y, greatest(0.001::DOUBLE, least(0.999::DOUBLE, ((xmin + xmax) / 2 - tile_x) / 640)) AS lx,
     greatest(0.001::DOUBLE, least(0.999::DOUBLE, ((ymin + ymax) / 2 - tile_y) / 640)) AS ly, (xmax - xmin) / 640 AS lw, (ymax - ymin) / 640 AS lh
   FROM c_mapped p JOIN c_grid g ON g.stem = p.stem AND tile_x <= (xmin + xmax) / 2 AND (xmin + xmax) / 2 < tile_x + 640 AND tile_y <= (ymin + ymax) / 2 AND (ymin + ymax) / 2 < tile_y + 640
-  WHERE p.source = 'dota' AND (p.img_w > 960 OR p.img_h > 960) AND CAST(p.img_w AS BIGINT) * p.img_h * 60 / (1024 * 1024) <= 150)
+  WHERE p.source = 'dota' AND (p.img_w > 960 OR p.img_h > 960))
 """)
 
 
 def _mapped(spark, sf):
-    """Mapped annotations with the size of the image file."""
-    size = F.col("img_w").cast("bigint") * F.col("img_h") * 60
-    return L.map_classes(D.pixel_annotations(spark, sf), "v2").withColumn("bytes", size)
+    return L.map_classes(D.pixel_annotations(spark, sf), "v2")
 
 
 def _staged(spark, sf):

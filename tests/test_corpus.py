@@ -205,3 +205,19 @@ def test_threat_model(spark, tmp_path):
     only = TM.fit(TM.training_rows(feats, scores.withColumn("model_score", F.lit(0.2))))
     assert {r["threat_label"] for r in TM.classify(feats, only).collect()} == {"LOW"}
     assert {r["threat_label"] for r in TM.classify(feats, None).collect()} == {"UNKNOWN"}
+
+
+def _large_tiled_images(spark, sf):
+    """Names of the images of the tiled source whose files would pass the size limit, with labels that are mapped."""
+    large = F.expr("source = 'dota' AND img_w * img_h * 60 / (1024 * 1024) > 150")
+    mapped = L.map_classes(D.pixel_annotations(spark, sf), "v2").filter(large)
+    return mapped.select(F.concat(F.lit("dota_"), "stem").alias("image")).distinct()
+
+
+def test_staged_labels_hold_images_of_all_sizes(spark, sf):
+    from scenespark.plans.queries_corpus import staged_labels
+
+    large = _large_tiled_images(spark, sf)
+    staged = staged_labels(spark, sf).select(F.expr("regexp_extract(stem, '^(dota_img_[0-9]+)_t', 1)").alias("image"))
+    assert large.count() > 20
+    assert large.join(staged, "image", "left_anti").count() == 0
