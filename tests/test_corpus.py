@@ -221,3 +221,15 @@ def test_staged_labels_hold_images_of_all_sizes(spark, sf):
     staged = staged_labels(spark, sf).select(F.expr("regexp_extract(stem, '^(dota_img_[0-9]+)_t', 1)").alias("image"))
     assert large.count() > 20
     assert large.join(staged, "image", "left_anti").count() == 0
+
+
+def test_corpus_is_built_from_images_of_all_sizes(spark, sf):
+    from scenespark.plans.queries_corpus import _mapped
+
+    images = K.build_corpus(_mapped(spark, sf)).images
+    # every rare image stays, so all large ones with a rare class are there
+    rare = L.map_classes(D.pixel_annotations(spark, sf), "v2").filter(F.col("class_id").isin(3, 4, 6)).select(
+        F.concat(F.lit("dota_"), "stem").alias("image")).distinct()
+    wanted = _large_tiled_images(spark, sf).join(rare, "image")
+    built = images.select(F.expr("regexp_extract(stem, '^(dota_img_[0-9]+)_t', 1)").alias("image"))
+    assert wanted.count() and wanted.join(built, "image", "left_anti").count() == 0
