@@ -233,3 +233,19 @@ def test_corpus_is_built_from_images_of_all_sizes(spark, sf):
     wanted = _large_tiled_images(spark, sf).join(rare, "image")
     built = images.select(F.expr("regexp_extract(stem, '^(dota_img_[0-9]+)_t', 1)").alias("image"))
     assert wanted.count() and wanted.join(built, "image", "left_anti").count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name, texts", [("yolo_lines", 8), ("dota_lines", 8), ("vedai_lines", 0)])
+def test_lines_are_numbered_and_written_once(spark, sf, name, texts):
+    """Lines are shuffled once on their order, and the text of a line stands once in the plan."""
+    from scenespark.plans import queries_corpus  # noqa: F401
+    from scenespark.plans.registry import QUERIES
+
+    plan = _plan(QUERIES[name](spark, sf))
+    assert plan.count("lineitem.parquet") == 1 and plan.count("hashpartitioning(l_orderkey") == 1
+    assert "hashpartitioning(stem" not in plan
+    assert plan.count("format_string") <= texts and plan.count("split(") <= 1
