@@ -178,12 +178,13 @@ def join_zones(detections: DataFrame, zones: DataFrame) -> DataFrame:
         cells = celled.select(*keys, "_fx", "_fy").distinct().withColumn(
             "_level", F.explode(placed.agg(F.collect_set("_level").alias("levels")).scalar()))
         cells = cells.withColumns({"_cx": _above(F.col("_fx"), "_level"), "_cy": _above(F.col("_fy"), "_level")})
+        # zones and their cells are rows of unknown number, more than the size of their files tells
         packed = (
-            cells.join(placed, [*keys, "_level", "_cx", "_cy"])
+            cells.join(placed.hint("merge"), [*keys, "_level", "_cx", "_cy"])
             .filter("_fx BETWEEN _x1 AND _x2 AND _fy BETWEEN _y1 AND _y2")
             .groupBy(*keys, "_fx", "_fy").agg(F.array_sort(F.collect_list(F.struct(*_ZONE))).alias("_zones"))
         )
-        joined = celled.join(packed, [*keys, "_fx", "_fy"], "left")
+        joined = celled.join(packed.hint("merge"), [*keys, "_fx", "_fy"], "left")
     hit = F.filter("_zones", lambda z: in_polygon_array("center_x", "center_y", z["polygon"]))
     return _violation_columns(
         joined.withColumn("_hit", F.get(hit, F.lit(0)))
@@ -317,13 +318,13 @@ def zone_summary(risk: DataFrame, zones: list[dict] | DataFrame | None = None) -
         keys = ["feed_id"] if "feed_id" in zones.columns else []
         each = risk.select("feed_id", F.explode("zone_scores").alias("name", "n")).groupBy("feed_id", "name").agg(
             F.sum("n").alias("n"))
-        by_zone = each.join(zones.select(*keys, "name", "level"), [*keys, "name"]).groupBy("feed_id").agg(
+        by_zone = each.join(zones.select(*keys, "name", "level").hint("merge"), [*keys, "name"]).groupBy("feed_id").agg(
             F.map_from_entries(F.array_sort(F.collect_list(F.struct(
                 "name", F.when(F.col("level") == "SAFE", F.lit(0).cast("bigint")).otherwise(F.col("n")).alias("n")
             )))).alias("violations_by_zone"))
         out = risk.groupBy("feed_id").agg(*totals).join(by_zone, "feed_id", "left")
         if keys:
-            out = out.join(zones.groupBy("feed_id").agg(F.count(F.lit(1)).alias("zones_defined")), "feed_id", "left")
+            out = out.join(zones.groupBy("feed_id").agg(F.count(F.lit(1)).alias("zones_defined")).hint("merge"), "feed_id", "left")
         else:
             out = out.withColumn("zones_defined", zones.agg(F.count(F.lit(1))).scalar())
         return out.withColumns({

@@ -1,6 +1,7 @@
 """Zone sets as tables, against a plain walk over the zones."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,15 @@ def test_missing_fields_get_defaults(spark):
     r = Z.as_table(spark, zones).head()
     assert (r["level"], r["label"], r["color"]) == ("OBSERVATION", "a", "#ffffff")
     assert C.ZONE_LEVELS[r["level"]][0] == "MEDIUM"
+
+
+@pytest.mark.parametrize("name", ["zone_table_risk", "zone_table_summary"])
+def test_zones_are_not_sent_to_the_driver(spark, sf, name):
+    """A zone table derived from a small file is no small table: its rows and cells are never broadcast."""
+    from scenespark.plans import queries_frames  # noqa: F401
+    from scenespark.plans.registry import QUERIES
+
+    plan = re.sub(r"#\d+L?", "", QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString())
+    for keys in ("feed_id, _level, _cx, _cy", "feed_id, name", "feed_id, _fx, _fy"):
+        assert f"BroadcastHashJoin [{keys}]" not in plan
+    assert "SortMergeJoin [feed_id, _level, _cx, _cy]" in plan
