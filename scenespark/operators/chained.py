@@ -8,6 +8,9 @@ differs from the one they used. When none differs, every chunk ran with the true
 state, so the result equals one sequential pass, while no task ever holds more
 than one chunk.
 
+A chunk is often a handful of rows, so round one, which needs no states, hands a step the
+whole chunks of an Arrow batch together; only reruns meet their state in a group each.
+
 Results are a log: a round appends the rows of the chunks it ran and nothing
 else, and a chunk's last round wins. A block is looked at again only if the chunk
 in front of it ran in the round before; all others have come to rest.
@@ -16,9 +19,10 @@ in front of it ran in the round before; all others have come to rest.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,12 +37,14 @@ CHUNK = ["feed_id", "block", "part"]
 @dataclass
 class Chained:
     """``result``: the rows of the last round of every chunk; ``tails``: the last part of every block;
-    ``path``: the log, a folder of Parquet files per round; ``reran``: chunks run again in each further round."""
+    ``path``: the log, a folder of Parquet files per round; ``reran``: chunks run again in each further round;
+    ``continues``: whether any chunk continues another."""
 
     result: DataFrame
     tails: DataFrame
     path: str
     reran: list[int] = field(default_factory=list)
+    continues: bool = True
 
 
 def run_chained(
@@ -47,13 +53,14 @@ def run_chained(
     schema: str,
     state_cols: list[str],
     order_col: str | None = None,
+    fresh: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
 ) -> Chained:
     """Run ``step(rows, start_state)`` over all chunks until states agree.
 
     ``step`` returns rows of ``schema``, which holds the chunk keys, ``kind``
     (``obs`` results, ``out`` state rows, ``end``) and ``tie``. When ``order_col``
     is given, its values only count in the comparison once some chunk reported a
-    tie.
+    tie. ``fresh`` may run several whole chunks, all without a state, in one call.
     """
     spark = chunked.sparkSession
     names = [f.name for f in T._parse_datatype_string(schema).fields]
@@ -62,6 +69,12 @@ def run_chained(
     tails = chunked.groupBy("feed_id", "block").agg(F.max("part").alias("part"))
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/chained-{uuid.uuid4().hex[:12]}"
 
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([step(part, None) for _, part in rows.groupby(CHUNK, sort=False)], ignore_index=True)
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return (out[names] for out in map(fresh or each, _whole_chunks(batches)))
+
     def run(todo: DataFrame, start: DataFrame, number: int) -> None:
         def one(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
             return step(rows, state) if len(rows) else pd.DataFrame(columns=names)
@@ -81,10 +94,11 @@ def run_chained(
 
         return start.groupBy("feed_id", "block").agg(packed(True).alias("strict"), packed(False).alias("loose"))
 
-    run(chunked, _no_state(spark, schema, state_cols), 0)
+    spread(chunked, *CHUNK).sortWithinPartitions(*CHUNK).mapInPandas(whole, schema).write.parquet(f"{path}/round=0")
     out = Chained(logged(0), tails, path)
     # without a chunk that continues another nothing can differ
     if not heads.head(1):
+        out.continues = False
         return out
     used = _no_state(spark, schema, state_cols).select(
         "feed_id", "block", *[F.lit(None).cast("string").alias(c) for c in ("strict", "loose")])
@@ -132,6 +146,25 @@ def _latest(spark, path: str, schema: str, reruns: DataFrame | None) -> DataFram
     return rows.join(last, CHUNK, "left").filter("round = coalesce(_last, 0)").drop("round", "_last")
 
 
+def _whole_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of rows sorted by chunk, cut anew so that none ends within a chunk."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch[CHUNK].to_numpy()
+        inner = np.flatnonzero((keys != keys[-1]).any(axis=1))
+        last = int(inner[-1]) + 1 if len(inner) else 0
+        if held and (last or (held[-1][CHUNK].to_numpy()[-1] != keys[0]).any()):
+            yield pd.concat([*held, batch.iloc[:last]], ignore_index=True)
+            held = []
+        elif last:
+            yield batch.iloc[:last]
+        held.append(batch.iloc[last:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _no_state(spark, schema: str, state_cols: list[str]) -> DataFrame:
-    fields = {f.name: f for f in T._parse_datatype_string(schema).fields}
-    return spark.createDataFrame([], T.StructType([fields[c] for c in ["feed_id", "block", *state_cols]]))
+    fields = {f.name: f.dataType for f in T._parse_datatype_string(schema).fields}
+    return spark.range(0).select(*[F.lit(None).cast(fields[c]).alias(c) for c in ["feed_id", "block", *state_cols]])

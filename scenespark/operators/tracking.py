@@ -80,6 +80,13 @@ def match_frame(boxes: np.ndarray, live_box: np.ndarray) -> tuple[list[int], boo
     if not len(live_box):
         return [-1] * len(boxes), False
     overlap, taken, tie = _iou_matrix(boxes, live_box), [], False
+    best = overlap.argmax(axis=1)
+    top = overlap[np.arange(len(best)), best]
+    hit = top >= C.IOU_MATCH
+    # where no two want one track and none has two to choose from, order does not matter
+    wanted = best[hit]
+    if len(set(wanted.tolist())) == len(wanted) and int((overlap[hit] == top[hit, None]).sum()) == len(wanted):
+        return np.where(hit, best, -1).tolist(), False
     for row in overlap:
         best = int(row.argmax())
         if row[best] >= C.IOU_MATCH:
@@ -111,14 +118,14 @@ def match_chunk(
             live, live_box, live_last = live[keep], live_box[keep], live_last[keep]
         taken, tied = match_frame(boxes[lo:hi], live_box)
         tie = tie or tied
-        fresh = []
-        for i, t in zip(range(lo, hi), taken):
-            if t < 0:
-                fresh.append(i)
-            else:
-                number[i] = live[t]
-                live_box[t], live_last[t] = boxes[i], frame[i]
-        if fresh:
+        took = np.array(taken)
+        old = took >= 0
+        if old.any():
+            at = took[old]
+            number[lo:hi][old] = live[at]
+            live_box[at], live_last[at] = boxes[lo:hi][old], frame[lo]
+        fresh = lo + np.flatnonzero(~old)
+        if len(fresh):
             number[fresh] = np.arange(created, created + len(fresh))
             live = np.concatenate([live, number[fresh]])
             live_box = np.concatenate([live_box, boxes[fresh]])
@@ -134,47 +141,49 @@ _MATCH_SCHEMA = (
 )
 
 
-def _run_chunk(rows: pd.DataFrame, start: pd.DataFrame | None, carry: list[str]) -> pd.DataFrame:
-    """One chunk: ``obs`` rows say which track each detection belongs to and repeat its
-    ``carry`` columns, ``out`` rows are the tracks left at the end. A track is named by its
-    first detection or, when inherited, by its place in the start state."""
-    rows = rows.sort_values(["frame_id", "det_id"], kind="stable")
+def _run_chunks(rows: pd.DataFrame, start: pd.DataFrame | None, carry: list[str]) -> pd.DataFrame:
+    """Whole chunks, a single one if there is a start state: ``obs`` rows say which track each
+    detection belongs to and repeat its ``carry`` columns, ``out`` rows are the tracks left at the
+    end. A track is named by its first detection or, when inherited, by its place in the start state."""
+    rows = rows.sort_values([*CHUNK, "frame_id", "det_id"], kind="stable")
     if start is None or start.empty:
         boxes0, last0 = np.empty((0, 4)), np.empty(0, dtype=np.int64)
     else:
         start = start.sort_values("idx")
-        boxes0, last0 = start[BOX].to_numpy(float).copy(), start["last_frame"].to_numpy(np.int64).copy()
+        boxes0, last0 = start[BOX].to_numpy(float), start["last_frame"].to_numpy(np.int64)
     frame, det = rows["frame_id"].to_numpy(np.int64), rows["det_id"].to_numpy(np.int64)
     prev = rows["prev_frame"].fillna(-(1 << 40)).to_numpy(np.int64)
-    number, live, box, last, tie = match_chunk(frame, prev, rows[BOX].to_numpy(float), boxes0, last0)
-    own = number >= len(boxes0)
-    first = pd.Series(np.arange(len(number))).groupby(number).first()
-
-    def named(nums):
-        inherited = nums < len(boxes0)
-        at = first.reindex(nums).fillna(0).to_numpy(np.int64)
-        return {
-            "from_idx": pd.array(np.where(inherited, nums, 0), dtype="Int64").copy(),
-            "root_frame": pd.array(frame[at], dtype="Int64"),
-            "root_det": pd.array(det[at], dtype="Int64"),
-        }, inherited
-
-    def table(kind, nums, **cols):
-        names, inherited = named(nums)
-        names["from_idx"][~inherited] = pd.NA
-        names["root_frame"][inherited] = pd.NA
-        names["root_det"][inherited] = pd.NA
-        return pd.DataFrame({"kind": kind, **names, **cols})
-
-    obs = table("obs", number, frame_id=frame, det_id=det, **{c: rows[c].to_numpy() for c in carry})
-    out = table(
-        "out", live, idx=np.arange(len(live)), x1=box[:, 0], y1=box[:, 1], x2=box[:, 2], y2=box[:, 3],
-        last_frame=last,
-    )
-    done = pd.DataFrame({"kind": ["end"], "tie": [tie]})
-    both = pd.concat([obs, out, done], ignore_index=True)
-    for c in CHUNK:
-        both[c] = rows[c].iloc[0]
+    boxes, chunk = rows[BOX].to_numpy(float), rows[CHUNK].to_numpy(np.int64)
+    begin = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]).any(axis=1)])
+    found = []
+    for lo, hi in zip(begin, [*begin[1:], len(rows)]):
+        number, live, *left, tie = match_chunk(frame[lo:hi], prev[lo:hi], boxes[lo:hi], boxes0.copy(), last0.copy())
+        # the tracks of a chunk are no more than its rows, so numbers of chunks stay apart
+        found.append((number + lo, live + lo, *left, np.arange(len(live)), tie))
+    number, live, box, last, idx = (np.concatenate([f[i] for f in found]) for i in range(5))
+    tracks, first = np.unique(number, return_index=True)
+    ends = np.repeat(begin, [len(f[1]) for f in found])
+
+    def table(kind, at, nums=None, **cols):
+        """Rows of the chunks that the rows ``at`` belong to; ``nums`` are their tracks."""
+        names = {}
+        if nums is not None:
+            inherited = nums < len(boxes0)
+            seen = first[np.minimum(np.searchsorted(tracks, nums), len(first) - 1)]
+            names = {
+                "from_idx": pd.array(nums, dtype="Int64"), "root_frame": pd.array(frame[seen], dtype="Int64"),
+                "root_det": pd.array(det[seen], dtype="Int64"),
+            }
+            names["from_idx"][~inherited] = pd.NA
+            names["root_frame"][inherited] = pd.NA
+            names["root_det"][inherited] = pd.NA
+        return pd.DataFrame({**{c: chunk[at, i] for i, c in enumerate(CHUNK)}, "kind": kind, **names, **cols})
+
+    both = pd.concat([
+        table("obs", np.arange(len(rows)), number, frame_id=frame, det_id=det, **{c: rows[c].to_numpy() for c in carry}),
+        table("out", ends, live, idx=idx, **{c: box[:, i] for i, c in enumerate(BOX)}, last_frame=last),
+        table("end", begin, tie=[f[-1] for f in found]),
+    ], ignore_index=True)
     order = [f.split()[0] for f in _MATCH_SCHEMA.split(", ")]
     return both.reindex(columns=[*order, *carry])
 
@@ -183,8 +192,10 @@ def _match_chained(chunked: DataFrame, carry: list[str]) -> DataFrame:
     """Chunks may continue their predecessor; exact ties make track order matter."""
     more = "".join(f", {c} {chunked.schema[c].dataType.simpleString()}" for c in carry)
     chained = run_chained(
-        chunked, lambda rows, start: _run_chunk(rows, start, carry), _MATCH_SCHEMA + more,
-        ["idx", *BOX, "last_frame"], order_col="idx")
+        chunked, lambda rows, start: _run_chunks(rows, start, carry), _MATCH_SCHEMA + more,
+        ["idx", *BOX, "last_frame"], order_col="idx", fresh=lambda rows: _run_chunks(rows, None, carry))
+    if not chained.continues:
+        return chained.result.filter("kind = 'obs'").select("feed_id", "frame_id", "det_id", "root_frame", "root_det", *carry)
     return _resolve_names(chained.result, chained.tails, carry)
 
 

@@ -82,3 +82,22 @@ def test_worst_case_is_the_sequential_result(spark, size):
 def test_no_rows(spark):
     run = run_chained(chunks(spark, {0: [1]}, 5).limit(0), stepper(), SCHEMA, ["carry"])
     assert run.result.count() == 0
+
+
+def test_chunks_without_a_state_run_together(spark):
+    # 300 short chunks, one of them longer than an Arrow batch
+    values = {f: [1, 0, 2] for f in range(299)} | {299: [1] * 50}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    one, calls = stepper(), spark.sparkContext.accumulator(0)
+
+    def several(rows):
+        calls.add(1)
+        return pd.concat([one(part, None) for _, part in rows.groupby(CHUNK)], ignore_index=True)
+
+    try:
+        run = run_chained(chunks(spark, values, 1000).coalesce(2), one, SCHEMA, ["carry"], fresh=several)
+        assert {(r["feed_id"], r["pos"]): r["total"] for r in run.result.filter("kind = 'obs'").collect()} == plain(values)
+        assert not run.continues and 0 < calls.value < 100
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
