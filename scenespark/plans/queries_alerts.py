@@ -91,7 +91,8 @@ def threat_classes_present(spark, sf):
 # --- models -----------------------------------------------------------------------
 
 def _forest(spark, sf, trees=C.FOREST_TREES):
-    feats = FR.features(facts(spark, sf))
+    # the features fit the forest and are scored by it
+    feats = cut(FR.features(facts(spark, sf)))
     return feats, iforest.fit(T.baseline_frames(feats), trees)
 
 
@@ -155,14 +156,19 @@ FROM (SELECT * FROM c_frm WHERE pos <= {C.BASELINE_FRAMES}) GROUP BY 1""")
 def threat_models(spark, sf):
     """A classifier per feed; in its trees the counts of two children are those of their parent."""
     _, fitted = _threats(spark, sf)
-    n = feed_forest.nodes(fitted)
-    below = n.filter("node > 1").groupBy("feed_id", "tree", F.expr("cast(node div 2 as int)").alias("node")).agg(
-        *[F.sum(c).alias(f"b_{c}") for c in feed_forest.COUNTS], F.count(F.lit(1)).alias("children"))
+    # a node counts for itself and against its parent; both meet before the shuffle, as a feed's trees are one row
+    n = feed_forest.nodes(fitted).select("feed_id", "tree", F.explode(F.array(
+        F.struct("node", F.lit(0).alias("child"), "feature", *feed_forest.COUNTS),
+        F.struct(F.expr("cast(node div 2 as int)").alias("node"), F.lit(1).alias("child"), F.lit(None).cast("int").alias("feature"),
+                 *[(-F.col(c)).alias(c) for c in feed_forest.COUNTS]),
+    )).alias("_n")).select("feed_id", "tree", "_n.*").filter("node > 0")
+    met = n.groupBy("feed_id", "tree", "node").agg(
+        F.max("feature").alias("feature"), F.sum("child").alias("children"), *[F.sum(c).alias(c) for c in feed_forest.COUNTS])
     same = F.col("children") == 2
     for c in feed_forest.COUNTS:
-        same = same & (F.col(c) == F.col(f"b_{c}"))
-    checked = n.join(below, ["feed_id", "tree", "node"], "left").groupBy("feed_id").agg(
-        F.bool_and(F.when(F.col("feature") >= 0, F.coalesce(same, F.lit(False))).otherwise(F.col("children").isNull())).alias("counted"))
+        same = same & (F.col(c) == 0)
+    checked = met.groupBy("feed_id").agg(
+        F.bool_and(F.when(F.col("feature") >= 0, same).otherwise(F.col("feature").isNotNull() & (F.col("children") == 0))).alias("counted"))
     return fitted.join(checked, "feed_id", "left").select(
         "feed_id", "n_samples", F.forall("labels", lambda x: x.isin(C.PRIORITIES)).alias("labelled"),
         F.coalesce("counted", F.lit(True)).alias("counted"))

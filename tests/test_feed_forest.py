@@ -108,3 +108,24 @@ def test_weights_are_a_bootstrap(spark):
     u = spark.range(200_000).select(FF._weight(FF._uniform("id", F.lit(1))).alias("w"))
     r = u.agg(F.avg("w"), F.avg((F.col("w") == 0).cast("int"))).head()
     assert r[0] == pytest.approx(1.0, abs=0.01) and r[1] == pytest.approx(0.368, abs=0.01)
+
+
+def test_one_group_grows_what_levels_grow(spark, monkeypatch):
+    df = rows_of(spark, lambda f, i, x: ["LOW", "HIGH", "MEDIUM"][int(x[2] > 4) + int(x[f] > 7)]).unionByName(
+        rows_of(spark, lambda f, i, x: ["HIGH", "LOW"][i % 2], feeds=(7,), n=6)).cache()
+
+    def of():
+        return {r["feed_id"]: r.asDict(recursive=True) for r in FF.fit(df, trees=3, depth=3, folds=3).collect()}
+
+    together = of()
+    monkeypatch.setattr(FF, "TOGETHER", 0)
+    assert together == of() and all(r["nodes"] for r in together.values())
+
+
+def test_hashes_are_those_of_the_engine(spark):
+    rows = spark.range(-3, 40).select("id", F.xxhash64(F.col("id") * (1 << 55), F.col("id").cast("int"), F.lit(-9)).alias("h")).collect()
+    for r in rows:
+        wide = (r["id"] << 55) % (1 << 64)
+        wide -= (wide >> 63) << 64
+        h = FF._hashed(FF._hashed(FF._hashed(42, wide, 8), r["id"], 4), -9, 4)
+        assert int(h.astype("int64")) == r["h"]
