@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,7 +85,8 @@ def grow_forest(points: np.ndarray, node: np.ndarray, trees: int, size: int, rng
 
 def mean_depth(x: np.ndarray, nodes: pd.DataFrame) -> np.ndarray:
     """Mean corrected depth of each row over all trees, all trees one level per step."""
-    nodes = nodes.sort_values("node")
+    if not nodes["node"].is_monotonic_increasing:
+        nodes = nodes.sort_values("node")
     feature, threshold = nodes["feature"].to_numpy(), nodes["threshold"].to_numpy()
     left, depth = nodes["left"].to_numpy(), nodes["depth"].to_numpy()
     trees = int(nodes["tree"].max()) + 1
@@ -225,15 +227,22 @@ def fit(
         rows = rows.withColumn("feed_id", F.lit(ALL_FEEDS).cast("bigint"))
     rows = cut(rows)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tree", "frame_id", "_key"])
-        size, nodes = _fit_one(pdf, int(key[0]), trees, seed)
-        return pd.DataFrame({
-            "feed_id": [int(key[0])], "trees": [trees], "sample_size": [size], "n_train": [int(pdf["n_train"].iloc[0])],
-            "offset": [0.0], "nodes": [nodes[[f.split()[0] for f in NODE_SCHEMA.split(", ")]].to_dict("records")]})
+    names = [f.split()[0] for f in NODE_SCHEMA.split(", ")]
+    kinds = {"int": pa.int32(), "double": pa.float64()}
+    kind = pa.struct([(c, kinds[t]) for c, t in (f.split() for f in NODE_SCHEMA.split(", "))])
+
+    def run(part: pa.Table) -> pa.Table:
+        pdf = part.to_pandas().sort_values(["tree", "frame_id", "_key"])
+        feed = int(pdf["feed_id"].iloc[0])
+        size, grown = _fit_one(pdf, feed, trees, seed)
+        packed = pa.StructArray.from_arrays([pa.array(grown[c].to_numpy()).cast(f.type) for c, f in zip(names, kind)], fields=list(kind))
+        return pa.table({
+            "feed_id": pa.array([feed], pa.int64()), "trees": pa.array([trees], pa.int32()), "sample_size": pa.array([size], pa.int32()),
+            "n_train": pa.array([int(pdf["n_train"].iloc[0])], pa.int64()), "offset": pa.array([0.0], pa.float64()),
+            "nodes": pa.ListArray.from_arrays(pa.array([0, len(packed)], pa.int32()), packed)})
 
     drawn = samples(rows, trees, seed)
-    model = cut(spread(drawn, "feed_id").groupBy("feed_id").applyInPandas(run, FOREST_SCHEMA))
+    model = cut(spread(drawn, "feed_id").groupBy("feed_id").applyInArrow(run, FOREST_SCHEMA))
     offsets = quantiles(score(rows.withColumn("frame_id", F.monotonically_increasing_id()), model), contamination, "model_score")
     order = [f.split()[0] for f in FOREST_SCHEMA.split(", nodes")[0].split(", ")] + ["nodes"]
     return model.drop("offset").join(offsets, "feed_id").select(order)
@@ -258,15 +267,20 @@ def score(features: DataFrame, model: DataFrame, scope: str = "feed", block_rows
     copies = model.withColumnRenamed("feed_id", "_of").join(sizes, F.col("_of") == F.col("_model")).select(
         "_of", "sample_size", "offset", "nodes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("_at"))
 
-    def run(pdf: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf) or not len(forest):
-            return pd.DataFrame(columns=["feed_id", "frame_id", "model_score"])
-        one = forest.iloc[0]
-        s = score_samples(pdf[C.FEATURES].to_numpy(float), unpacked(one["nodes"]), int(one["sample_size"]))
-        return pd.DataFrame({"feed_id": pdf["feed_id"], "frame_id": pdf["frame_id"], "model_score": s - float(one["offset"])})
+    names = [f.split()[0] for f in NODE_SCHEMA.split(", ")]
+
+    def run(part: pa.Table, forest: pa.Table) -> pa.Table:
+        keep = ["feed_id", "frame_id"]
+        if not len(part) or not len(forest):
+            return pa.table({**{c: part[c].slice(0, 0) for c in keep}, "model_score": pa.array([], pa.float64())})
+        held = forest["nodes"].combine_chunks().flatten()
+        nodes = pd.DataFrame({c: held.field(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)})
+        x = np.stack([part[c].to_numpy().astype(float) for c in C.FEATURES], 1)
+        s = score_samples(x, nodes, forest["sample_size"][0].as_py())
+        return pa.table({**{c: part[c] for c in keep}, "model_score": pa.array(s - forest["offset"][0].as_py())})
 
     return spread(rows, "_model", "_block").groupBy("_model", "_block").cogroup(
-        spread(copies, "_of", "_at").groupBy("_of", "_at")).applyInPandas(run, "feed_id long, frame_id long, model_score double")
+        spread(copies, "_of", "_at").groupBy("_of", "_at")).applyInArrow(run, "feed_id long, frame_id long, model_score double")
 
 
 def save(model: DataFrame, path: str) -> None:
