@@ -13,10 +13,10 @@ way of linear size instead: two fingerprints differ in at most four bits exactly
 point is within two bits of both, so each is linked to the smallest one at each of the
 2081 points around it.
 
-``op6_simhash`` keeps to this rule. Near copies of the pipeline are texts whose sets of
-five-word shingles have a similarity (common / all) of ``SIMILAR`` or more. Such pairs
-differ in about ten bits of a fingerprint and often in more, beyond what a grid can prune, so
-candidates share the smallest hashes of a band instead, and each is verified on the sets.
+``op6_simhash`` keeps to this rule. Near copies of the pipeline are linked by it as well, and
+beyond it if their sets of five-word shingles have a similarity (common / all) of ``SIMILAR`` or
+more. Such pairs differ in about ten bits of a fingerprint and often in more, beyond what a grid
+can prune, so candidates share the smallest hashes of a band, and each is verified on the sets.
 """
 
 from __future__ import annotations
@@ -332,6 +332,16 @@ def near_links(marked: DataFrame, docs: DataFrame, similar: float = SIMILAR, mos
     )
 
 
+def fingerprint_links(marked: DataFrame) -> DataFrame:
+    """Edges (a, b) among the keys of ``marked`` (key, size, fp) whose fingerprints are equal or linked by the grids."""
+    keys = common.staged(marked.where("size > 0").select("key", "fp").distinct(), "keys")
+    fps = common.staged(keys.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
+    equal = keys.join(fps, "fp").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    ends = [fps.select(F.col("fp").alias(c), F.col("least").alias(f"_{c}")) for c in "ab"]
+    near = links(fps).join(ends[0], "a").join(ends[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return equal.unionAll(near)
+
+
 def _row() -> Column:
     """A digest of all columns: rows with the same digest are repeated rows."""
     return F.sha2(F.to_json(F.struct("doc_id", "text", "lang", "source", "n_chars")), 256)
@@ -340,20 +350,23 @@ def _row() -> Column:
 def near_groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(row, doc_id, key, root) per document: rows of one root are near copies, directly or through others.
 
-    Texts without words are copies of each other.
+    Links are those of the fingerprints and those of the shingle sets. Texts without words are
+    copies of each other.
     """
     common.prepare(docs.sparkSession)
 
-    @F.pandas_udf("key long, size int, bands array<long>")
+    @F.pandas_udf("key long, size int, bands array<long>, fp long")
     def of(body: pd.Series) -> pd.DataFrame:
         found = [shingles(t) for t in body]
         return pd.DataFrame({
             "key": [signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) if len(x) else 0 for x in found],
-            "size": [len(x) for x in found], "bands": [bands(x) for x in found]})
+            "size": [len(x) for x in found], "bands": [bands(x) for x in found],
+            "fp": pd.Series([signed(fingerprint(t)) for t in body], dtype="int64")})
 
     rows = docs.withColumn("row", _row())
     marked = common.staged(rows.select("row", "doc_id", of(F.col("text").cast("string")).alias("_m")).select("row", "doc_id", "_m.*"), "marked")
-    roots = common.components(near_links(marked, rows.select("row", "text"), similar)).withColumnRenamed("id", "key")
+    edges = fingerprint_links(marked).unionAll(near_links(marked, rows.select("row", "text"), similar))
+    roots = common.components(edges).withColumnRenamed("id", "key")
     return marked.select("row", "doc_id", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 

@@ -55,10 +55,10 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", max_rows: int
     common.prepare(docs.sparkSession)
     sample = ordinal.labelled_sample(labels, docs, F.col(grade), max_rows)
     got = sample.select("grade", packed("text").alias("x")).orderBy(F.xxhash64("x", "grade"), "grade").limit(max_rows).collect()
-    rows = []
-    for r in got:
-        idx = np.frombuffer(r.x, np.int32)
-        rows.append((idx, np.ones(len(idx))))
+    found = [np.frombuffer(r.x, np.int32) for r in got]
+    # every feature has the value 1; the rows share one array of them
+    ones = np.ones(max(map(len, found), default=0))
+    rows = [(idx, ones[:len(idx)]) for idx in found]
     return ordinal.fit(rows, [r.grade for r in got], DIMS, epochs=6, alpha=1.0, l1=4.0)
 
 

@@ -273,6 +273,23 @@ def test_near_copies_by_five_words_go(spark):
     assert kept == set(whole) - gone and 20 < len(gone) < 64
 
 
+def test_near_groups_hold_the_links_of_the_fingerprints(spark):
+    # short texts and copies with one word replaced: some fingerprints stay close, no sets are similar
+    rng = random.Random(12)
+    rows = []
+    for k in range(150):
+        words = [f"k{k}w{i}" for i in range(45)]
+        copy = list(words)
+        copy[rng.randrange(8, 36)] = "other"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    whole = dict(rows)
+    close = [k for k in range(0, 300, 2) if bin(simhash.fingerprint(whole[k]) ^ simhash.fingerprint(whole[k + 1])).count("1") <= 4
+             and shared_share(whole[k], whole[k + 1]) < 0.8]
+    root = {r.doc_id: r.root for r in simhash.near_groups(docs).collect()}
+    assert close and all(root[k] == root[k + 1] for k in close)
+
+
 @pytest.mark.parametrize("most", [simhash.CELL_SHINGLES, 2000])
 def test_near_links_are_all_pairs(spark, most):
     rng = random.Random(4)
