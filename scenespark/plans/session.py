@@ -100,9 +100,11 @@ def alert_table(table: DataFrame) -> DataFrame:
     return A.create_alerts(scored_frames(table))
 
 
-def frame_report(table: DataFrame, n: int = 500) -> DataFrame:
-    """First ``n`` scored frames per feed as the report lists them."""
-    picked = first_rows(scored_frames(table), ["feed_id"], ["frame_id"], n)
+def frame_report(table: DataFrame, n: int | None = None) -> DataFrame:
+    """All scored frames as the report lists them; with ``n`` the first so many of each feed."""
+    picked = scored_frames(table)
+    if n is not None:
+        picked = first_rows(picked, ["feed_id"], ["frame_id"], n)
     return picked.select(
         *KEY, "detection_count",
         exact_round("anomaly_score", 4).alias("anomaly_score"), "alert_level",

@@ -224,6 +224,18 @@ def test_session_baseline_then_scored(spark):
     assert [r["frame_id"] for r in capped.orderBy("frame_id").collect()] == list(range(2, 26, 2))
 
 
+def test_frame_report_lists_every_scored_frame_of_long_feeds(spark):
+    no_alerts = "cast(array() as array<struct<alert_type:string,severity:string,description:string,details:string>>)"
+    table = spark.range(2 * 640).selectExpr(
+        "id % 2 AS feed_id", "id div 2 + 1 AS frame_id", "3L AS detection_count", "-0.12345D AS anomaly_score",
+        "'high' AS alert_level", "0.5D AS zone_risk", "'BUFFER' AS max_severity", "1L AS violation_count",
+        "0D AS temporal_risk", f"{no_alerts} AS alerts", "0 AS tracked_objects", "0D AS detection_trend",
+        "if(id div 2 < 30, 'baseline', 'scored') AS phase")
+    listed = {(r["feed_id"], r["frame_id"]) for r in S.frame_report(table).collect()}
+    assert S.frame_report(table).count() == 2 * 610 and listed == {(g, f) for g in (0, 1) for f in range(31, 641)}
+    assert sorted(r["frame_id"] for r in S.frame_report(table, 7).filter("feed_id = 1").collect()) == list(range(31, 38))
+
+
 def test_zone_critical_upgrades_level_but_not_counters(spark):
     rows = [(f, "vehicle", 0.5, 0.1) for f in range(31, 41)]
     frames, d = scene(spark, rows, n_frames=40)
